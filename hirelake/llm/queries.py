@@ -5,27 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hirelake.llm import decontam, licenses, quality
-from hirelake.llm.common import read
+from hirelake.llm import decontam, licenses, mixing, ngram_join, quality, sharding
+from hirelake.llm.common import n_words, read
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.match_windows(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_id")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(read(spark, sf_dir, "documents"))
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return placed.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("words"), F.xxhash64("doc_id", "source", "text").alias("key"))
+    mixed = mixing.mix(docs, size=F.col("words"), row_key=F.col("key"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_documents(read(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_quality")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"), licenses.known_licenses(spark)).drop("text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
+    "op5_mixing": op5_mixing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op10_license_scan": op10_license_scan,
 }
 ORACLES: dict[str, str] = {}
