@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import decontam, licenses, mixing, ngram_join, quality, sharding
+from hirelake.llm import decontam, licenses, mixing, ngram_join, quality, sharding, substrings
 from hirelake.llm.common import n_words, read
 
 
@@ -15,6 +15,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.match_windows(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_id")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(read(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(read(spark, sf_dir, "documents"))
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
@@ -41,6 +45,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
     "op5_mixing": op5_mixing,
