@@ -124,7 +124,8 @@ def mix(docs: DataFrame, source: str = "source", size: Column | None = None, row
 
 def _rounder(seed: str, prob: str, level: int, last: bool):
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.take(pa.array(np.lexsort((rows["size"].to_numpy(), rows[seed].to_numpy()))))
+        # large ones first: what is still open at the end is then a small one as a rule
+        rows = rows.take(pa.array(np.lexsort((rows[seed].to_numpy(), -rows["size"].to_numpy()))))
         seeds = [int(x) & 0xFFFFFFFFFFFFFFFF for x in rows[seed].to_pylist()]
         p = pivot(rows[prob].to_pylist(), rows["size"].to_pylist(), seeds, level + 1)
         if last:  # one document of the source at most is still fractional
