@@ -144,6 +144,7 @@ def classes(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, text: str
     # blocks that two nodes hold alike; the least node of a block is the one the others are compared with
     entries = signed.select("node", "n_shingles", F.explode("keys").alias("key"))
     blocks = entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").drop("other")
+    blocks = materialise(blocks, "join-hubs")  # so that the join exchanges both sides and splits what is skewed
     shared = materialise(entries.join(blocks, "key").groupBy("node", "n_shingles", "key", "hub").agg(F.lit(1).alias("_")).drop("_"), "join-blocks")
     # the incidence rows of the nodes that are left
     left = shared.select("node").distinct()

@@ -5,7 +5,8 @@ one packed string to the bucket of their minimiser, so equal windows always meet
 its windows and counts them by their words, not by hashes. Minimisers that occur once in the corpus
 cannot be in a repeated window; counts of minimisers alone, 8 bytes each, rule those strings out before
 any text moves. A minimiser with very many strings (a passage in a large part of the corpus) is not put
-in one bucket: its windows travel one by one, are counted with partial sums and joined back.
+in one bucket: its distinct strings are counted with partial sums first, then the windows of each distinct
+string, and what is repeated in a string goes back to all its places.
 
 Equal texts are one text with a count: with two copies and 35 words all of it is repeated. Windows are
 judged on the input. Words are runs of other than blanks and U+0009 to U+000D. Null texts, and texts under
@@ -90,7 +91,7 @@ def _surveyed(window: int):
 
 
 def _strings(window: int):
-    """The packed strings of the minimisers that are asked for; windows of hot ones alone."""
+    """The packed strings of the minimisers that are asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,8 +106,7 @@ def _strings(window: int):
                         m = int(runs.minimiser[r].view(np.int64))
                         if m in asked:
                             f, c = int(runs.first[r]), int(runs.count[r])
-                            for i, n in [(f + k, 1) for k in range(c)] if asked[m] else [(f, c)]:
-                                rows.append((t, m, asked[m], i - int(w.first[t]), data[at[i] : at[i + n + window - 1] - 1]))
+                            rows.append((t, m, asked[m], f - int(w.first[t]), data[at[f] : at[f + c + window - 1] - 1]))
                 t, m, hot, start, text = zip(*rows, strict=True) if rows else ((), (), (), (), ())
                 yield pa.RecordBatch.from_arrays(
                     [keys.take(pa.array(t, pa.int32())), pa.array(m, pa.int64()), pa.array(hot, pa.bool_()), pa.array(start, pa.int64()), pa.array(text, pa.binary())],
@@ -116,6 +116,27 @@ def _strings(window: int):
     return run
 
 
+def _windows(window: int):
+    """The windows of packed strings, each with its string, place and the number of copies of the string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for cut in range(0, whole.num_rows, 1000):
+                batch = whole.slice(cut, 1000)
+                row, place, words = [], [], []
+                for r, packed in enumerate(batch.column("packed").to_pylist()):
+                    sizes = np.fromiter(map(len, packed.split(b" ")), dtype=np.int64)
+                    at = np.concatenate(([0], np.cumsum(sizes + 1))).tolist()
+                    for i in range(len(sizes) - window + 1):
+                        row.append(r)
+                        place.append(i)
+                        words.append(packed[at[i] : at[i + window] - 1])
+                at = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), batch.column("id").take(at), pa.array(place, pa.int64()), batch.column("n").take(at)], names=["words", "id", "place", "n"])
+
+    return run
+
+
 def _bucket(window: int):
     """The windows of a bucket in order of their words: those that are equal to a neighbour are repeated."""
 
@@ -173,7 +194,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     rows = materialise(base.mapInArrow(_surveyed(window), f"doc_id {kind}, key binary, n_words long, sha string, minimisers array<long>"), "sub-survey")
     texts = materialise(rows.groupBy("key").agg(F.first("minimisers").alias("minimisers"), F.count(F.lit(1)).alias("copies")), "sub-texts")
     one = texts.select("key", F.explode("minimisers").alias("minimiser"))
-    counts = one.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # written out, so that the join exchanges both sides and splits what is skewed
+    counts = materialise(one.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sub-counts")
     # one row per text and minimiser; a minimiser that a text has in two places is still asked for once
     asked = one.join(counts, "minimiser").groupBy("key", "minimiser").agg((F.max("n") > HOT).alias("hot"))
     asked = asked.groupBy("key").agg(F.collect_list(F.struct("minimiser", "hot")).alias("a"))
@@ -183,13 +205,24 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     n = strings.filter("not hot").count()
     cold = strings.filter("not hot").withColumn("bucket", F.pmod(F.xxhash64("minimiser"), F.lit(max(1, math.ceil(n / BUCKET_STRINGS)))))
     found = cold.select("bucket", "key", "start", "packed").groupBy("bucket").applyInArrow(_bucket(window), "key binary, start long")
-    hot = strings.filter("hot").select("key", "start", "packed")
-    twice = hot.groupBy("packed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("packed")
-    found = found.unionByName(hot.join(twice, "packed").select("key", "start"))
-    starts = found.groupBy("key").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    starts = found.select("key", F.array("start").alias("starts")).unionByName(_hot(strings.filter("hot"), window))
+    starts = starts.groupBy("key").agg(F.sort_array(F.flatten(F.collect_list("starts"))).alias("starts"))
     return rows.drop("minimisers").join(texts.select("key", "copies"), "key"), shared.select("key", "text").join(starts, "key")
 
 
+def _hot(strings: DataFrame, window: int) -> DataFrame:
+    """Repeated windows of the strings of hot minimisers: key, starts."""
+    strings = strings.select("key", "start", "packed", F.substring(F.unhex(F.sha2("packed", 256)), 1, 16).alias("id"))
+    distinct = materialise(strings.groupBy("id").agg(F.first("packed").alias("packed"), F.count(F.lit(1)).alias("n")), "sub-hot")
+    each = materialise(distinct.select("packed", "id", "n").mapInArrow(_windows(window), "words binary, id binary, place long, n long"), "sub-hot-windows")
+    twice = each.groupBy("words").agg(F.sum("n").alias("n")).filter("n > 1").select("words")
+    # places of a string whose windows are all repeated, being copied itself, need no look-up
+    once = materialise(each.filter("n = 1").join(twice, "words").groupBy("id").agg(F.collect_list("place").alias("places")), "sub-hot-places")
+    copied = distinct.filter("n > 1").select("id", F.sequence(F.lit(0).cast("long"), F.size(F.split(F.col("packed").cast("string"), " ")).cast("long") - window).alias("places"))
+    back = strings.select("id", "key", "start").join(materialise(once.unionByName(copied), "sub-hot-back"), "id")
+    return back.select("key", F.transform("places", lambda p: p + F.col("start")).alias("starts"))
+
+
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256, one row per row of `docs`."""
     survey, texts = repeated_windows(docs, window)
