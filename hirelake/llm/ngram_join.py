@@ -34,6 +34,7 @@ from hirelake.llm.tokens import U, Words, mix, slices
 N_WORDS = 3
 PERCENT = 90
 STEP = 1.25  # ratio of the size classes
+BATCH = 1_000  # rows of text that go to Python at a time
 _MULTIPLIERS = np.random.default_rng(77).integers(1, 1 << 63, 64, dtype=np.uint64) | U(1)
 
 
@@ -97,14 +98,14 @@ def _signed(n: int, percent: int):
         known = Schemes(percent)
         for batch in batches:
             for a, b, w in slices(batch.column("_text"), lower=True):
-                size, node, keys = [], [], []
+                size, node, keys = [], [], []  # node: 128 bits that stand for the set
                 for g in shingle_sets(w, n):
                     size.append(len(g))
                     node.append(mix(np.array([mix(g).sum(dtype=np.uint64), mix(g ^ U(0xABCDEF12345)).sum(dtype=np.uint64)], dtype=np.uint64) + U(len(g))).tobytes())
                     keys.append(block_keys(g, known.of(len(g))))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_doc").slice(a, b - a), batch.column("_key").slice(a, b - a), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["_doc", "_key", "n_shingles", "node", "keys"],
+                    [batch.column("_doc").slice(a, b - a), batch.column("_key").slice(a, b - a), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array([int.from_bytes(x[:8], "little", signed=True) for x in node], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["_doc", "_key", "n_shingles", "node", "c", "keys"],
                 )
 
     return run
@@ -115,7 +116,7 @@ def _grams(n: int):
         for batch in batches:
             for a, b, w in slices(batch.column("_text"), lower=True):
                 grams = pa.array([g.view(np.int64) for g in shingle_sets(w, n)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), grams], names=["node", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column("c").slice(a, b - a), batch.column("node").slice(a, b - a), grams], names=["c", "node", "grams"])
 
     return run
 
@@ -125,11 +126,11 @@ def _most_differ(a: Column, b: Column, percent: int) -> Column:
 
 
 def _products(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """pairs (x, y) of nodes with the sizes of both and their overlap: the product of two rows of the incidence matrix."""
-    x = rows.select(F.col("node").alias("x"), F.col("grams").alias("gx"))
-    y = rows.select(F.col("node").alias("y"), F.col("grams").alias("gy"))
+    """The product of two rows of the incidence matrix for pairs (x, y): their sizes, overlap and nodes a and b."""
+    x = rows.select(F.col("c").alias("x"), F.col("node").alias("a"), F.col("grams").alias("gx"))
+    y = rows.select(F.col("c").alias("y"), F.col("node").alias("b"), F.col("grams").alias("gy"))
     both = pairs.join(x, "x").join(y, "y")
-    return both.select("x", "y", F.size("gx").alias("nx"), F.size("gy").alias("ny"), F.size(F.array_intersect("gx", "gy")).alias("overlap"))
+    return both.select("x", "y", "a", "b", F.size("gx").alias("nx"), F.size("gy").alias("ny"), F.size(F.array_intersect("gx", "gy")).alias("overlap"))
 
 
 def _linked(percent: int) -> Column:
@@ -140,56 +141,58 @@ def classes(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, text: str
     """One row per row of `docs`: _doc, _key (of the text), n_shingles, node (of the n-gram set) and component (a node)."""
     base = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"), text_key(F.col(text)).alias("_key"))
     kind = dict(base.dtypes)["_doc"]
-    signed = materialise(base.mapInArrow(_signed(n, percent), f"_doc {kind}, _key binary, n_shingles long, node binary, keys array<long>"), "join-signed")
-    # blocks that two nodes hold alike; the least node of a block is the one the others are compared with
-    entries = signed.select("node", "n_shingles", F.explode("keys").alias("key"))
-    blocks = entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").drop("other")
-    blocks = materialise(blocks, "join-hubs")  # so that the join exchanges both sides and splits what is skewed
-    shared = materialise(entries.join(blocks, "key").groupBy("node", "n_shingles", "key", "hub").agg(F.lit(1).alias("_")).drop("_"), "join-blocks")
+    signed = materialise(base.mapInArrow(_signed(n, percent), f"_doc {kind}, _key binary, n_shingles long, node binary, c long, keys array<long>"), "join-signed", BATCH)
+    # blocks that two nodes hold alike; the least node of a block is the hub that the others are compared with.
+    # c is 64 bits of the node: candidates may go by it, since products and links are those of whole nodes
+    entries = signed.select("c", "n_shingles", F.explode("keys").alias("key"))
+    hubs = entries.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("other")).filter("hub <> other").drop("other")
+    hubs = materialise(hubs, "join-hubs")  # so that the join exchanges both sides and splits what is skewed
+    shared = materialise(entries.join(hubs, "key").distinct(), "join-blocks")
     # the incidence rows of the nodes that are left
-    left = shared.select("node").distinct()
-    texts = signed.join(left, "node", "left_semi").groupBy("node").agg(F.min("_key").alias("_key"))
+    left = shared.select("c").distinct()
+    texts = signed.join(left, "c", "left_semi").groupBy("c", "node").agg(F.min("_key").alias("_key"))
     whole = base.groupBy("_key").agg(F.first("_text").alias("_text"))
-    rows = materialise(texts.join(whole, "_key").select("node", "_text").mapInArrow(_grams(n), "node binary, grams array<long>"), "join-rows")
+    near = materialise(texts.join(whole, "_key").select("c", "node", "_text"), "join-near")
+    rows = materialise(near.mapInArrow(_grams(n), "c long, node binary, grams array<long>"), "join-rows", BATCH)
+    names = rows.select("c", "node")
     # first the hub that a node meets most often, then its other hubs, then what is left between components
-    met = materialise(shared.filter("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times")), "join-met")
-    best = met.groupBy("node").agg(F.max(F.struct("times", "hub")).alias("b")).select(F.col("node").alias("x"), F.col("b.hub").alias("y"))
-    done = materialise(_products(best, rows), "join-first")
-    links = done.filter(_linked(percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    comp = components(links)
-    more = _apart(met.select(F.col("node").alias("x"), F.col("hub").alias("y")).join(best, ["x", "y"], "left_anti"), comp)
+    met = materialise(shared.filter("c <> hub").groupBy("c", "hub").agg(F.count(F.lit(1)).alias("times")), "join-met")
+    best = met.groupBy("c").agg(F.max(F.struct("times", "hub")).alias("b")).select(F.col("c").alias("x"), F.col("b.hub").alias("y"))
+    first = materialise(_products(best, rows), "join-first")
+    links = first.filter(_linked(percent)).select("a", "b")
+    comp = components(links).join(names, "node")
+    more = _apart(met.select(F.col("c").alias("x"), F.col("hub").alias("y")).join(best, ["x", "y"], "left_anti"), comp)
     second = materialise(_products(more, rows), "join-second")
-    links = materialise(links.unionByName(second.filter(_linked(percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))), "join-links")
-    comp = materialise(components(links), "join-components")
-    rest = _cross(shared, comp, done.unionByName(second), percent)
-    third = materialise(_products(rest, rows).filter(_linked(percent)), "join-third")
+    links = materialise(links.unionByName(second.filter(_linked(percent)).select("a", "b")), "join-links")
+    comp = materialise(components(links).join(names, "node"), "join-components")
+    third = materialise(_products(_cross(shared, comp, first.unionByName(second), percent), rows).filter(_linked(percent)), "join-third")
     if not third.isEmpty():
-        comp = components(links.unionByName(third.select(F.col("x").alias("a"), F.col("y").alias("b"))))
-    out = signed.drop("keys").join(comp, "node", "left")
+        comp = materialise(components(links.unionByName(third.select("a", "b"))), "join-components")
+    out = signed.drop("keys", "c").join(comp.select("node", "component"), "node", "left")
     return out.withColumn("component", F.coalesce("component", "node"))
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose nodes are in different components."""
-    cx = comp.select(F.col("node").alias("x"), F.col("component").alias("cx"))
-    cy = comp.select(F.col("node").alias("y"), F.col("component").alias("cy"))
+    """The pairs (x, y) whose nodes are not known to be in one component."""
+    cx = comp.select(F.col("c").alias("x"), F.col("component").alias("cx"))
+    cy = comp.select(F.col("c").alias("y"), F.col("component").alias("cy"))
     d = pairs.join(cx, "x", "left").join(cy, "y", "left")
-    return d.filter(F.coalesce("cx", "x") != F.coalesce("cy", "y")).drop("cx", "cy")
+    return d.filter(F.coalesce(F.col("cx") != F.col("cy"), F.lit(True))).select("x", "y").distinct()
 
 
 def _cross(shared: DataFrame, comp: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes that agree on a block, are in different components and that no bound rules out."""
-    d = shared.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = d.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("key")
-    far = known.select(F.col("x").alias("node"), F.col("y").alias("hub"), (F.col("nx") + F.col("ny") - 2 * F.col("overlap")).alias("far"))
-    d = d.join(mixed, "key", "left_semi").join(far, ["node", "hub"], "left")
-    # without a measured distance to the hub (they are one component) only the other bounds hold
-    d = d.withColumn("far", F.when(F.col("node") == F.col("hub"), F.lit(0)).otherwise(F.col("far")))
-    d = materialise(d.filter("node <> hub").select("key", "node", "n_shingles", "component", "far"), "join-mixed")
+    """Pairs that agree on a block, are in different components and that no bound rules out."""
+    own = F.unhex(F.lpad(F.hex("c"), 16, "0"))
+    d = shared.join(comp.select("c", "component"), "c", "left").withColumn("component", F.coalesce("component", own))
+    apart = d.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("key")
+    far = known.select(F.col("x").alias("c"), F.col("y").alias("hub"), (F.col("nx") + F.col("ny") - 2 * F.col("overlap")).alias("far"))
+    # without a measured distance to the hub (the two are in one component) only the other bounds hold
+    d = d.filter("c <> hub").join(apart, "key", "left_semi").join(far, ["c", "hub"], "left")
+    d = materialise(d.select("key", "c", "n_shingles", "component", "far"), "join-mixed")
     x, y = d.toDF("key", "x", "sx", "cx", "fx"), d.toDF("key", "y", "sy", "cy", "fy")
     near = F.coalesce(F.abs(F.col("fx") - F.col("fy")) <= _most_differ(F.col("sx"), F.col("sy"), percent), F.lit(True))
     sized = 100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy")
-    return x.join(y, "key").filter((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & sized & near).groupBy("x", "y").agg(F.lit(1).alias("_")).drop("_")
+    return x.join(y, "key").filter((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & sized & near).select("x", "y").distinct()
 
 
 def join_documents(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
