@@ -31,6 +31,7 @@ WINDOW = 35
 RUN = 8  # words of a minimiser
 HOT = 4_000  # strings of one minimiser above which its windows travel alone
 BUCKET_STRINGS = 4_000
+BATCH = 1_000  # rows of text that go to Python at a time
 _PLACE = U((1 << 26) - 1)
 _MULTIPLIERS = np.random.default_rng(35).integers(1, 1 << 63, RUN, dtype=np.uint64) | U(1)
 
@@ -191,7 +192,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     texts has key, text and the sorted starts of the repeated windows of each text that shares one with another place."""
     base = docs.select("doc_id", F.col("text"), text_key(F.col("text")).alias("key"))
     kind = dict(base.dtypes)["doc_id"]
-    rows = materialise(base.mapInArrow(_surveyed(window), f"doc_id {kind}, key binary, n_words long, sha string, minimisers array<long>"), "sub-survey")
+    rows = materialise(base.mapInArrow(_surveyed(window), f"doc_id {kind}, key binary, n_words long, sha string, minimisers array<long>"), "sub-survey", BATCH)
     texts = materialise(rows.groupBy("key").agg(F.first("minimisers").alias("minimisers"), F.count(F.lit(1)).alias("copies")), "sub-texts")
     one = texts.select("key", F.explode("minimisers").alias("minimiser"))
     # written out, so that the join exchanges both sides and splits what is skewed
@@ -201,7 +202,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     asked = asked.groupBy("key").agg(F.collect_list(F.struct("minimiser", "hot")).alias("a"))
     whole = base.groupBy("key").agg(F.first("text").alias("text"))
     shared = materialise(asked.join(whole, "key").select("key", "text", F.col("a.minimiser").alias("minimisers"), F.col("a.hot").alias("hot")), "sub-shared")
-    strings = materialise(shared.mapInArrow(_strings(window), "key binary, minimiser long, hot boolean, start long, packed binary"), "sub-strings")
+    strings = materialise(shared.mapInArrow(_strings(window), "key binary, minimiser long, hot boolean, start long, packed binary"), "sub-strings", BATCH)
     n = strings.filter("not hot").count()
     cold = strings.filter("not hot").withColumn("bucket", F.pmod(F.xxhash64("minimiser"), F.lit(max(1, math.ceil(n / BUCKET_STRINGS)))))
     found = cold.select("bucket", "key", "start", "packed").groupBy("bucket").applyInArrow(_bucket(window), "key binary, start long")
@@ -214,7 +215,7 @@ def _hot(strings: DataFrame, window: int) -> DataFrame:
     """Repeated windows of the strings of hot minimisers: key, starts."""
     strings = strings.select("key", "start", "packed", F.substring(F.unhex(F.sha2("packed", 256)), 1, 16).alias("id"))
     distinct = materialise(strings.groupBy("id").agg(F.first("packed").alias("packed"), F.count(F.lit(1)).alias("n")), "sub-hot")
-    each = materialise(distinct.select("packed", "id", "n").mapInArrow(_windows(window), "words binary, id binary, place long, n long"), "sub-hot-windows")
+    each = materialise(distinct.select("packed", "id", "n").mapInArrow(_windows(window), "words binary, id binary, place long, n long"), "sub-hot-windows", BATCH)
     twice = each.groupBy("words").agg(F.sum("n").alias("n")).filter("n > 1").select("words")
     # places of a string whose windows are all repeated, being copied itself, need no look-up
     once = materialise(each.filter("n = 1").join(twice, "words").groupBy("id").agg(F.collect_list("place").alias("places")), "sub-hot-places")
