@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,8 +31,36 @@ def scratch_root(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
+_made = threading.local()
+
+
+def made() -> list[str]:
+    """The scratch paths that this thread has made and not dropped."""
+    if not hasattr(_made, "paths"):
+        _made.paths = []
+    return _made.paths
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/hirelake/{tag}-{uuid.uuid4().hex}"
+    made().append(f"{scratch_root(spark)}/hirelake/{tag}-{uuid.uuid4().hex}")
+    return made()[-1]
+
+
+def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch tables; what still reads from them becomes unusable."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    made()[:] = [p for p in made() if p not in set(paths)]
+
+
+def settle(df: DataFrame, tag: str, since: int, batch_rows: int | None = None) -> DataFrame:
+    """materialise(), then drop the scratch tables that were made since made() had `since` entries, which df was the last to need."""
+    old = made()[since:]
+    out = materialise(df, tag, batch_rows)
+    drop_scratch(df.sparkSession, old)
+    return out
 
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -52,13 +81,6 @@ def materialise(df: DataFrame, tag: str, batch_rows: int | None = None) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Drop everything that materialise() wrote; results that still read from it become unusable."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/hirelake")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def words(text: Column) -> Column:
     """Array of the words of a text, in order; empty for null or blank texts."""
     trimmed = F.trim(text, F.lit(SPACE_CHARS))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import materialise
+from hirelake.llm.common import made, materialise, settle
 
 MOST_ROUNDS = 60
 
@@ -23,10 +23,11 @@ def _rewire(links: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """links: a, b of one orderable type. Gives node and component, the least node it is linked with; nodes without links are not in it."""
+    since = len(made())
     now = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
     for _ in range(MOST_ROUNDS):
-        now = materialise(_rewire(_rewire(now, True), False), "links")
+        now = settle(_rewire(_rewire(now, True), False), "links", since)
         stat = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if seen == (stat["n"], stat["x"], stat["s"]):
             break

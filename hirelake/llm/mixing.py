@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import free_name, materialise, n_words
+from hirelake.llm.common import free_name, made, materialise, n_words, settle
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -90,6 +90,7 @@ def mix(docs: DataFrame, source: str = "source", size: Column | None = None, row
     row, seed, prob, group = names["_row"], names["_seed"], names["_p"], names["_group"]
     key = F.xxhash64(*(F.col(c) for c in ("doc_id", source, "text"))) if row_key is None else row_key
     d = docs.select(F.struct(*docs.columns).alias(row), F.col(source).alias("_source"), size.alias("size"), key.alias(seed))
+    since = len(made())
     d = materialise(d, "mix-in")
     # one row per source: a table of sources, not of documents
     totals = d.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")).collect()
@@ -112,7 +113,7 @@ def mix(docs: DataFrame, source: str = "source", size: Column | None = None, row
         if last:
             done.append(rounded)
             break
-        rounded = materialise(rounded, f"mix-{level}")
+        rounded = settle(rounded, f"mix-{level}", since) if level == 0 else materialise(rounded, f"mix-{level}")
         open_ = (F.col(prob) > 0) & (F.col(prob) < 1)
         done.append(rounded.filter(~open_))
         d = rounded.filter(open_).withColumn(group, F.floor(F.col(group) / FAN_IN) if level + 1 < levels else F.lit(0).cast("long"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import free_name, materialise, text_key
+from hirelake.llm.common import free_name, made, materialise, settle, text_key
 from hirelake.llm.components import components
 from hirelake.llm.tokens import U, Words, mix, slices
 
@@ -197,7 +197,8 @@ def _cross(shared: DataFrame, comp: DataFrame, known: DataFrame, percent: int) -
 
 def join_documents(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id, the least doc_id that links reach; one row per row of `docs`."""
-    found = materialise(classes(docs, n, percent), "join-classes")
+    since = len(made())
+    found = settle(classes(docs, n, percent), "join-classes", since)
     least = found.groupBy("component").agg(F.min("_doc").alias("component_id"))
     # a set without n-grams links with nothing, not even with its like
     out = found.join(least, "component")
@@ -206,7 +207,8 @@ def join_documents(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT) ->
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, that with the least doc_id (then text); documents without n-grams all stay. Columns as in `docs`."""
-    found = materialise(classes(docs, n, percent), "join-classes")
+    since = len(made())
+    found = settle(classes(docs, n, percent), "join-classes", since)
     first = found.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("_doc").isNull(), "_doc", "_key")).alias("m")).select(F.col("m._doc").alias("_d"), F.col("m._key").alias("_k"))
     row, key, no = (free_name(docs.columns, c) for c in ("_row", "_k", "_no"))
     d = docs.select(F.struct(*docs.columns).alias(row), text_key(F.col("text")).alias(key), F.col("doc_id").alias("_d2"))
