@@ -102,16 +102,18 @@ def _strings(window: int):
                 cut = np.searchsorted(runs.text, np.arange(b - a + 1))
                 rows: list[tuple] = []
                 for t in range(b - a):
+                    places: dict[tuple, list[int]] = {}  # equal strings of a text travel once
                     asked = {m: h for m, h in zip(batch.column("minimisers")[a + t].as_py(), batch.column("hot")[a + t].as_py(), strict=True)}
                     for r in range(cut[t], cut[t + 1]):
                         m = int(runs.minimiser[r].view(np.int64))
                         if m in asked:
                             f, c = int(runs.first[r]), int(runs.count[r])
-                            rows.append((t, m, asked[m], f - int(w.first[t]), data[at[f] : at[f + c + window - 1] - 1]))
-                t, m, hot, start, text = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+                            places.setdefault((m, data[at[f] : at[f + c + window - 1] - 1]), []).append(f - int(w.first[t]))
+                    rows += [(t, m, asked[m], starts, packed) for (m, packed), starts in places.items()]
+                t, m, hot, starts, text = zip(*rows, strict=True) if rows else ((), (), (), (), ())
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(t, pa.int32())), pa.array(m, pa.int64()), pa.array(hot, pa.bool_()), pa.array(start, pa.int64()), pa.array(text, pa.binary())],
-                    names=["key", "minimiser", "hot", "start", "packed"],
+                    [keys.take(pa.array(t, pa.int32())), pa.array(m, pa.int64()), pa.array(hot, pa.bool_()), pa.array(starts, pa.list_(pa.int64())), pa.array(text, pa.binary())],
+                    names=["key", "minimiser", "hot", "starts", "packed"],
                 )
 
     return run
@@ -143,20 +145,23 @@ def _bucket(window: int):
 
     def run(rows: pa.Table) -> pa.Table:
         windows, owner, place = [], [], []
-        for r, (start, packed) in enumerate(zip(rows["start"].to_pylist(), rows["packed"].to_pylist(), strict=True)):
+        starts = rows["starts"].to_pylist()
+        for r, packed in enumerate(rows["packed"].to_pylist()):
             sizes = np.fromiter(map(len, packed.split(b" ")), dtype=np.int64)
             at = np.concatenate(([0], np.cumsum(sizes + 1))).tolist()
             for i in range(len(sizes) - window + 1):
                 windows.append(packed[at[i] : at[i + window] - 1])
                 owner.append(r)
-                place.append(start + i)
+                place.append(i)
         order = sorted(range(len(windows)), key=windows.__getitem__)
-        found = set()
+        found: dict[int, set[int]] = {r: set(range(len(p.split(b" ")) - window + 1)) for r, p in enumerate(rows["packed"].to_pylist()) if len(starts[r]) > 1}
         for i, j in zip(order, order[1:], strict=False):
             if windows[i] == windows[j]:
-                found |= {i, j}
+                found.setdefault(owner[i], set()).add(place[i])
+                found.setdefault(owner[j], set()).add(place[j])
         hit = sorted(found)
-        return pa.table({"key": rows["key"].take(pa.array([owner[i] for i in hit], pa.int64())), "start": pa.array([place[i] for i in hit], pa.int64())})
+        places = [sorted({s + i for s in starts[r] for i in found[r]}) for r in hit]
+        return pa.table({"key": rows["key"].take(pa.array(hit, pa.int64())), "starts": pa.array(places, pa.list_(pa.int64()))})
 
     return run
 
@@ -197,31 +202,32 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     one = texts.select("key", F.explode("minimisers").alias("minimiser"))
     # written out, so that the join exchanges both sides and splits what is skewed
     counts = materialise(one.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sub-counts")
-    # one row per text and minimiser; a minimiser that a text has in two places is still asked for once
-    asked = one.join(counts, "minimiser").groupBy("key", "minimiser").agg((F.max("n") > HOT).alias("hot"))
+    # one row per text and minimiser, also of a minimiser that a text has in many places
+    each = texts.select("key", F.explode(F.array_distinct("minimisers")).alias("minimiser"))
+    asked = each.join(counts, "minimiser").select("key", "minimiser", (F.col("n") > HOT).alias("hot"))
     asked = asked.groupBy("key").agg(F.collect_list(F.struct("minimiser", "hot")).alias("a"))
     whole = base.groupBy("key").agg(F.first("text").alias("text"))
     shared = materialise(asked.join(whole, "key").select("key", "text", F.col("a.minimiser").alias("minimisers"), F.col("a.hot").alias("hot")), "sub-shared")
-    strings = materialise(shared.mapInArrow(_strings(window), "key binary, minimiser long, hot boolean, start long, packed binary"), "sub-strings", BATCH)
+    strings = materialise(shared.mapInArrow(_strings(window), "key binary, minimiser long, hot boolean, starts array<long>, packed binary"), "sub-strings", BATCH)
     n = strings.filter("not hot").count()
     cold = strings.filter("not hot").withColumn("bucket", F.pmod(F.xxhash64("minimiser"), F.lit(max(1, math.ceil(n / BUCKET_STRINGS)))))
-    found = cold.select("bucket", "key", "start", "packed").groupBy("bucket").applyInArrow(_bucket(window), "key binary, start long")
-    starts = found.select("key", F.array("start").alias("starts")).unionByName(_hot(strings.filter("hot"), window))
-    starts = starts.groupBy("key").agg(F.sort_array(F.flatten(F.collect_list("starts"))).alias("starts"))
+    found = cold.select("bucket", "key", "starts", "packed").groupBy("bucket").applyInArrow(_bucket(window), "key binary, starts array<long>")
+    starts = found.unionByName(_hot(strings.filter("hot"), window))
+    starts = starts.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts")))).alias("starts"))
     return rows.drop("minimisers").join(texts.select("key", "copies"), "key"), shared.select("key", "text").join(starts, "key")
 
 
 def _hot(strings: DataFrame, window: int) -> DataFrame:
     """Repeated windows of the strings of hot minimisers: key, starts."""
-    strings = strings.select("key", "start", "packed", F.substring(F.unhex(F.sha2("packed", 256)), 1, 16).alias("id"))
-    distinct = materialise(strings.groupBy("id").agg(F.first("packed").alias("packed"), F.count(F.lit(1)).alias("n")), "sub-hot")
+    strings = strings.select("key", "starts", "packed", F.substring(F.unhex(F.sha2("packed", 256)), 1, 16).alias("id"))
+    distinct = materialise(strings.groupBy("id").agg(F.first("packed").alias("packed"), F.sum(F.size("starts")).cast("long").alias("n")), "sub-hot")
     each = materialise(distinct.select("packed", "id", "n").mapInArrow(_windows(window), "words binary, id binary, place long, n long"), "sub-hot-windows", BATCH)
     twice = each.groupBy("words").agg(F.sum("n").alias("n")).filter("n > 1").select("words")
     # places of a string whose windows are all repeated, being copied itself, need no look-up
     once = materialise(each.filter("n = 1").join(twice, "words").groupBy("id").agg(F.collect_list("place").alias("places")), "sub-hot-places")
     copied = distinct.filter("n > 1").select("id", F.sequence(F.lit(0).cast("long"), F.size(F.split(F.col("packed").cast("string"), " ")).cast("long") - window).alias("places"))
-    back = strings.select("id", "key", "start").join(materialise(once.unionByName(copied), "sub-hot-back"), "id")
-    return back.select("key", F.transform("places", lambda p: p + F.col("start")).alias("starts"))
+    back = strings.select("id", "key", "starts").join(materialise(once.unionByName(copied), "sub-hot-back"), "id")
+    return back.select("key", F.flatten(F.transform("starts", lambda s: F.transform("places", lambda p: p + s))).alias("starts"))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
