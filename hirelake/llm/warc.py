@@ -235,9 +235,10 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
 def merge_index(captures: DataFrame) -> DataFrame:
     """Adds `position`, gapless from 0 in the order of URL key, date and page_id, to captures that come in sorted runs."""
     total = captures.count()
-    step = max(1, min(RANGE_ROWS // 10, 100), math.ceil(total / (4 * MOST_RANGES)))
-    sample = sorted(r["order_key"] for r in captures.filter(F.col("seq") % step == 0).select("order_key").collect())
     n = min(MOST_RANGES, max(1, math.ceil(total / RANGE_ROWS)))
+    # every step-th capture of each run, from a place of the run's own, so that short runs count as well
+    step = max(1, total // (32 * n))
+    sample = sorted(r["order_key"] for r in captures.filter(F.col("seq") % step == F.pmod(F.xxhash64("archive"), F.lit(step))).select("order_key").collect())
     cuts = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
 
     def place(keys):
