@@ -7,7 +7,8 @@ others the product of their rows is accumulated, first with the best-placed docu
 pairs that the bounds on sizes and distances rule out are never formed:
 
 * sizes a <= b link only if 100 * a >= percent * b;
-* with distances d to a common document, |d(x) - d(y)| above D rules a pair out;
+* in a group of documents around one hub, rows are compared by what sets them apart from the group's centre;
+* between groups, with distances d to a common document, |d(x) - d(y)| above D rules a pair out;
 * pairs already in one component need no product.
 
 So a group of G near copies costs G products, not G * G / 2.
@@ -165,7 +166,10 @@ def classes(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, text: str
     second = materialise(_products(more, rows), "join-second")
     links = materialise(links.unionByName(second.filter(_linked(percent)).select("a", "b")), "join-links")
     comp = materialise(components(links).join(names, "node"), "join-components")
-    third = materialise(_products(_cross(shared, comp, first.unionByName(second), percent), rows).filter(_linked(percent)), "join-third")
+    groups = materialise(_groups(met), "join-groups")
+    links = materialise(links.unionByName(_within(shared, comp, groups, rows, percent)), "join-links")
+    comp = materialise(components(links).join(names, "node"), "join-components")
+    third = materialise(_products(_across(shared, comp, groups, first.unionByName(second), percent), rows).filter(_linked(percent)), "join-third")
     if not third.isEmpty():
         comp = materialise(components(links.unionByName(third.select("a", "b"))), "join-components")
     out = signed.drop("keys", "c").join(comp.select("node", "component"), "node", "left")
@@ -180,19 +184,68 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return d.filter(F.coalesce(F.col("cx") != F.col("cy"), F.lit(True))).select("x", "y").distinct()
 
 
-def _cross(shared: DataFrame, comp: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs that agree on a block, are in different components and that no bound rules out."""
+def _groups(met: DataFrame) -> DataFrame:
+    """A group for each c: of the hubs that it meets, and itself if it is one, the hub that most meet."""
+    popular = met.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
+    choice = met.select("c", "hub").join(popular, "hub").unionByName(popular.select(F.col("hub").alias("c"), "hub", "n"))
+    return choice.groupBy("c").agg(F.max(F.struct("n", "hub")).alias("m")).select("c", F.col("m.hub").alias("group"))
+
+
+def _mixed(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """The entries of blocks that are not all in one component."""
     own = F.unhex(F.lpad(F.hex("c"), 16, "0"))
     d = shared.join(comp.select("c", "component"), "c", "left").withColumn("component", F.coalesce("component", own))
-    apart = d.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("key")
+    apart = materialise(d.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("key"), "join-apart")
+    return d.join(apart, "key", "left_semi")
+
+
+def _within(shared: DataFrame, comp: DataFrame, groups: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Links between members of a group that are in different components, exactly, from what sets their rows apart from
+    the group's centre (the n-grams that more than half have). With e(x) n-grams apart and w(x) = (100 + percent) e(x) -
+    (100 - percent) |x|, x and y link if and only if w(x) + w(y) <= 2 (100 + percent) |apart(x) & apart(y)|. So who links
+    with anybody without a common difference links with the member of least w, and other links share a difference."""
+    nodes = _mixed(shared, comp).select("c", "component").distinct().join(groups, "c")
+    sets = materialise(nodes.join(rows, "c").select("group", "node", "component", "grams"), "join-sets")
+    sizes = sets.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
+    common = sets.select("group", F.explode("grams").alias("gram")).groupBy("group", "gram").agg(F.count(F.lit(1)).alias("n"))
+    centre = materialise(common.join(sizes, "group").filter("2 * n > members").groupBy("group").agg(F.collect_list("gram").alias("centre")), "join-centres")
+    d = sets.join(centre, "group", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<bigint>")))
+    apart = F.concat(F.array_except("grams", "centre"), F.array_except("centre", "grams"))
+    d = d.select("group", "node", "component", F.size("grams").alias("size"), apart.alias("apart"))
+    d = materialise(d.withColumn("w", (100 + percent) * F.size("apart") - (100 - percent) * F.col("size")), "join-differences")
+    least = materialise(d.groupBy("group").agg(F.min(F.struct("w", "node")).alias("m")), "join-least")
+    star = d.join(least, "group").filter((F.col("node") != F.col("m.node")) & (F.col("w") + F.col("m.w") <= 0)).select(F.col("node").alias("a"), F.col("m.node").alias("b"))
+    star = materialise(star, "join-star")
+    # those that the star has put together need no pair any more
+    held = least.select("group", F.col("m.w").alias("mw"), F.col("m.node").alias("mn"))
+    d = d.join(held, "group").withColumn("component", F.when(F.col("w") + F.col("mw") <= 0, F.col("mn")).when(F.col("node") == F.col("mn"), F.col("mn")).otherwise(F.col("component"))).drop("mw", "mn")
+    e = materialise(d.select("*", F.explode("apart").alias("gram")), "join-apart-grams")
+    twice = materialise(e.groupBy("group", "gram").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("group", "gram"), "join-shared-grams")
+    e = e.join(twice, ["group", "gram"], "left_semi").select("group", "gram", "node", "component", "apart", "w")
+    x, y = e.toDF("group", "gram", "a", "cx", "dx", "wx"), e.toDF("group", "gram", "b", "cy", "dy", "wy")
+    both = F.array_intersect("dx", "dy")
+    linked = F.col("wx") + F.col("wy") <= 2 * (100 + percent) * F.size(both)
+    once = F.array_min(both) == F.col("gram")
+    pairs = x.join(y, ["group", "gram"]).filter((F.col("a") < F.col("b")) & (F.col("cx") != F.col("cy")) & linked & once)
+    return star.unionByName(pairs.select("a", "b"))
+
+
+def _across(shared: DataFrame, comp: DataFrame, groups: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different groups that agree on a block, are in different components and that no bound rules out."""
     far = known.select(F.col("x").alias("c"), F.col("y").alias("hub"), (F.col("nx") + F.col("ny") - 2 * F.col("overlap")).alias("far"))
     # without a measured distance to the hub (the two are in one component) only the other bounds hold
-    d = d.filter("c <> hub").join(apart, "key", "left_semi").join(far, ["c", "hub"], "left")
-    d = materialise(d.select("key", "c", "n_shingles", "component", "far"), "join-mixed")
-    x, y = d.toDF("key", "x", "sx", "cx", "fx"), d.toDF("key", "y", "sy", "cy", "fy")
+    d = _mixed(shared, comp).join(groups, "c").filter("c <> hub").join(far, ["c", "hub"], "left")
+    d = materialise(d.select("key", "c", "n_shingles", "component", "far", "group"), "join-mixed")
+    several = materialise(d.groupBy("key").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).filter("g1 <> g2").select("key"), "join-several")
+    d = d.join(several, "key", "left_semi")
+    own_keys = d.groupBy("c").agg(F.collect_list("key").alias("keys"))
+    d = materialise(d.join(own_keys, "c").select("key", "c", "n_shingles", "component", "far", "group", "keys"), "join-across")
+    x, y = d.toDF("key", "x", "sx", "cx", "fx", "gx", "kx"), d.toDF("key", "y", "sy", "cy", "fy", "gy", "ky")
     near = F.coalesce(F.abs(F.col("fx") - F.col("fy")) <= _most_differ(F.col("sx"), F.col("sy"), percent), F.lit(True))
     sized = 100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy")
-    return x.join(y, "key").filter((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & sized & near).select("x", "y").distinct()
+    # a pair that meets in many blocks is formed in one of them
+    once = F.array_min(F.array_intersect("kx", "ky")) == F.col("key")
+    return x.join(y, "key").filter((F.col("x") < F.col("y")) & (F.col("gx") != F.col("gy")) & (F.col("cx") != F.col("cy")) & sized & near & once).select("x", "y").distinct()
 
 
 def join_documents(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
