@@ -14,6 +14,9 @@ from hirelake.llm.common import free_name
 
 #: More known texts than this are joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 100_000
+MOST_NOTICES = 10_000
+#: A line without any of these states no licence that NOTICES knows.
+NOTICE_WORDS = "(?i)licen[cs]|spdx|cc0"
 
 # Licence texts and one-line notices as their publishers word them.
 NOTICES = {
@@ -66,7 +69,7 @@ Permission is granted to anyone to use this software for any purpose, including
 }
 
 # Pairs of spellings that licence texts use for one another.
-SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("noncommercial", "non commercial"), ("organisation", "organization"), ("recognise", "recognize"), ("favour", "favor"), ("non infringement", "noninfringement"), ("acknowledgement", "acknowledgment"), ("copyright owner", "copyright holder"), ("merchantibility", "merchantability"), ("http", "https")]
+SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub license", "sublicense"), ("noncommercial", "non commercial"), ("organisation", "organization"), ("recognise", "recognize"), ("favour", "favor"), ("non infringement", "noninfringement"), ("acknowledgement", "acknowledgment"), ("copyright owner", "copyright holder"), ("merchantibility", "merchantability"), ("http", "https")]
 
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n©]*(?:copyright|copr\.?|\(c\)|©)[^\p{L}\n]*(?:\((?:c)\)|©|[0-9<\[]|year)[^\n]*$"
 RESERVED_LINE = r"(?m)^[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$"
@@ -89,34 +92,36 @@ def digest(text: Column) -> Column:
 def known_licenses(spark: SparkSession) -> DataFrame:
     """license_id, kind ("text" or "notice") and text of what the library knows."""
     rows = [(k, "text", t) for k, t in TEXTS.items()] + [(k, "notice", t) for k, ts in NOTICES.items() for t in ts]
-    return spark.createDataFrame(rows, "license_id string, kind string, text string")
+    listed = F.array(*(F.struct(F.lit(k).alias("license_id"), F.lit(kind).alias("kind"), F.lit(t).alias("text")) for k, kind, t in rows))
+    return spark.range(1).select(F.inline(listed))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Columns of `docs` plus canonical_sha256, license_id (of the entire text, or null) and notices
-    (ids of the licences that whole lines name, in order, comma-joined; null where there are none)."""
-    table = known.select(digest(F.col("text")).alias("_digest"), "kind", "license_id").groupBy("_digest", "kind").agg(F.min("license_id").alias("_license"))
-    small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hint = F.broadcast if small else lambda d: d
-    text, lines, row = (free_name(docs.columns, c) for c in ("_whole", "_lines", "_row"))
-    one = table.filter("kind = 'text' or kind = 'notice'").groupBy(F.col("_digest").alias(text)).agg(F.min("_license").alias("license_id"))
-    d = docs.withColumn(text, digest(F.col("text")))
-    d = d.select(F.struct(*docs.columns).alias(row), text).join(hint(one), text, "left") if small else d.select(F.struct(*docs.columns).alias(row), text).join(one, text, "left")
-    # notices: the few known lines are a map, so that lines need no explode and no shuffle
-    notice = {r["_digest"]: r["_license"] for r in table.filter("kind = 'notice'").limit(BROADCAST_ROWS).collect()}
-    looks = F.filter(F.split(F.coalesce(F.col(f"{row}.text"), F.lit("")), "\n"), lambda x: F.lower(x).rlike("licen|spdx|cc0|copyright") & (F.length(x) <= 400))
-    d = d.withColumn(lines, looks)
-    names = F.lit(None).cast("string")
-    found = F.transform(F.col(lines), lambda x: _lookup(digest(x), notice))
-    names = F.array_join(F.array_distinct(F.filter(found, lambda x: x.isNotNull())), ",")
-    return d.select(f"{row}.*", F.col(text).alias("canonical_sha256"), "license_id", F.when(F.length(names) > 0, names).alias("notices"))
-
-
-def _lookup(key: Column, table: dict[str, str]) -> Column:
+    """Columns of `docs` plus canonical_sha256, license_id (of the entire text, or null) and notices (ids of the
+    licences that whole lines state, in order, comma-joined; null where there are none)."""
+    table = known.select(digest(F.col("text")).alias("digest"), "kind", "license_id")
+    texts = table.groupBy(F.col("digest").alias("canonical_sha256")).agg(F.min("license_id").alias("license_id"))
+    small = texts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    row = free_name(docs.columns, "_row")
+    d = docs.select(F.struct(*docs.columns).alias(row), digest(F.col("text")).alias("canonical_sha256"), _notices(F.col("text"), table).alias("notices"))
+    found = d.join(F.broadcast(texts) if small else texts, "canonical_sha256", "left")
+    return found.select(f"{row}.*", "canonical_sha256", "license_id", "notices")
+
+
+def _notices(text: Column, table: DataFrame) -> Column:
+    """Lines are looked up without a row for each: the digests of the known one-line notices are a constant."""
     by_license: dict[str, list[str]] = {}
-    for k, v in table.items():
-        by_license.setdefault(v, []).append(k)
-    out = F.lit(None).cast("string")
-    for name, keys in sorted(by_license.items()):
-        out = F.when(key.isin(keys), F.lit(name)).otherwise(out)
-    return out
+    for r in table.filter("kind = 'notice'").groupBy("digest").agg(F.min("license_id").alias("license_id")).limit(MOST_NOTICES + 1).collect():
+        by_license.setdefault(r["license_id"], []).append(r["digest"])
+    if sum(map(len, by_license.values())) > MOST_NOTICES:
+        raise ValueError(f"more than {MOST_NOTICES} one-line notices")
+
+    def name(line: Column) -> Column:
+        key, out = digest(line), F.lit(None).cast("string")
+        for license_id, digests in sorted(by_license.items()):
+            out = F.when(key.isin(digests), F.lit(license_id)).otherwise(out)
+        return out
+
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(NOTICE_WORDS))
+    names = F.filter(F.transform(lines, name), lambda x: x.isNotNull())
+    return F.nullif(F.array_join(F.array_distinct(names), ","), F.lit(""))
