@@ -25,16 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import free_name, made, materialise, settle, text_key
+from hirelake.llm.common import drop_scratch, free_name, made, materialise, settle, text_key
 from hirelake.llm.components import components
 from hirelake.llm.tokens import U, Words, mix, slices
 
 N_WORDS = 3
 PERCENT = 90
-STEP = 1.25  # ratio of the size classes
+STEP = 1.6  # ratio of the size classes
+BITS = 1 << 25  # of the bitmap of keys that are there more than once
+BROADCAST_ROWS = 500_000  # 32 bytes each
 BATCH = 1_000  # rows of text that go to Python at a time
 _MULTIPLIERS = np.random.default_rng(77).integers(1, 1 << 63, 64, dtype=np.uint64) | U(1)
 
@@ -112,6 +115,30 @@ def _signed(n: int, percent: int):
     return run
 
 
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bit for each key, in BITS / 8 bytes however many keys there are."""
+    at = F.pmod("key", F.lit(BITS))
+    words = keys.groupBy(F.floor(at / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))).alias("bits")).toPandas()
+    out = np.zeros(BITS // 64, dtype=np.uint64)
+    out[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
+
+
+def _kept(bitmap: np.ndarray):
+    """The entries whose key has its bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("keys")
+            flat, row = keys.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(keys)), pa.compute.list_value_length(keys).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = np.mod(flat, BITS)
+            keep = np.flatnonzero((bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & U(1))
+            take = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([batch.column("c").take(take), batch.column("n_shingles").take(take), pa.array(flat[keep], pa.int64())], names=["c", "n_shingles", "key"])
+
+    return run
+
+
 def _grams(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,17 +170,26 @@ def classes(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, text: str
     base = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"), text_key(F.col(text)).alias("_key"))
     kind = dict(base.dtypes)["_doc"]
     signed = materialise(base.mapInArrow(_signed(n, percent), f"_doc {kind}, _key binary, n_shingles long, node binary, c long, keys array<long>"), "join-signed", BATCH)
+    whole = made()[-1]
+    slim = materialise(signed.drop("keys"), "join-slim")
+    # Keys that one row has can go. A bitmap of fixed size tells them: where it is full they stay, to go in the next step.
+    again = signed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    entries = signed.select("c", "n_shingles", "keys").mapInArrow(_kept(_bitmap(again)), "c long, n_shingles long, key long")
+    entries = materialise(entries.distinct(), "join-entries")
+    drop_scratch(docs.sparkSession, [whole])
     # blocks that two nodes hold alike; the least node of a block is the hub that the others are compared with.
     # c is 64 bits of the node: candidates may go by it, since products and links are those of whole nodes
-    entries = signed.select("c", "n_shingles", F.explode("keys").alias("key"))
     hubs = entries.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("other")).filter("hub <> other").drop("other")
     hubs = materialise(hubs, "join-hubs")  # so that the join exchanges both sides and splits what is skewed
-    shared = materialise(entries.join(hubs, "key").distinct(), "join-blocks")
+    shared = materialise(entries.join(hubs, "key"), "join-blocks")
     # the incidence rows of the nodes that are left
     left = shared.select("c").distinct()
-    texts = signed.join(left, "c", "left_semi").groupBy("c", "node").agg(F.min("_key").alias("_key"))
-    whole = base.groupBy("_key").agg(F.first("_text").alias("_text"))
-    near = materialise(texts.join(whole, "_key").select("c", "node", "_text"), "join-near")
+    texts = materialise(slim.join(left, "c", "left_semi").groupBy("c", "node").agg(F.min("_key").alias("_key")), "join-left")
+    if texts.count() <= BROADCAST_ROWS:
+        near = base.join(F.broadcast(texts), "_key").groupBy("c", "node").agg(F.first("_text").alias("_text"))
+    else:
+        near = texts.join(base.groupBy("_key").agg(F.first("_text").alias("_text")), "_key").select("c", "node", "_text")
+    near = materialise(near, "join-near")
     rows = materialise(near.mapInArrow(_grams(n), "c long, node binary, grams array<long>"), "join-rows", BATCH)
     names = rows.select("c", "node")
     # first the hub that a node meets most often, then its other hubs, then what is left between components
@@ -172,7 +208,7 @@ def classes(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, text: str
     third = materialise(_products(_across(shared, comp, groups, first.unionByName(second), percent), rows).filter(_linked(percent)), "join-third")
     if not third.isEmpty():
         comp = materialise(components(links.unionByName(third.select("a", "b"))), "join-components")
-    out = signed.drop("keys", "c").join(comp.select("node", "component"), "node", "left")
+    out = slim.drop("c").join(comp.select("node", "component"), "node", "left")
     return out.withColumn("component", F.coalesce("component", "node"))
 
 
