@@ -28,14 +28,15 @@ TOLERANCE = 0.002  # of a shard's bytes, or one document where that is more
 RANGE_BYTES = 32 << 20
 MOST_RANGES = 16_384  # boundaries are sent to every task
 PROBES = 8  # candidates between two counted boundaries
-ROUNDS = 40
+ROUNDS = 80
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 Key = tuple[int, int, int]
 
 
 @dataclass
 class Cut:
-    """A boundary under search: counted candidates below and above its target. Rows below a boundary have a smaller key."""
+    """A boundary under search. Rows below a boundary have a smaller key; low and high are counted boundaries around the
+    target, and span holds the least and the greatest value of each part of the keys between them."""
 
     target: float
     low: Key
@@ -44,34 +45,32 @@ class Cut:
     high: Key
     high_bytes: int
     high_rows: int
-    found: tuple[Key, int, int] | None = None
+    span: list[tuple[int, int]]
 
-    def close(self, slack: float) -> bool:
-        for key, size, rows in ((self.low, self.low_bytes, self.low_rows), (self.high, self.high_bytes, self.high_rows)):
-            if abs(size - self.target) <= slack and (self.found is None or abs(size - self.target) < abs(self.found[1] - self.target)):
-                self.found = (key, size, rows)
-        return self.found is not None
+    def nearest(self) -> tuple[Key, int, int]:
+        ends = (self.low, self.low_bytes, self.low_rows), (self.high, self.high_bytes, self.high_rows)
+        return min(ends, key=lambda x: abs(x[1] - self.target))
+
+    def met(self, slack: float) -> bool:
+        return abs(self.nearest()[1] - self.target) <= slack
 
     def candidates(self, n: int) -> list[Key]:
-        """Keys between low and high: in the first part of the key that differs, near where the target should be."""
-        part = next((i for i in range(3) if self.low[i] != self.high[i]), 3)
-        if part == 3:
+        """Boundaries between low and high, in the first part in which the keys there differ; none if they are all equal."""
+        part = next((i for i, (a, b) in enumerate(self.span) if a != b), None)
+        if part is None:
             return []
-        a, b = self.low[part], self.high[part]
-        if b - a <= 1:  # nothing between in this part: split what has the lower value by the next one
-            if part == 2:
-                return []
-            a2, b2 = self.low[part + 1], HIGH
-            return [(*self.low[: part + 1], v, *[LOW] * (1 - part)) for v in _between(a2, b2, n, 0.5)]
+        a, b = self.span[part]
         share = (self.target - self.low_bytes) / max(1, self.high_bytes - self.low_bytes)
-        return [(*self.low[:part], v, *[LOW] * (2 - part)) for v in _between(a, b, n, share)]
+        head = [x for x, _ in self.span[:part]]
+        return [(*head, v, *[LOW] * (2 - part)) for v in _between(a, b, n, share)]
 
 
 def _between(a: int, b: int, n: int, share: float) -> list[int]:
+    """Values above a, up to b: spread evenly, and close to where the target should be."""
     width = b - a
     even = [a + width * (i + 1) // (n + 1) for i in range(n)]
     near = [a + int(width * min(1.0, max(0.0, share + d))) for d in (-0.02, -0.002, 0.0, 0.002, 0.02)]
-    return sorted({v for v in even + near if a < v < b})
+    return sorted({min(b, max(a + 1, v)) for v in even + near})
 
 
 def bucket_of(keys: list[Key]):
@@ -90,31 +89,33 @@ def bucket_of(keys: list[Key]):
     return F.pandas_udf(run, "long")
 
 
-def boundaries(keyed: DataFrame, targets: list[float], total: int, rows: int, slack: float) -> list[tuple[Key, int, int]]:
+def _spans() -> list[Column]:
+    return [f(c).alias(f"{name}_{c}") for c in "hds" for name, f in (("min", F.min), ("max", F.max))]
+
+
+def boundaries(keyed: DataFrame, targets: list[float], slack: float) -> list[tuple[Key, int, int]]:
     """For each target the boundary key, and the exact bytes and rows below it. keyed: h, d, s (long) and size."""
-    lowest, highest = (LOW, LOW, LOW), (HIGH, HIGH, HIGH)
-    cuts = [Cut(t, lowest, 0, 0, highest, total, rows) for t in targets]
+    count = [F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"), *_spans()]
+    span = lambda r: [(r[f"min_{c}"], r[f"max_{c}"]) for c in "hds"]
+    whole = keyed.agg(*count).first()
+    total, rows = int(whole["size"]), int(whole["rows"])
+    cuts = [Cut(t, (LOW, LOW, LOW), 0, 0, (HIGH, HIGH, HIGH), total, rows, span(whole)) for t in targets]
     for _ in range(ROUNDS):
-        open_ = [c for c in cuts if not c.close(slack)]
-        keys = sorted({k for c in open_ for k in c.candidates(PROBES)})
-        if not keys:
+        open_ = [c for c in cuts if not c.met(slack)]
+        if not any(c.candidates(PROBES) for c in open_):
             break
-        counted = keyed.groupBy(bucket_of(keys)("h", "d", "s").alias("b")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
-        size, count = [0] * (len(keys) + 1), [0] * (len(keys) + 1)
-        for r in counted:
-            size[r["b"]], count[r["b"]] = int(r["size"]), int(r["rows"])
-        below_bytes, below_rows = np.cumsum(size)[:-1].tolist(), np.cumsum(count)[:-1].tolist()
+        keys = sorted({k for c in open_ for k in (*c.candidates(PROBES), c.low, c.high)})
+        found = {r["b"]: r for r in keyed.groupBy(bucket_of(keys)("h", "d", "s").alias("b")).agg(*count).collect()}
+        size = [int(found[i]["size"]) if i in found else 0 for i in range(len(keys) + 1)]
+        n = [int(found[i]["rows"]) if i in found else 0 for i in range(len(keys) + 1)]
+        below_bytes, below_rows = np.cumsum(size)[:-1].tolist(), np.cumsum(n)[:-1].tolist()
         for c in open_:
-            i = bisect.bisect_left(below_bytes, c.target)
-            if i < len(keys) and keys[i] <= c.high:
-                c.high, c.high_bytes, c.high_rows = keys[i], below_bytes[i], below_rows[i]
-            if i > 0 and keys[i - 1] >= c.low:
-                c.low, c.low_bytes, c.low_rows = keys[i - 1], below_bytes[i - 1], below_rows[i - 1]
-    for c in cuts:
-        if not c.close(slack):  # one row is larger than the slack: the nearer side
-            near = (c.low, c.low_bytes, c.low_rows), (c.high, c.high_bytes, c.high_rows)
-            c.found = min(near, key=lambda x: abs(x[1] - c.target))
-    return [c.found for c in cuts]
+            first, last = bisect.bisect_left(keys, c.low), bisect.bisect_left(keys, c.high)
+            i = min(last, max(first + 1, bisect.bisect_left(below_bytes, c.target)))
+            c.low, c.low_bytes, c.low_rows = keys[i - 1], below_bytes[i - 1], below_rows[i - 1]
+            c.high, c.high_bytes, c.high_rows = keys[i], below_bytes[i], below_rows[i]
+            c.span = span(found[i]) if i in found else [(0, 0)] * 3
+    return [c.nearest() for c in cuts]
 
 
 def shard(docs: DataFrame, text: Column | None = None, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -132,7 +133,7 @@ def shard(docs: DataFrame, text: Column | None = None, shards: int = SHARDS, tol
     per_shard = max(1, min(MOST_RANGES // shards, math.ceil(total / shards / RANGE_BYTES)))
     n = shards * per_shard
     targets = [total * i / n for i in range(1, n)]
-    found = sorted(boundaries(slim, targets, total, rows, tolerance * total / shards)) if rows else []
+    found = sorted(boundaries(slim, targets, tolerance * total / shards)) if rows else []
     keys, first = [k for k, *_ in found], [0, *(r for *_, r in found)]
     starts = docs.sparkSession.createDataFrame([(i, i // per_shard, int(first[i] - first[i - i % per_shard])) for i in range(len(first))], "_range long, shard int, _first long")
     ranged = keyed.withColumn("_range", bucket_of(keys)("h", "d", "s") if keys else F.lit(0).cast("long"))
