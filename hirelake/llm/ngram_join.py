@@ -35,7 +35,8 @@ from hirelake.llm.tokens import U, Words, mix, slices
 
 N_WORDS = 3
 PERCENT = 90
-STEP = 1.6  # ratio of the size classes
+STEP = 1.25  # ratio of the size classes
+HOT = (64, 1024)  # documents that have a column: above each of these numbers it goes further back in the order of columns
 BITS = 1 << 25  # of the bitmap of keys that are there more than once
 BROADCAST_ROWS = 500_000  # 32 bytes each
 BATCH = 1_000  # rows of text that go to Python at a time
@@ -97,7 +98,35 @@ def block_keys(grams: np.ndarray, schemes: list[Scheme]) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
-def _signed(n: int, percent: int):
+def has_bit(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = np.mod(keys.view(np.int64), BITS)
+    return ((bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & U(1)).astype(bool)
+
+
+def prefix_keys(grams: np.ndarray, percent: int, hot: list[np.ndarray], more: float = 1.0) -> np.ndarray:
+    """The columns of a row that decide: so many that two rows at the threshold share one of them, whatever the order of
+    the columns, if it is one order for all rows. Here columns that many rows have come last."""
+    if not len(grams):
+        return grams.view(np.int64)
+    most = len(grams) - -(-percent * len(grams) // 100) + 1
+    if hot:
+        grams = grams[np.argsort(sum(has_bit(b, grams).astype(np.int8) for b in hot), kind="stable")]
+    return grams[: int(most * more)].view(np.int64)
+
+
+def _early(n: int, percent: int):
+    """The first columns of each row by hash, half as many again as decide, to count how many rows have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, w in slices(batch.column("_text"), lower=True):
+                keys = [prefix_keys(g, percent, [], 1.5) for g in shingle_sets(w, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64())], names=["key"])
+
+    return run
+
+
+def _signed(n: int, percent: int, hot: list[np.ndarray] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Schemes(percent)
         for batch in batches:
@@ -106,7 +135,7 @@ def _signed(n: int, percent: int):
                 for g in shingle_sets(w, n):
                     size.append(len(g))
                     node.append(mix(np.array([mix(g).sum(dtype=np.uint64), mix(g ^ U(0xABCDEF12345)).sum(dtype=np.uint64)], dtype=np.uint64) + U(len(g))).tobytes())
-                    keys.append(block_keys(g, known.of(len(g))))
+                    keys.append(block_keys(g, known.of(len(g))) if hot is None else prefix_keys(g, percent, hot))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_doc").slice(a, b - a), batch.column("_key").slice(a, b - a), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array([int.from_bytes(x[:8], "little", signed=True) for x in node], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["_doc", "_key", "n_shingles", "node", "c", "keys"],
@@ -118,9 +147,9 @@ def _signed(n: int, percent: int):
 def _bitmap(keys: DataFrame) -> np.ndarray:
     """A bit for each key, in BITS / 8 bytes however many keys there are."""
     at = F.pmod("key", F.lit(BITS))
-    words = keys.groupBy(F.floor(at / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))).alias("bits")).toPandas()
+    words = keys.groupBy(F.floor(at / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))).alias("bits")).toArrow()
     out = np.zeros(BITS // 64, dtype=np.uint64)
-    out[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
 
 
@@ -131,8 +160,7 @@ def _kept(bitmap: np.ndarray):
         for batch in batches:
             keys = batch.column("keys")
             flat, row = keys.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(keys)), pa.compute.list_value_length(keys).to_numpy(zero_copy_only=False).astype(np.int64))
-            at = np.mod(flat, BITS)
-            keep = np.flatnonzero((bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & U(1))
+            keep = np.flatnonzero(has_bit(bitmap, flat))
             take = pa.array(row[keep])
             yield pa.RecordBatch.from_arrays([batch.column("c").take(take), batch.column("n_shingles").take(take), pa.array(flat[keep], pa.int64())], names=["c", "n_shingles", "key"])
 
@@ -165,11 +193,17 @@ def _linked(percent: int) -> Column:
     return 100 * F.col("overlap") >= percent * (F.col("nx") + F.col("ny") - F.col("overlap"))
 
 
-def classes(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """One row per row of `docs`: _doc, _key (of the text), n_shingles, node (of the n-gram set) and component (a node)."""
+def classes(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, text: str = "text", doc: str = "doc_id", columns: str = "blocks") -> DataFrame:
+    """One row per row of `docs`: _doc, _key (of the text), n_shingles, node (of the n-gram set) and component (a node).
+    columns: "blocks" compares rows that agree on a block of columns; "prefix" those that share one of the columns that
+    decide, fewer keys where low thresholds ask for many blocks, and best where chance shares few n-grams. Both are exact."""
     base = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"), text_key(F.col(text)).alias("_key"))
     kind = dict(base.dtypes)["_doc"]
-    signed = materialise(base.mapInArrow(_signed(n, percent), f"_doc {kind}, _key binary, n_shingles long, node binary, c long, keys array<long>"), "join-signed", BATCH)
+    hot = None
+    if columns == "prefix":
+        counts = materialise(base.mapInArrow(_early(n, percent), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min(HOT)), "join-counts", BATCH)
+        hot = [_bitmap(counts.filter(F.col("n") > most)) for most in HOT]
+    signed = materialise(base.mapInArrow(_signed(n, percent, hot), f"_doc {kind}, _key binary, n_shingles long, node binary, c long, keys array<long>"), "join-signed", BATCH)
     whole = made()[-1]
     slim = materialise(signed.drop("keys"), "join-slim")
     # Keys that one row has can go. A bitmap of fixed size tells them: where it is full they stay, to go in the next step.
@@ -297,7 +331,7 @@ def join_documents(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT) ->
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, that with the least doc_id (then text); documents without n-grams all stay. Columns as in `docs`."""
     since = len(made())
-    found = settle(classes(docs, n, percent), "join-classes", since)
+    found = settle(classes(docs, n, percent, columns="prefix"), "join-classes", since)
     first = found.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("_doc").isNull(), "_doc", "_key")).alias("m")).select(F.col("m._doc").alias("_d"), F.col("m._key").alias("_k"))
     row, key, no = (free_name(docs.columns, c) for c in ("_row", "_k", "_no"))
     d = docs.select(F.struct(*docs.columns).alias(row), text_key(F.col("text")).alias(key), F.col("doc_id").alias("_d2"))
