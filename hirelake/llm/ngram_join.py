@@ -26,7 +26,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hirelake.llm.common import drop_scratch, free_name, made, materialise, settle, text_key
@@ -37,7 +39,8 @@ N_WORDS = 3
 PERCENT = 90
 STEP = 1.25  # ratio of the size classes
 HOT = (64, 1024)  # documents that have a column: above each of these numbers it goes further back in the order of columns
-BITS = 1 << 25  # of the bitmap of keys that are there more than once
+MOST_BITS = 1 << 25  # of a bitmap of keys, however many there are
+BITS_A_KEY = 16
 BROADCAST_ROWS = 500_000  # 32 bytes each
 BATCH = 1_000  # rows of text that go to Python at a time
 _MULTIPLIERS = np.random.default_rng(77).integers(1, 1 << 63, 64, dtype=np.uint64) | U(1)
@@ -99,7 +102,7 @@ def block_keys(grams: np.ndarray, schemes: list[Scheme]) -> np.ndarray:
 
 
 def has_bit(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = np.mod(keys.view(np.int64), BITS)
+    at = np.mod(keys.view(np.int64), len(bitmap) * 64)
     return ((bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & U(1)).astype(bool)
 
 
@@ -126,7 +129,7 @@ def _early(n: int, percent: int):
     return run
 
 
-def _signed(n: int, percent: int, hot: list[np.ndarray] | None):
+def _signed(n: int, percent: int, hot: list[Broadcast] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Schemes(percent)
         for batch in batches:
@@ -135,7 +138,7 @@ def _signed(n: int, percent: int, hot: list[np.ndarray] | None):
                 for g in shingle_sets(w, n):
                     size.append(len(g))
                     node.append(mix(np.array([mix(g).sum(dtype=np.uint64), mix(g ^ U(0xABCDEF12345)).sum(dtype=np.uint64)], dtype=np.uint64) + U(len(g))).tobytes())
-                    keys.append(block_keys(g, known.of(len(g))) if hot is None else prefix_keys(g, percent, hot))
+                    keys.append(block_keys(g, known.of(len(g))) if hot is None else prefix_keys(g, percent, [b.value for b in hot]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_doc").slice(a, b - a), batch.column("_key").slice(a, b - a), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array([int.from_bytes(x[:8], "little", signed=True) for x in node], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["_doc", "_key", "n_shingles", "node", "c", "keys"],
@@ -144,23 +147,24 @@ def _signed(n: int, percent: int, hot: list[np.ndarray] | None):
     return run
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """A bit for each key, in BITS / 8 bytes however many keys there are."""
-    at = F.pmod("key", F.lit(BITS))
+def _bitmap(keys: DataFrame) -> Broadcast:
+    """A bit for each key; several keys may share one. At most MOST_BITS, so its size is bounded."""
+    n = max(1 << 10, min(MOST_BITS, 1 << (BITS_A_KEY * keys.count()).bit_length()))
+    at = F.pmod("key", F.lit(n))
     words = keys.groupBy(F.floor(at / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))).alias("bits")).toArrow()
-    out = np.zeros(BITS // 64, dtype=np.uint64)
+    out = np.zeros(n // 64, dtype=np.uint64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    return out
+    return keys.sparkSession.sparkContext.broadcast(out)
 
 
-def _kept(bitmap: np.ndarray):
+def _kept(bitmap: Broadcast):
     """The entries whose key has its bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("keys")
             flat, row = keys.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(keys)), pa.compute.list_value_length(keys).to_numpy(zero_copy_only=False).astype(np.int64))
-            keep = np.flatnonzero(has_bit(bitmap, flat))
+            keep = np.flatnonzero(has_bit(bitmap.value, flat))
             take = pa.array(row[keep])
             yield pa.RecordBatch.from_arrays([batch.column("c").take(take), batch.column("n_shingles").take(take), pa.array(flat[keep], pa.int64())], names=["c", "n_shingles", "key"])
 
@@ -206,8 +210,8 @@ def classes(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, text: str
     signed = materialise(base.mapInArrow(_signed(n, percent, hot), f"_doc {kind}, _key binary, n_shingles long, node binary, c long, keys array<long>"), "join-signed", BATCH)
     whole = made()[-1]
     slim = materialise(signed.drop("keys"), "join-slim")
-    # Keys that one row has can go. A bitmap of fixed size tells them: where it is full they stay, to go in the next step.
-    again = signed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Keys that one row has can go. A bitmap of bounded size tells them: where it is full they stay, to go in the next step.
+    again = materialise(signed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "join-again")
     entries = signed.select("c", "n_shingles", "keys").mapInArrow(_kept(_bitmap(again)), "c long, n_shingles long, key long")
     entries = materialise(entries.distinct(), "join-entries")
     drop_scratch(docs.sparkSession, [whole])
@@ -273,7 +277,8 @@ def _within(shared: DataFrame, comp: DataFrame, groups: DataFrame, rows: DataFra
     """Links between members of a group that are in different components, exactly, from what sets their rows apart from
     the group's centre (the n-grams that more than half have). With e(x) n-grams apart and w(x) = (100 + percent) e(x) -
     (100 - percent) |x|, x and y link if and only if w(x) + w(y) <= 2 (100 + percent) |apart(x) & apart(y)|. So who links
-    with anybody without a common difference links with the member of least w, and other links share a difference."""
+    with anybody without a common difference links with the member of least w; other links share differences, and rare
+    ones among them."""
     nodes = _mixed(shared, comp).select("c", "component").distinct().join(groups, "c")
     sets = materialise(nodes.join(rows, "c").select("group", "node", "component", "grams"), "join-sets")
     sizes = sets.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
@@ -288,16 +293,24 @@ def _within(shared: DataFrame, comp: DataFrame, groups: DataFrame, rows: DataFra
     star = materialise(star, "join-star")
     # those that the star has put together need no pair any more
     held = least.select("group", F.col("m.w").alias("mw"), F.col("m.node").alias("mn"))
-    d = d.join(held, "group").withColumn("component", F.when(F.col("w") + F.col("mw") <= 0, F.col("mn")).when(F.col("node") == F.col("mn"), F.col("mn")).otherwise(F.col("component"))).drop("mw", "mn")
-    e = materialise(d.select("*", F.explode("apart").alias("gram")), "join-apart-grams")
-    twice = materialise(e.groupBy("group", "gram").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("group", "gram"), "join-shared-grams")
-    e = e.join(twice, ["group", "gram"], "left_semi").select("group", "gram", "node", "component", "apart", "w")
-    x, y = e.toDF("group", "gram", "a", "cx", "dx", "wx"), e.toDF("group", "gram", "b", "cy", "dy", "wy")
-    both = F.array_intersect("dx", "dy")
-    linked = F.col("wx") + F.col("wy") <= 2 * (100 + percent) * F.size(both)
-    once = F.array_min(both) == F.col("gram")
-    pairs = x.join(y, ["group", "gram"]).filter((F.col("a") < F.col("b")) & (F.col("cx") != F.col("cy")) & linked & once)
-    return star.unionByName(pairs.select("a", "b"))
+    d = d.join(held, "group").withColumn("component", F.when(F.col("w") + F.col("mw") <= 0, F.col("mn")).when(F.col("node") == F.col("mn"), F.col("mn")).otherwise(F.col("component"))).drop("mn")
+    # Other links need at least `need` common differences, so all but need - 1 of the rarest of each node find them.
+    d = materialise(d, "join-star-components")
+    e = materialise(d.select("group", "node", F.explode("apart").alias("gram")), "join-apart-grams")
+    shared_grams = materialise(e.groupBy("group", "gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "join-shared-grams")
+    f = e.join(shared_grams, ["group", "gram"])
+    need = F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("mw")) / (2 * (100 + percent))))
+    held = d.select("group", "node", "component", "size", "w", (F.size("apart") - need + 1).alias("most"), F.size("apart").alias("all"))
+    own = f.groupBy("group", "node").agg(F.count(F.lit(1)).alias("common"))
+    rank = F.row_number().over(W.partitionBy("group", "node").orderBy("n", "gram"))
+    f = f.withColumn("rank", rank).join(held.join(own, ["group", "node"]), ["group", "node"]).filter(F.col("rank") + F.col("all") - F.col("common") <= F.col("most"))
+    f = materialise(f.select("group", "gram", "node", "component", "size", "w"), "join-rare")
+    x, y = f.toDF("group", "gram", "a", "cx", "sx", "wx"), f.toDF("group", "gram", "b", "cy", "sy", "wy")
+    sized = 100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy")
+    pairs = x.join(y, ["group", "gram"]).filter((F.col("a") < F.col("b")) & (F.col("cx") != F.col("cy")) & sized).groupBy("a", "b").agg(F.first("wx").alias("wx"), F.first("wy").alias("wy"))
+    both = pairs.join(d.select(F.col("node").alias("a"), F.col("apart").alias("dx")), "a").join(d.select(F.col("node").alias("b"), F.col("apart").alias("dy")), "b")
+    links = both.filter(F.col("wx") + F.col("wy") <= 2 * (100 + percent) * F.size(F.array_intersect("dx", "dy")))
+    return star.unionByName(links.select("a", "b"))
 
 
 def _across(shared: DataFrame, comp: DataFrame, groups: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -308,14 +321,11 @@ def _across(shared: DataFrame, comp: DataFrame, groups: DataFrame, known: DataFr
     d = materialise(d.select("key", "c", "n_shingles", "component", "far", "group"), "join-mixed")
     several = materialise(d.groupBy("key").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).filter("g1 <> g2").select("key"), "join-several")
     d = d.join(several, "key", "left_semi")
-    own_keys = d.groupBy("c").agg(F.collect_list("key").alias("keys"))
-    d = materialise(d.join(own_keys, "c").select("key", "c", "n_shingles", "component", "far", "group", "keys"), "join-across")
-    x, y = d.toDF("key", "x", "sx", "cx", "fx", "gx", "kx"), d.toDF("key", "y", "sy", "cy", "fy", "gy", "ky")
+    d = materialise(d.select("key", "c", "n_shingles", "component", "far", "group"), "join-across")
+    x, y = d.toDF("key", "x", "sx", "cx", "fx", "gx"), d.toDF("key", "y", "sy", "cy", "fy", "gy")
     near = F.coalesce(F.abs(F.col("fx") - F.col("fy")) <= _most_differ(F.col("sx"), F.col("sy"), percent), F.lit(True))
     sized = 100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy")
-    # a pair that meets in many blocks is formed in one of them
-    once = F.array_min(F.array_intersect("kx", "ky")) == F.col("key")
-    return x.join(y, "key").filter((F.col("x") < F.col("y")) & (F.col("gx") != F.col("gy")) & (F.col("cx") != F.col("cy")) & sized & near & once).select("x", "y").distinct()
+    return x.join(y, "key").filter((F.col("x") < F.col("y")) & (F.col("gx") != F.col("gy")) & (F.col("cx") != F.col("cy")) & sized & near).select("x", "y").distinct()
 
 
 def join_documents(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT) -> DataFrame:

@@ -89,7 +89,7 @@ def test_ngram_join(docs, rows, n, percent, monkeypatch):
     got = lambda: Counter(tuple(r) for r in ngram_join.join_documents(docs, n, percent).collect())
     assert got() == want
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(ngram_join, "BITS", 64)  # a bitmap that is full lets every key stay
+    monkeypatch.setattr(ngram_join, "MOST_BITS", 1 << 10)  # a bitmap that is full lets every key stay
     assert got() == want
 
 
