@@ -111,7 +111,7 @@ def slice_text(col: Column, n: int) -> Column:
 
 def normalize_unicode(col: Column) -> Column:
     """Typographic blanks, dashes, quotes and ligatures to plain ones."""
-    plain = F.translate(col, " –—‘’“”", " --''\"\"")
+    plain = F.translate(col, "\u00a0\u2013\u2014\u2212\u2018\u2019\u201c\u201d", " ---''\"\"")
     return F.replace(F.replace(plain, F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))
 
 
