@@ -42,7 +42,7 @@ HOT = (64, 1024)  # documents that have a column: above each of these numbers it
 MOST_BITS = 1 << 25  # of a bitmap of keys, however many there are
 BITS_A_KEY = 16
 BROADCAST_ROWS = 500_000  # 32 bytes each
-BATCH = 1_000  # rows of text that go to Python at a time
+BATCH = 500  # rows of text that go to Python at a time
 _MULTIPLIERS = np.random.default_rng(77).integers(1, 1 << 63, 64, dtype=np.uint64) | U(1)
 
 

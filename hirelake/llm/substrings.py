@@ -30,8 +30,8 @@ from hirelake.llm.tokens import U, Words, mix, slices
 WINDOW = 35
 RUN = 8  # words of a minimiser
 HOT = 4_000  # strings of one minimiser above which its windows travel alone
-BUCKET_STRINGS = 4_000
-BATCH = 1_000  # rows of text that go to Python at a time
+BUCKET_STRINGS = 2_000
+BATCH = 500  # rows of text that go to Python at a time
 _PLACE = U((1 << 26) - 1)
 _MULTIPLIERS = np.random.default_rng(35).integers(1, 1 << 63, RUN, dtype=np.uint64) | U(1)
 
@@ -166,8 +166,11 @@ def _bucket(window: int):
     return run
 
 
-def _cleaned(window: int):
-    """Text by text: how many words go, and the digest of those that stay."""
+_CLEANED = "key binary, n_removed long, kept_sha256 string, kept string"
+
+
+def _cleaned(window: int, texts: bool = False):
+    """Text by text: how many words go, the digest of those that stay and, if asked for, they themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +186,7 @@ def _cleaned(window: int):
                     gone = np.cumsum(edge)[:n] > 0
                     removed.append(int(gone.sum()))
                     kept = b" ".join(data[at[f + i] : at[f + i + 1] - 1] for i in np.flatnonzero(~gone))
-                    digests.append((hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+                    digests.append((hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if texts else None))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("key").slice(a, b - a), pa.array(removed, pa.int64()), pa.array([d for d, _ in digests], pa.string()), pa.array([k for _, k in digests], pa.string())],
                     names=["key", "n_removed", "kept_sha256", "kept"],
@@ -233,7 +236,7 @@ def _hot(strings: DataFrame, window: int) -> DataFrame:
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256, one row per row of `docs`."""
     survey, texts = repeated_windows(docs, window)
-    cleaned = texts.mapInArrow(_cleaned(window), "key binary, n_removed long, kept_sha256 string, kept string").drop("kept")
+    cleaned = texts.mapInArrow(_cleaned(window), _CLEANED).drop("kept")
     nothing = hashlib.sha256(b"").hexdigest()
     out, copied = survey.join(cleaned, "key", "left"), (F.col("copies") > 1) & (F.col("n_words") >= window)
     return out.select(
@@ -247,6 +250,6 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def kept_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text key and the text that stays (words joined by one blank) of the rows that lose words."""
     survey, texts = repeated_windows(docs, window)
-    cleaned = texts.mapInArrow(_cleaned(window), "key binary, n_removed long, kept_sha256 string, kept string")
+    cleaned = texts.mapInArrow(_cleaned(window, True), _CLEANED)
     out = survey.join(cleaned, "key", "left").withColumn("copied", (F.col("copies") > 1) & (F.col("n_words") >= window))
     return out.filter("copied or n_removed > 0").select("doc_id", "key", F.when(F.col("copied"), F.lit("")).otherwise(F.col("kept")).alias("kept"))

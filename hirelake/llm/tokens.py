@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SLICE_BYTES = 1 << 20  # text handled at a time, so that working arrays stay small
+SLICE_BYTES = 1 << 18  # text handled at a time, so that working arrays stay small
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = int(_rng.integers(1, 1 << 62, dtype=np.uint64)) * 2 + 1
@@ -97,3 +97,4 @@ def slices(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[t
         stop = max(row + 1, int(np.searchsorted(off, off[row] + SLICE_BYTES, side="right")) - 1)
         yield row, stop, Words(raw[off[row] : off[stop]], off[row : stop + 1] - off[row], lower)
         row = stop
+    pa.default_memory_pool().release_unused()  # a worker lives on between batches and tasks
