@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hirelake.functions import dates, signals, skills, text, urls
-from hirelake.operators import dashboard, feed, incremental, matching, registry, requirements
+from hirelake.functions import dates, options, resume_lines, signals, skills, text, urls
+from hirelake.operators import boards, dashboard, feed, incremental, matching, registry, requirements, resume
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -466,3 +466,155 @@ def requirement_matches(spark, sf_dir):
 )
 def category_scores(spark, sf_dir):
     return matching.category_rows(_analysed(spark)).select("id", "category", "score")
+
+
+# ---- postings, resumes and answers -----------------------------------------------------------------------------
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    lit = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({names})"
+
+
+_PLACES = [
+    ("Toronto, ON", "Build things", "remote", "remote-canada"),
+    ("Remote", "Open to US only applicants", "unknown", "remote-us"),
+    ("Remote", "Join our EMEA team", "unknown", "remote-region-specific"),
+    ("Anywhere", "work from anywhere", "unknown", "remote-unknown"),
+    ("Berlin", "Office", "hybrid", "hybrid"),
+    ("Montréal", "Bureau", "on_site", "onsite"),
+    ("Paris", "Bureau", "unknown", "unknown"),
+]
+
+
+@query(_values([(i, p[3]) for i, p in enumerate(_PLACES)], "id, class"))
+def location_class(spark, sf_dir):
+    d = spark.createDataFrame([(i, *p[:3]) for i, p in enumerate(_PLACES)], "id int, location string, description string, workplace string")
+    return d.select("id", signals.location_class(F.col("location"), F.col("description"), F.col("workplace")).alias("class"))
+
+
+_OFFERS = [
+    ("Frontend Engineer", "Toronto", "unknown", None),
+    ("Account Executive", "Toronto", "remote", "title_mismatch"),
+    ("Platform Engineer", "Paris", "on_site", "location_mismatch"),
+    ("Engineering Intern", "Remote", "remote", "title_mismatch"),
+    ("Internal Tools Engineer", "Remote", "unknown", None),
+]
+
+
+@query(_values([(i, p[3]) for i, p in enumerate(_OFFERS)], "id, reason"))
+def import_filter(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    d = spark.createDataFrame([(i, *p[:3]) for i, p in enumerate(_OFFERS)], "id int, title string, location string, workplace string")
+    return d.select("id", signals.import_reason(F.col("title"), F.col("location"), F.lit("Text."), F.col("workplace"), none, none).alias("reason"))
+
+
+_BOARDS = [
+    ("greenhouse", "u", '{"board":"acme_labs","jobs":[{"id":7,"title":"Web  Engineer","location":{"name":"Remote - Canada"},"absolute_url":"http://x","content":"<p>Hi &amp; bye</p>","updated_at":"2024-01-01"}]}'),
+    ("lever", "https://jobs.lever.co/beta-co", '[{"id":"p1","text":"<div>Designer</div><div>More</div>","hostedUrl":"http://y","categories":{"location":"Oslo"},"createdAt":1700000000000}]'),
+    ("ashby", "u", '{"companyName":"Gamma","jobs":[{"id":"a","title":"Ops","isRemote":false,"workplaceType":"OnSite","location":"Rome","descriptionHtml":""}]}'),
+    ("other", "u", "{}"),
+]
+
+
+@query(_values([("greenhouse", "Acme Labs", "Web Engineer", "remote", "7", "2024-01-01", "Hi & bye"), ("lever", "Beta Co", "Designer", "unknown", "p1", "2023-11-14T22:13:20.000Z", "Designer\nMore"), ("ashby", "Gamma", "Ops", "on_site", "a", None, "Ops")], "provider, company, title, workplace, source_job_id, date_posted, description"))
+def board_postings(spark, sf_dir):
+    raw = spark.createDataFrame(_BOARDS, "provider string, url string, payload string")
+    return boards.normalize(raw).select("provider", "company", "title", "workplace", "source_job_id", "date_posted", "description")
+
+
+_RESUME = ["Jane Doe", "Web person", "jane@example.com", "Toronto, Canada", "Experience", "Senior Engineer | Acme", "Jun 2020 - Present", "- Built a design system for teams", "Skills", "Languages: TypeScript, Go", "Docker", "Tools:", "Figma, Jira"]
+
+
+def _resume(spark):
+    return spark.createDataFrame([(1, i, t) for i, t in enumerate(_RESUME)], "doc int, line_no int, text string")
+
+
+@query(_values([(0, "contact"), (1, "contact"), (2, "contact"), (3, "contact"), (5, "experience"), (6, "experience"), (7, "experience"), (9, "skills"), (10, "skills"), (11, "skills"), (12, "skills")], "line_no, section"))
+def resume_sections(spark, sf_dir):
+    return resume.sections(_resume(spark)).select("line_no", "section")
+
+
+@query(_values([("Jane Doe", "Web person", "jane@example.com", "Toronto, Canada")], "full_name, headline, email, location"))
+def resume_contact(spark, sf_dir):
+    lines = resume.lines_of(resume.sections(_resume(spark)), "contact")
+    return lines.select(resume.contact(F.col("lines")).alias("c")).select("c.full_name", "c.headline", "c.email", "c.location")
+
+
+@query(_values([(1, "Languages", "TypeScript|Go|Docker"), (2, "Tools", "Figma|Jira")], "group_no, category, skills"))
+def resume_skills(spark, sf_dir):
+    groups = resume.skill_groups(resume.sections(_resume(spark)).filter("section = 'skills'"))
+    return groups.select("group_no", "category", F.array_join("skills", "|").alias("skills"))
+
+
+@query(_values([("Senior Engineer", "Acme", "2020-06", None, True, "Built a design system for teams")], "title, company, start, finish, current, bullets"))
+def resume_blocks(spark, sf_dir):
+    blocks = resume.reconciled(resume.experience_blocks(resume.sections(_resume(spark)).filter("section = 'experience'")))
+    return blocks.select("title", "company", F.col("dates.start").alias("start"), F.col("dates.end").alias("finish"), F.col("dates.current").alias("current"), F.array_join("bullets", "|").alias("bullets"))
+
+
+_BULLETS = [(1, "Built React dashboards used by 40% of clients"), (2, "Maintained build servers and release tooling"), (3, "x"), (4, "Jane Doe | Engineer | Toronto, Canada")]
+
+
+@query(_values([(1, 1, 6), (2, 2, 2)], "rank, pos, points"))
+def tailoring_top(spark, sf_dir):
+    bullets = spark.createDataFrame([("u", *b) for b in _BULLETS], "user string, pos int, text string")
+    jobs = spark.createDataFrame([(1, "u", "React dashboards for clients")], "job int, user string, description string")
+    return resume.tailoring_bullets(bullets, jobs).select("rank", "pos", "points")
+
+
+@query(_values([(1, 'Verify claim: "9 years of experience"; "aws" mentioned in answer but not in cited evidence')], "id, claims"))
+def claims_check(spark, sf_dir):
+    d = spark.createDataFrame([(1, "I have 9 years of experience with AWS. I led the React rewrite.", "Led the React rewrite", "React and AWS")], "id int, answer string, evidence string, job string")
+    return d.select("id", F.array_join(resume_lines.unsupported_claims(F.col("answer"), F.col("evidence"), F.col("job")), "; ").alias("claims"))
+
+
+_OPTIONS = [("Canadian Citizen", "canadian_citizen", "", ""), ("Principal, Onsite", "", "staff", "on_site"), ("senior / hybrid", "", "senior", "hybrid"), (None, "", "", "")]
+
+
+@query(_values([(i, *o[1:]) for i, o in enumerate(_OPTIONS)], "id, work, seniority, remote"))
+def profile_options(spark, sf_dir):
+    d = spark.createDataFrame([(i, o[0]) for i, o in enumerate(_OPTIONS)], "id int, v string")
+    return d.select("id", options.work_authorization(F.col("v")).alias("work"), options.seniority(F.col("v")).alias("seniority"), options.remote_preference(F.col("v")).alias("remote"))
+
+
+_SLUGS = [("acme", True), ("1234", False), ("internet", False), ("ab", False), ("deadbeef00", False), ("a b", False), ("Acme-Co.2", True)]
+
+
+@query(_values([(i, s[1]) for i, s in enumerate(_SLUGS)], "id, plausible"))
+def plausible_slugs(spark, sf_dir):
+    d = spark.createDataFrame([(i, s[0]) for i, s in enumerate(_SLUGS)], "id int, slug string")
+    return d.select("id", urls.is_plausible_slug(F.col("slug")).alias("plausible"))
+
+
+# ---- extensions: what the tables invite beyond the postings ----------------------------------------------------
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def order_cube(spark, sf_dir):
+    return table(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    g AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM s)
+    SELECT user_id, session::BIGINT AS session, count(*) AS n, min(ts)::VARCHAR AS first_ts FROM g GROUP BY 1, 2"""
+)
+def event_sessions(spark, sf_dir):
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events")
+    apart = F.col("ts") - F.lag("ts").over(w)
+    e = e.withColumn("opens", F.when(apart <= F.expr("INTERVAL 6 HOURS"), 0).otherwise(1))
+    e = e.withColumn("session", F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return e.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.min("ts").cast("string").alias("first_ts"))
+
+
+@query("SELECT e.event_id, o.o_orderkey FROM events e ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL) o ON e.user_id = o.o_custkey AND e.ts >= o.o_orderdate")
+def asof_orders(spark, sf_dir):
+    """The last order of an event's user up to the event: one sort of both tables together, where an inequality join would form all earlier pairs."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), "ts", F.lit(1).alias("side"), "event_id", F.lit(None).cast("long").alias("o_orderkey"))
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("ts")).agg(F.max("o_orderkey").alias("o_orderkey"))
+    o = o.select("k", "ts", F.lit(0).alias("side"), F.lit(None).cast("long").alias("event_id"), "o_orderkey")
+    w = W.partitionBy("k").orderBy("ts", "side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    d = e.unionByName(o).withColumn("o_orderkey", F.last("o_orderkey", ignorenulls=True).over(w))
+    return d.filter("side = 1").select("event_id", "o_orderkey")
