@@ -72,6 +72,7 @@ Permission is granted to anyone to use this software for any purpose, including
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub license", "sublicense"), ("noncommercial", "non commercial"), ("organisation", "organization"), ("recognise", "recognize"), ("favour", "favor"), ("non infringement", "noninfringement"), ("acknowledgement", "acknowledgment"), ("copyright owner", "copyright holder"), ("merchantibility", "merchantability"), ("http", "https")]
 
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n©]*(?:copyright|copr\.?|\(c\)|©)[^\p{L}\n]*(?:\((?:c)\)|©|[0-9<\[]|year)[^\n]*$"
+NOT_LETTERS = r"[^\p{L}\p{N}]+"
 RESERVED_LINE = r"(?m)^[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$"
 
 
@@ -79,7 +80,7 @@ def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, one spelling, no punctuation, single blanks."""
     t = F.lower(F.coalesce(text, F.lit("")))
     t = F.regexp_replace(F.regexp_replace(t, COPYRIGHT_LINE, ""), RESERVED_LINE, "")
-    t = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    t = F.concat(F.lit(" "), F.regexp_replace(t, NOT_LETTERS, " "), F.lit(" "))
     for old, new in SPELLINGS:
         t = F.replace(t, F.lit(f" {old} "), F.lit(f" {new} "))
     return F.trim(t)

@@ -69,4 +69,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_license_scan": op10_license_scan,
 }
-ORACLES: dict[str, str] = {}
+
+# ---- SQL ---------------------------------------------------------------------------------------------------------
+
+_WORDS = r"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
+_SUBSTRINGS = f"""WITH w AS (SELECT doc_id, {_WORDS.format(x="coalesce(text, '')")} AS ws FROM documents),
+p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+win AS (SELECT doc_id, i, array_to_string(ws[i : i + 34], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+again AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY k) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS pos FROM again),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS s FROM p ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_JACCARD = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(x=_LOWER)} AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, least(len(ws), 1)) + 1)) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * m >= 90 * (a.n + b.n - m)),
+r(doc_id, node) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.node)
+SELECT w.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(node) AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY w.doc_id"""
+
+
+def _canonical_sql(x: str) -> str:
+    t = f"regexp_replace(regexp_replace(lower(coalesce({x}, '')), '{licenses.COPYRIGHT_LINE}', '', 'g'), '{licenses.RESERVED_LINE}', '', 'g')"
+    t = f"(' ' || regexp_replace({t}, '{licenses.NOT_LETTERS}', ' ', 'g') || ' ')"
+    for old, new in licenses.SPELLINGS:
+        t = f"replace({t}, ' {old} ', ' {new} ')"
+    return f"sha256(trim({t}))"
+
+
+def _license_sql() -> str:
+    rows = [(k, "text", t) for k, t in licenses.TEXTS.items()] + [(k, "notice", t) for k, ts in licenses.NOTICES.items() for t in ts]
+    quoted = ", ".join("('{}', '{}', '{}')".format(k, kind, t.replace("'", "''")) for k, kind, t in rows)
+    return f"""WITH known AS (SELECT id, kind, {_canonical_sql("body")} AS digest FROM (VALUES {quoted}) AS t(id, kind, body)),
+    whole AS (SELECT digest, min(id) AS id FROM known GROUP BY digest), notice AS (SELECT digest, min(id) AS id FROM known WHERE kind = 'notice' GROUP BY digest),
+    line AS (SELECT doc_id, pos, {_canonical_sql("line")} AS digest FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents) WHERE regexp_matches(line, '{licenses.NOTICE_WORDS}')),
+    said AS (SELECT doc_id, string_agg(id, ',' ORDER BY pos) AS notices FROM (SELECT doc_id, id, min(pos) AS pos FROM line JOIN notice USING (digest) GROUP BY ALL) GROUP BY doc_id)
+    SELECT d.doc_id, d.digest AS canonical_sha256, whole.id AS license_id, notices FROM (SELECT doc_id, {_canonical_sql("text")} AS digest FROM documents) d LEFT JOIN whole USING (digest) LEFT JOIN said ON said.doc_id = d.doc_id"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": _SUBSTRINGS,
+    "op7_ngram_jaccard": _JACCARD,
+    "op10_license_scan": _license_sql(),
+}
