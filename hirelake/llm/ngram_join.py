@@ -288,26 +288,32 @@ def _within(shared: DataFrame, comp: DataFrame, groups: DataFrame, rows: DataFra
     apart = F.concat(F.array_except("grams", "centre"), F.array_except("centre", "grams"))
     d = d.select("group", "node", "component", F.size("grams").alias("size"), apart.alias("apart"))
     d = materialise(d.withColumn("w", (100 + percent) * F.size("apart") - (100 - percent) * F.col("size")), "join-differences")
-    least = materialise(d.groupBy("group").agg(F.min(F.struct("w", "node")).alias("m")), "join-least")
+    least = materialise(d.groupBy("group").agg(F.min(F.struct("w", "node")).alias("m"), F.max("size").alias("largest")), "join-least")
     star = d.join(least, "group").filter((F.col("node") != F.col("m.node")) & (F.col("w") + F.col("m.w") <= 0)).select(F.col("node").alias("a"), F.col("m.node").alias("b"))
     star = materialise(star, "join-star")
     # those that the star has put together need no pair any more
-    held = least.select("group", F.col("m.w").alias("mw"), F.col("m.node").alias("mn"))
+    held = least.select("group", F.col("m.w").alias("mw"), F.col("m.node").alias("mn"), "largest")
     d = d.join(held, "group").withColumn("component", F.when(F.col("w") + F.col("mw") <= 0, F.col("mn")).when(F.col("node") == F.col("mn"), F.col("mn")).otherwise(F.col("component"))).drop("mn")
     # Other links need at least `need` common differences, so all but need - 1 of the rarest of each node find them.
     d = materialise(d, "join-star-components")
     e = materialise(d.select("group", "node", F.explode("apart").alias("gram")), "join-apart-grams")
     shared_grams = materialise(e.groupBy("group", "gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "join-shared-grams")
     f = e.join(shared_grams, ["group", "gram"])
-    need = F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("mw")) / (2 * (100 + percent))))
-    held = d.select("group", "node", "component", "size", "w", (F.size("apart") - need + 1).alias("most"), F.size("apart").alias("all"))
+    # by the least w of a partner; and by its own differences, of which it must have as many as it shares
+    partner = F.least("largest", F.floor(F.col("size") * 100 / percent))
+    need = F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("mw")) / (2 * (100 + percent))), F.ceil((F.col("w") - (100 - percent) * partner) / (100 + percent)))
+    held = d.select("group", "node", "component", "size", "w", need.alias("need"), F.size("apart").alias("all"))
     own = f.groupBy("group", "node").agg(F.count(F.lit(1)).alias("common"))
     rank = F.row_number().over(W.partitionBy("group", "node").orderBy("n", "gram"))
-    f = f.withColumn("rank", rank).join(held.join(own, ["group", "node"]), ["group", "node"]).filter(F.col("rank") + F.col("all") - F.col("common") <= F.col("most"))
-    f = materialise(f.select("group", "gram", "node", "component", "size", "w"), "join-rare")
-    x, y = f.toDF("group", "gram", "a", "cx", "sx", "wx"), f.toDF("group", "gram", "b", "cy", "sy", "wy")
+    f = f.withColumn("rank", rank).join(held.join(own, ["group", "node"]), ["group", "node"])
+    f = f.filter((F.col("need") <= F.col("common")) & (F.col("rank") + F.col("all") - F.col("common") <= F.col("all") - F.col("need") + 1))
+    f = materialise(f.select("group", "gram", "node", "component", "size", "w", "rank", "common"), "join-rare")
+    x, y = f.toDF("group", "gram", "a", "cx", "sx", "wx", "rx", "nx"), f.toDF("group", "gram", "b", "cy", "sy", "wy", "ry", "ny")
+    # what can be common before this difference, with it and after it
+    most = F.least("rx", "ry") + F.least(F.col("nx") - F.col("rx"), F.col("ny") - F.col("ry"))
+    enough = F.col("wx") + F.col("wy") <= 2 * (100 + percent) * most
     sized = 100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy")
-    pairs = x.join(y, ["group", "gram"]).filter((F.col("a") < F.col("b")) & (F.col("cx") != F.col("cy")) & sized).groupBy("a", "b").agg(F.first("wx").alias("wx"), F.first("wy").alias("wy"))
+    pairs = x.join(y, ["group", "gram"]).filter((F.col("a") < F.col("b")) & (F.col("cx") != F.col("cy")) & sized & enough).groupBy("a", "b").agg(F.first("wx").alias("wx"), F.first("wy").alias("wy"))
     both = pairs.join(d.select(F.col("node").alias("a"), F.col("apart").alias("dx")), "a").join(d.select(F.col("node").alias("b"), F.col("apart").alias("dy")), "b")
     links = both.filter(F.col("wx") + F.col("wy") <= 2 * (100 + percent) * F.size(F.array_intersect("dx", "dy")))
     return star.unionByName(links.select("a", "b"))
