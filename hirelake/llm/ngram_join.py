@@ -101,14 +101,24 @@ def block_keys(grams: np.ndarray, schemes: list[Scheme]) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
+MORE = 1.5  # columns of a prefix for each that decides
+
+
+def fewest_shared(size: Column, percent: int) -> Column:
+    """How many columns of its prefix a row shares with any row that it links with."""
+    decide = size - F.ceil(percent * size / 100) + 1
+    return F.least(F.floor(decide * MORE), size) - decide + 1
+
+
 def has_bit(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = np.mod(keys.view(np.int64), len(bitmap) * 64)
     return ((bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & U(1)).astype(bool)
 
 
-def prefix_keys(grams: np.ndarray, percent: int, hot: list[np.ndarray], more: float = 1.0) -> np.ndarray:
-    """The columns of a row that decide: so many that two rows at the threshold share one of them, whatever the order of
-    the columns, if it is one order for all rows. Here columns that many rows have come last."""
+def prefix_keys(grams: np.ndarray, percent: int, hot: list[np.ndarray], more: float) -> np.ndarray:
+    """The first columns of a row, `more` times as many as decide: with so many as decide two rows at the threshold share
+    one, whatever the order of columns, if it is one order for all rows, and with k more they share k + 1. Here columns
+    that many rows have come last."""
     if not len(grams):
         return grams.view(np.int64)
     most = len(grams) - -(-percent * len(grams) // 100) + 1
@@ -118,12 +128,12 @@ def prefix_keys(grams: np.ndarray, percent: int, hot: list[np.ndarray], more: fl
 
 
 def _early(n: int, percent: int):
-    """The first columns of each row by hash, half as many again as decide, to count how many rows have them."""
+    """The first columns of each row by hash, twice as many as are used, to count how many rows have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, w in slices(batch.column("_text"), lower=True):
-                keys = [prefix_keys(g, percent, [], 1.5) for g in shingle_sets(w, n)]
+                keys = [prefix_keys(g, percent, [], 2 * MORE) for g in shingle_sets(w, n)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64())], names=["key"])
 
     return run
@@ -138,7 +148,7 @@ def _signed(n: int, percent: int, hot: list[Broadcast] | None):
                 for g in shingle_sets(w, n):
                     size.append(len(g))
                     node.append(mix(np.array([mix(g).sum(dtype=np.uint64), mix(g ^ U(0xABCDEF12345)).sum(dtype=np.uint64)], dtype=np.uint64) + U(len(g))).tobytes())
-                    keys.append(block_keys(g, known.of(len(g))) if hot is None else prefix_keys(g, percent, [b.value for b in hot]))
+                    keys.append(block_keys(g, known.of(len(g))) if hot is None else prefix_keys(g, percent, [b.value for b in hot], MORE))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_doc").slice(a, b - a), batch.column("_key").slice(a, b - a), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array([int.from_bytes(x[:8], "little", signed=True) for x in node], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["_doc", "_key", "n_shingles", "node", "c", "keys"],
@@ -217,9 +227,10 @@ def classes(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, text: str
     drop_scratch(docs.sparkSession, [whole])
     # blocks that two nodes hold alike; the least node of a block is the hub that the others are compared with.
     # c is 64 bits of the node: candidates may go by it, since products and links are those of whole nodes
-    hubs = entries.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("other")).filter("hub <> other").drop("other")
-    hubs = materialise(hubs, "join-hubs")  # so that the join exchanges both sides and splits what is skewed
-    shared = materialise(entries.join(hubs, "key"), "join-blocks")
+    shared = materialise(_met(entries), "join-blocks")
+    for _ in range(2 if hot is not None else 0):  # what a node shares with all others together bounds what it shares with one
+        enough = shared.groupBy("c", "n_shingles").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= fewest_shared(F.col("n_shingles"), percent))
+        shared = materialise(_met(shared.drop("hub").join(materialise(enough.select("c"), "join-enough"), "c", "left_semi")), "join-blocks")
     # the incidence rows of the nodes that are left
     left = shared.select("c").distinct()
     texts = materialise(slim.join(left, "c", "left_semi").groupBy("c", "node").agg(F.min("_key").alias("_key")), "join-left")
@@ -250,6 +261,13 @@ def classes(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, text: str
     return out.withColumn("component", F.coalesce("component", "node"))
 
 
+def _met(entries: DataFrame) -> DataFrame:
+    """The entries whose key two nodes have, with the least of these nodes as hub."""
+    hubs = entries.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("other")).filter("hub <> other").drop("other")
+    # written out, so that the join exchanges both sides and splits what is skewed
+    return entries.join(materialise(hubs, "join-hubs"), "key").select("c", "n_shingles", "key", "hub")
+
+
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """The pairs (x, y) whose nodes are not known to be in one component."""
     cx = comp.select(F.col("c").alias("x"), F.col("component").alias("cx"))
