@@ -5,6 +5,8 @@ Windows are placed where a document has a shingle of the item at that item's off
 cosine with an item is above 0 has such a place, so none is missed before fingerprints are compared.
 Benchmarks of any size are taken in blocks of at most BLOCK_SHINGLES distinct shingles.
 
+A document with fewer words than an item is compared as a whole, as its one window for that item.
+
 Words are lower-cased runs of letters and digits. Null or wordless items and texts match nothing.
 Items under five words are one shingle. Rows with the same doc_id and text give one result.
 """
@@ -102,15 +104,16 @@ def _match_block(docs: DataFrame, items: DataFrame, per_item: DataFrame, known:
     d = d.crossJoin(F.broadcast(longest)).withColumn("_n", F.size("_t"))
     near = F.transform("_at", lambda x: F.struct(x["h"].alias("h"), x["p"].alias("p"), F.greatest(x["p"] - F.col("m"), F.lit(0)).alias("from"), F.slice("_t", F.greatest(x["p"] - F.col("m"), F.lit(0)) + 1, F.col("m") * 2).alias("around")))
     d = d.select(*keys, "_n", F.explode(near).alias("x")).select(*keys, "_n", "x.*")
-    d = d.join(F.broadcast(per_item), "h").filter(F.col("_n") >= F.col("item_words"))
-    start = F.least(F.greatest(F.col("p") - F.col("offset"), F.lit(0)), F.col("_n") - F.col("item_words"))
-    d = d.withColumn("start", start).filter((F.col("start") >= F.col("from")) & (F.col("start") - F.col("from") + F.col("item_words") <= F.size("around")))
-    d = d.withColumn("_win", F.slice("around", F.col("start") - F.col("from") + 1, F.col("item_words")))
-    d = d.groupBy(*keys, "start", F.col("item_words").alias("n_words")).agg(F.first("_win").alias("_win"))
+    # a document shorter than the item is its one window
+    d = d.join(F.broadcast(per_item), "h").withColumn("n_words", F.least("_n", "item_words"))
+    start = F.least(F.greatest(F.col("p") - F.col("offset"), F.lit(0)), F.col("_n") - F.col("n_words"))
+    d = d.withColumn("start", start).filter((F.col("start") >= F.col("from")) & (F.col("start") - F.col("from") + F.col("n_words") <= F.size("around")))
+    d = d.withColumn("_win", F.slice("around", F.col("start") - F.col("from") + 1, F.col("n_words")))
+    d = d.groupBy(*keys, "start", "n_words", "item_words").agg(F.first("_win").alias("_win"))
     d = d.withColumn("_ws", _shingles("_win")).withColumn("_print", _fingerprint("_ws")).drop("_win")
     win = d.withColumn("_b", F.explode(_blocks("_print", radius)))
-    it = items.withColumn("_b", F.explode(_blocks("item_print", radius))).withColumnRenamed("item_words", "n_words")
-    pairs = win.join(F.broadcast(it), ["n_words", "_b"])
+    it = items.withColumn("_b", F.explode(_blocks("item_print", radius)))
+    pairs = win.join(F.broadcast(it), ["item_words", "_b"])
     pairs = pairs.withColumn("hamming", F.bit_count(F.col("_print").bitwiseXOR(F.col("item_print")))).filter(F.col("hamming") <= radius)
     pairs = pairs.groupBy(*keys, "start", "n_words", "item_id").agg(F.first("_ws").alias("_ws"), F.first("item_shingles").alias("item_shingles"), F.first("hamming").alias("hamming"))
     return pairs.withColumn("similarity", _cosine("_ws", "item_shingles")).filter(F.col("similarity") >= similarity)

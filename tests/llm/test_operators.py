@@ -231,6 +231,17 @@ def test_decontamination(spark):
     assert clean.columns == d.columns and sorted(r["doc_id"] for r in clean.collect()) == [2, 3, 4, 5]
 
 
+def test_decontamination_of_documents_shorter_than_the_item(spark):
+    item = [f"word{i}" for i in range(50)]
+    texts = [item[:20] + item[21:], item[:-1], item[:34], item[16:], item[:30], item[:3]]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: (r["similarity"], r["start_word"], r["n_words"]) for r in decontam.match_windows(d, b).collect()}
+    cosine = lambda shared, n: round(shared / ((n - 4) * 46) ** 0.5, 6)
+    assert got == {0: (cosine(41, 49), 0, 49), 1: (cosine(45, 49), 0, 49), 2: (cosine(30, 34), 0, 34), 3: (cosine(30, 34), 0, 34)}
+    assert [r["doc_id"] for r in decontam.drop_contaminated(d, b).orderBy("doc_id").collect()] == [4, 5]
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     item = " ".join(f"word{i}" for i in range(30))
     d = spark.createDataFrame([(1, "start " + item + " end")], "doc_id long, text string")
