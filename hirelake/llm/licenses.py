@@ -7,6 +7,8 @@ have the digest of the empty string and match nothing. Rows are judged alone; re
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,7 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution.
 """,
 }
+TEXTS |= {p.name.removesuffix(".txt"): p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 
 # Pairs of spellings that licence texts use for one another.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub license", "sublicense"), ("noncommercial", "non commercial"), ("organisation", "organization"), ("recognise", "recognize"), ("favour", "favor"), ("non infringement", "noninfringement"), ("acknowledgement", "acknowledgment"), ("copyright owner", "copyright holder"), ("merchantibility", "merchantability"), ("http", "https")]
