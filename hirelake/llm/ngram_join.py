@@ -105,9 +105,11 @@ MORE = 1.5  # columns of a prefix for each that decides
 
 
 def fewest_shared(size: Column, percent: int) -> Column:
-    """How many columns of its prefix a row shares with any row that it links with."""
-    decide = size - F.ceil(percent * size / 100) + 1
-    return F.least(F.floor(decide * MORE), size) - decide + 1
+    """How many columns a row shares with any row that it links with, at least, within the prefixes of both: of what two
+    rows have in common, all is in the prefix that ends first but what comes after it in that row."""
+    after = lambda n: n - F.least(F.floor((n - F.ceil(percent * n / 100) + 1) * MORE), n)
+    partners = F.sequence(F.ceil(percent * size / 100), F.floor(100 * size / percent))
+    return F.array_min(F.transform(partners, lambda n: F.ceil(percent * (size + n) / (100 + percent)) - F.greatest(after(size), after(n))))
 
 
 def has_bit(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
