@@ -1,11 +1,10 @@
 """Benchmark decontamination: item-sized windows of each document get a SimHash, multi-index Hamming
 blocks find every item within the radius, and an exact weighted-shingle cosine decides.
 
-Windows are placed where a document has a shingle of the item at that item's offset. A window whose
-cosine with an item is above 0 has such a place, so none is missed before fingerprints are compared.
-Benchmarks of any size are taken in blocks of at most BLOCK_SHINGLES distinct shingles.
-
-A document with fewer words than an item is compared as a whole, as its one window for that item.
+A window's product with an item follows from the places where the document has the item's shingles, and
+bounds its cosine. Each start whose bound reaches the threshold is looked at, so no window above it is
+missed before fingerprints are compared. A document with fewer words than an item is its one window.
+Benchmarks of any size are taken in blocks of items, with at most BLOCK_SHINGLES shingles or one item.
 
 Words are lower-cased runs of letters and digits. Null or wordless items and texts match nothing.
 Items under five words are one shingle. Rows with the same doc_id and text give one result.
@@ -55,13 +54,26 @@ def _cosine(a: str, b: str) -> Column:
     """Cosine of two shingle arrays, each shingle weighing as often as it occurs."""
     count = lambda xs, h: F.size(F.filter(F.col(xs), lambda x: x == h)).cast("double")
     total = lambda hs, f: F.aggregate(hs, F.lit(0.0), lambda s, h: s + f(h))
-    norm = lambda xs: F.sqrt(total(F.array_distinct(xs), lambda h: count(xs, h) * count(xs, h)))
-    return total(F.array_intersect(a, b), lambda h: count(a, h) * count(b, h)) / (norm(a) * norm(b))
+    once = lambda xs: F.size(F.array_distinct(xs)) == F.size(xs)
+    norm = lambda xs: F.sqrt(F.when(once(xs), F.size(xs).cast("double")).otherwise(total(F.array_distinct(xs), lambda h: count(xs, h) * count(xs, h))))
+    both = F.array_intersect(a, b)
+    product = F.when(once(a) & once(b), F.size(both).cast("double")).otherwise(total(both, lambda h: count(a, h) * count(b, h)))
+    return product / (norm(a) * norm(b))
+
+
+def _length(n_words: Column, item_words: Column) -> Column:
+    """Shingles of a window: it has as many words as the item, or all that the document has."""
+    return F.greatest(F.least(n_words, item_words) - F.least(item_words, F.lit(SHINGLE)) + 1, F.lit(1))
+
+
+def _norm(shingles: str) -> Column:
+    count = lambda h: F.size(F.filter(F.col(shingles), lambda x: x == h)).cast("double")
+    return F.sqrt(F.aggregate(shingles, F.lit(0.0), lambda s, h: s + count(h)))
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
     d = benchmark.select(F.col("item_id"), _tokens(F.col("text")).alias("_t")).filter(F.size("_t") > 0)
-    d = d.withColumn("item_words", F.size("_t")).withColumn("item_shingles", _shingles("_t")).drop("_t")
+    d = d.withColumn("item_words", F.size("_t")).withColumn("item_shingles", _shingles("_t")).withColumn("item_key", text_key(F.array_join("_t", " "))).drop("_t")
     return d.withColumn("item_print", _fingerprint("item_shingles"))
 
 
@@ -69,10 +81,21 @@ def match_windows(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     """One row per matching (key, item): key columns, item_id, the best similarity, its start word, its length and its Hamming distance.
     key: "doc_id" gives doc_id and text key, "text" the text key alone."""
     items = _items(benchmark)
-    per_item = items.select("item_id", "item_words", F.posexplode("item_shingles").alias("offset", "h"))
-    # block numbers by the running count of shingles, over the small benchmark only
-    known = [(r["h"], r["short"]) for r in per_item.select("h", F.least("item_words", F.lit(SHINGLE)).alias("short")).distinct().orderBy("short", "h").toLocalIterator()]
-    found = [_match_block(docs, items, per_item, known[i : i + BLOCK_SHINGLES], similarity, radius, key) for i in range(0, max(1, len(known)), BLOCK_SHINGLES)]
+    # whole items to a block, since the bound below counts all shingles of an item; over the small benchmark only
+    blocks: list[tuple[bytes, int, dict[int, set[int]]]] = []  # first key, longest item, shingles by size
+    for r in items.select("item_key", "item_words", "item_shingles").distinct().orderBy("item_key").toLocalIterator():
+        k, n, hashes = bytes(r["item_key"]), r["item_words"], set(r["item_shingles"])
+        if not blocks or sum(map(len, blocks[-1][2].values())) + len(hashes) > BLOCK_SHINGLES:
+            blocks.append((k, n, {}))
+        first, longest, by_size = blocks[-1]
+        by_size.setdefault(min(n, SHINGLE), set()).update(hashes)
+        blocks[-1] = (first, max(longest, n), by_size)
+    found = []
+    for i, (first, longest, by_size) in enumerate(blocks or [(b"", 1, {})]):
+        own = items.filter(F.col("item_key") >= F.lit(first))
+        if i + 1 < len(blocks):
+            own = own.filter(F.col("item_key") < F.lit(blocks[i + 1][0]))
+        found.append(_match_block(docs, own, longest, by_size, similarity, radius, key))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -81,41 +104,50 @@ def match_windows(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     return out.groupBy(*keys, "item_id").agg(best).select(*keys, "item_id", F.round("best.similarity", 6).alias("similarity"), (-F.col("best.back")).cast("long").alias("start_word"), F.col("best.n_words").cast("long").alias("n_words"), F.col("best.hamming").cast("int").alias("hamming"))
 
 
-def _match_block(docs: DataFrame, items: DataFrame, per_item: DataFrame, known: list, similarity: float, radius: int, key: str | None) -> DataFrame:
+def _match_block(docs: DataFrame, items: DataFrame, longest: int, by_size: dict[int, set[int]], similarity: float, radius: int, key: str | None) -> DataFrame:
     keys = ["text_id"] if key == "text" else ["doc_id", "text_id"]
     d = docs.select(*([] if key == "text" else [F.col("doc_id")]), text_key(F.col("text")).alias("text_id"), _tokens(F.col("text")).alias("_t"))
-    by_size: dict[int, list[int]] = {}
-    for h, size in known:
-        by_size.setdefault(size, []).append(h)
     # the positions that hold a shingle of the benchmark; most documents have none and end here
     d = d.withColumns({f"_s{size}": _shingles("_t", size) for size in by_size})
 
-    def places(size: int, hashes: list[int]) -> Column:
-        found = F.transform(f"_s{size}", lambda h, i: F.when(h.isin(hashes), F.struct(h.alias("h"), i.alias("p"))))
+    def places(size: int, hashes: set[int]) -> Column:
+        found = F.transform(f"_s{size}", lambda h, i: F.when(h.isin(sorted(hashes)), F.struct(F.lit(size).alias("size"), h.alias("h"), i.alias("p"))))
         return F.filter(found, lambda x: x.isNotNull())
 
     at = [places(size, hashes) for size, hashes in by_size.items()]
     # the row number also keeps the optimizer from moving the filter below, where it would split each text anew for each word
-    d = d.select(*keys, "_t", (F.concat(*at) if at else F.array().cast("array<struct<h:bigint,p:int>>")).alias("_at"), F.monotonically_increasing_id().alias("_row"))
+    d = d.select(*keys, "_t", (F.concat(*at) if at else F.array().cast("array<struct<size:int,h:bigint,p:int>>")).alias("_at"), F.monotonically_increasing_id().alias("_row"))
     d = d.filter(F.size("_at") > 0)
     keys = [*keys, "_row"]
-    longest = items.agg(F.max("item_words").alias("m"))
-    # each place takes along the words that any window through it can have
-    d = d.crossJoin(F.broadcast(longest)).withColumn("_n", F.size("_t"))
-    near = F.transform("_at", lambda x: F.struct(x["h"].alias("h"), x["p"].alias("p"), F.greatest(x["p"] - F.col("m"), F.lit(0)).alias("from"), F.slice("_t", F.greatest(x["p"] - F.col("m"), F.lit(0)) + 1, F.col("m") * 2).alias("around")))
-    d = d.select(*keys, "_n", F.explode(near).alias("x")).select(*keys, "_n", "x.*")
-    # a document shorter than the item is its one window
-    d = d.join(F.broadcast(per_item), "h").withColumn("n_words", F.least("_n", "item_words"))
-    start = F.least(F.greatest(F.col("p") - F.col("offset"), F.lit(0)), F.col("_n") - F.col("n_words"))
-    d = d.withColumn("start", start).filter((F.col("start") >= F.col("from")) & (F.col("start") - F.col("from") + F.col("n_words") <= F.size("around")))
-    d = d.withColumn("_win", F.slice("around", F.col("start") - F.col("from") + 1, F.col("n_words")))
+    # Stretches of `longest` starts: a window that starts in one ends before the end of the next, so the words of two
+    # hold it. A place counts for the windows that start in its own stretch and in the one before.
+    own = lambda x, back: F.floor(x["p"] / longest).cast("int") - back
+    stretch = lambda x, back: F.struct(x["size"].alias("size"), x["h"].alias("h"), x["p"].alias("p"), own(x, back).alias("_c"), F.slice("_t", own(x, back) * longest + 1, F.lit(2 * longest)).alias("around"))
+    near = F.concat(F.transform("_at", lambda x: stretch(x, 0)), F.transform(F.filter("_at", lambda x: x["p"] >= longest), lambda x: stretch(x, 1)))
+    d = d.select(*keys, F.size("_t").alias("_n"), F.explode(near).alias("x")).select(*keys, "_n", "x.*")
+    per_item = items.select("item_key", "item_words", "item_shingles", F.least("item_words", F.lit(SHINGLE)).alias("size"), _norm("item_shingles").alias("norm")).dropDuplicates(["item_key"])
+    per_item = per_item.select("item_key", "item_words", "size", "norm", F.explode("item_shingles").alias("h")).groupBy("item_key", "item_words", "size", "norm", "h").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    d = d.join(F.broadcast(per_item), ["size", "h"])
+    d = d.groupBy(*keys, "_n", "_c", "item_key", "item_words", "norm").agg(F.collect_list(F.struct("p", "times")).alias("hits"), F.first("around").alias("around"))
+    # The places in a window give its product with the item exactly, and the norm of a window is at least the root of its
+    # length. What stays below the threshold even so can't match; of the others every start is looked at.
+    length = _length(F.col("_n"), F.col("item_words"))
+    least = similarity * F.col("norm") * F.sqrt(length) - 1e-9
+    product = lambda hits: F.aggregate(hits, F.lit(0), lambda s, x: s + x["times"])
+    d = d.withColumn("_length", length).withColumn("_least", least).filter(product("hits") >= F.col("_least"))
+    last = F.least((F.col("_c") + 1) * longest - 1, F.greatest(F.col("_n") - F.col("item_words"), F.lit(0)))
+    starts = F.when(last >= F.col("_c") * longest, F.sequence(F.col("_c") * longest, last))
+    starts = F.filter(starts, lambda s: product(F.filter("hits", lambda x: (x["p"] >= s) & (x["p"] < s + F.col("_length")))) >= F.col("_least"))
+    d = d.select(*keys, F.least("_n", "item_words").alias("n_words"), "item_words", "_c", "_length", "around", F.explode(starts).alias("start"))
+    d = d.withColumn("_win", F.slice("around", F.col("start") - F.col("_c") * longest + 1, F.col("n_words")))
     d = d.groupBy(*keys, "start", "n_words", "item_words").agg(F.first("_win").alias("_win"))
-    d = d.withColumn("_ws", _shingles("_win")).withColumn("_print", _fingerprint("_ws")).drop("_win")
-    win = d.withColumn("_b", F.explode(_blocks("_print", radius)))
-    it = items.withColumn("_b", F.explode(_blocks("item_print", radius)))
+    # the numbers keep the fingerprints from being computed anew for each block
+    win = d.select(*keys, "start", "n_words", "item_words", _shingles("_win").alias("_ws"), F.monotonically_increasing_id().alias("_window"))
+    win = win.select("*", _fingerprint("_ws").alias("_print"), F.monotonically_increasing_id().alias("_print_no")).withColumn("_b", F.explode(_blocks("_print", radius)))
+    it = items.select("*", F.monotonically_increasing_id().alias("_item")).withColumn("_b", F.explode(_blocks("item_print", radius)))
     pairs = win.join(F.broadcast(it), ["item_words", "_b"])
     pairs = pairs.withColumn("hamming", F.bit_count(F.col("_print").bitwiseXOR(F.col("item_print")))).filter(F.col("hamming") <= radius)
-    pairs = pairs.groupBy(*keys, "start", "n_words", "item_id").agg(F.first("_ws").alias("_ws"), F.first("item_shingles").alias("item_shingles"), F.first("hamming").alias("hamming"))
+    pairs = pairs.groupBy(*keys, "start", "n_words", "_window", "_print_no", "_item", "item_id").agg(F.first("_ws").alias("_ws"), F.first("item_shingles").alias("item_shingles"), F.first("hamming").alias("hamming"))
     return pairs.withColumn("similarity", _cosine("_ws", "item_shingles")).filter(F.col("similarity") >= similarity)
 
 

@@ -242,6 +242,62 @@ def test_decontamination_of_documents_shorter_than_the_item(spark):
     assert [r["doc_id"] for r in decontam.drop_contaminated(d, b).orderBy("doc_id").collect()] == [4, 5]
 
 
+def decontaminated(texts, items, similarity=decontam.SIMILARITY):
+    """(doc, item): (similarity, start) of the best window, over all starts."""
+    tokens = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    grams = lambda w, size: Counter(tuple(w[i : i + size]) for i in range(max(len(w) - size + 1, min(len(w), 1))))
+    square = lambda g: sum(x * x for x in g.values())
+    out = {}
+    for d, text in texts:
+        w = tokens(text)
+        for i, item in items:
+            t = tokens(item)
+            size = min(len(t), 5)
+            b, best = grams(t, size), (0, 0)
+            for s in range(max(len(w) - len(t), 0) + 1) if w and t else ():
+                a = grams(w[s : s + len(t)], size)
+                dot = sum(a[g] * b[g] for g in b)
+                best = max(best, (round(dot / (square(a) ** 0.5 * square(b) ** 0.5), 6), -s))
+            if best[0] >= similarity:
+                out[d, i] = (best[0], -best[1])
+    return out
+
+
+def leaks(rnd):
+    """Benchmark items, and texts that hold them edited, cut, stretched, close together and over again."""
+    word = lambda: "".join(rnd.choices("abcdefghijkl", k=rnd.randint(3, 8)))
+    make = lambda n: [word() for _ in range(n)]
+    items = [make(rnd.randint(12, 60)) for _ in range(12)] + [make(3), make(5), make(6), ["la", "di", "da"] * 10]
+    items.append(items[0][:20] + make(20))
+    texts = []
+    for n, a, b in ((50, 2, 4), (59, 3, 6), (38, 1, 2)):  # the best window lies between two places of shingles
+        t = make(n)
+        items.append(t)
+        texts.append(make(70) + make(a) + t[a : n // 2] + make(b) + t[n // 2 : n - a] + make(a) + make(80))
+    for _ in range(120):
+        t = list(rnd.choice(items))
+        for _ in range(rnd.randint(0, 4)):
+            at = rnd.randrange(len(t))
+            t[at : at + rnd.randint(0, 1)] = make(rnd.randint(0, 2))
+            t = t or make(1)
+        cut = rnd.choice((0, 0, 0, rnd.randint(1, 8)))
+        t = make(rnd.choice((0, 0, rnd.randint(1, 200)))) + t[: len(t) - cut] + make(rnd.choice((0, 0, rnd.randint(1, 90))))
+        texts.append(t + (rnd.choice(items) if rnd.random() < 0.3 else []))
+    texts += [["la", "di", "da"] * 40, ["la"] * 90, [], items[3] * 3]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)], [(i, " ".join(t)) for i, t in enumerate(items)]
+
+
+@pytest.mark.parametrize("most", [50_000, 60])
+def test_decontamination_against_every_start(spark, most, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_SHINGLES", most)
+    texts, items = leaks(random.Random(7))
+    want = decontaminated(texts, items)
+    assert {(0, 17), (1, 18), (2, 19)} <= set(want)
+    d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"]) for r in decontam.match_windows(d, b).collect()}
+    assert got == want
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     item = " ".join(f"word{i}" for i in range(30))
     d = spark.createDataFrame([(1, "start " + item + " end")], "doc_id long, text string")
