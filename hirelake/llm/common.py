@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import threading
 import uuid
@@ -20,15 +21,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one only where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if not own:
+    """The shared folder named in spark.checkpoint.dir, else the checkpoint folder of the context. Where neither is set, a
+    temporary folder if all of Spark runs in one process, as in tests, else an error: executors would not share it."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hirelake-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
+        root = spark.sparkContext.getCheckpointDir()
+    return root.rstrip("/")
 
 
 _made = threading.local()
@@ -81,6 +82,12 @@ def materialise(df: DataFrame, tag: str, batch_rows: int | None = None) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_small(df: DataFrame, most: int, rows: int | None = None) -> DataFrame:
+    """df marked for broadcast if it has at most `most` rows (counted here unless given); larger ones are shuffled."""
+    rows = df.limit(most + 1).count() if rows is None else rows
+    return F.broadcast(df) if rows <= most else df
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text, in order; empty for null or blank texts."""
     trimmed = F.trim(text, F.lit(SPACE_CHARS))

@@ -287,9 +287,11 @@ def leaks(rnd):
     return [(i, " ".join(t)) for i, t in enumerate(texts)], [(i, " ".join(t)) for i, t in enumerate(items)]
 
 
-@pytest.mark.parametrize("most", [50_000, 60])
-def test_decontamination_against_every_start(spark, most, monkeypatch):
-    monkeypatch.setattr(decontam, "BLOCK_SHINGLES", most)
+@pytest.mark.parametrize("plain", [True, False])
+def test_decontamination_against_every_start(spark, plain, monkeypatch):
+    if not plain:  # a filter that is full lets every place through, and everything is joined by shuffle
+        monkeypatch.setattr(decontam, "MOST_BITS", 1 << 10)
+        monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
     texts, items = leaks(random.Random(7))
     want = decontaminated(texts, items)
     assert {(0, 17), (1, 18), (2, 19)} <= set(want)
@@ -298,12 +300,27 @@ def test_decontamination_against_every_start(spark, most, monkeypatch):
     assert got == want
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
+def test_decontamination_at_exactly_the_threshold(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choices("abcdefghijkl", k=rnd.randint(4, 9)))
+    items, texts = [], []
+    for i in range(60):  # 20, 25, 30 or 50 shingles, the last fifth of which is lost by other words at the end
+        n = (20, 25, 30, 50)[i % 4]
+        item = [word() for _ in range(n + 4)]
+        items.append((i, " ".join(item)))
+        texts.append((i, " ".join(item[: len(item) - n // 5] + [word() for _ in range(n // 5 + 40)])))
+    d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.match_windows(d, b).collect()}
+    assert got == {(i, i): 0.8 for i in range(60)}
+
+
+def test_decontamination_of_equal_items_and_any_id_type(spark):
     item = " ".join(f"word{i}" for i in range(30))
-    d = spark.createDataFrame([(1, "start " + item + " end")], "doc_id long, text string")
-    b = spark.createDataFrame([(1, item)], "item_id long, text string")
-    monkeypatch.setattr(decontam, "BLOCK_SHINGLES", 10)
-    assert [tuple(r)[1:3] for r in decontam.match_windows(d, b).drop("text_id").collect()] == [(1, 1.0)]
+    d = spark.createDataFrame([("x", "start " + item + " end", 1), (None, item, 2)], "doc_id string, text string, similarity int")
+    b = spark.createDataFrame([("b", item), ("a", item.upper()), (None, "word1 word2")], "item_id string, text string")
+    got = sorted(((r["doc_id"] or "", r["item_id"] or "", r["similarity"]) for r in decontam.match_windows(d, b).collect()))
+    assert got == [(d, i, 1.0) for d in ("", "x") for i in ("", "a", "b")]
+    assert decontam.drop_contaminated(d, b).count() == 0 and decontam.drop_contaminated(d, b.limit(0)).count() == 2
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
