@@ -105,6 +105,14 @@ def text_key(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
 
 
+def free_names(taken, *bases: str) -> dict[str, str]:
+    """A free name for each base; the names differ from one another too."""
+    out: dict[str, str] = {}
+    for base in bases:
+        out[base] = free_name([*taken, *out.values()], base)
+    return out
+
+
 def free_name(taken, base: str) -> str:
     """A column name that no column of the input has, whatever its letter case."""
     lower, name = {c.lower() for c in taken}, base

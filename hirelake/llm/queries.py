@@ -24,7 +24,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shard(read(spark, sf_dir, "documents"))
+    placed = sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"))
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     return placed.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -94,10 +94,14 @@ SELECT w.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(node) AS component
 
 def _canonical_sql(x: str) -> str:
     t = f"regexp_replace(regexp_replace(lower(coalesce({x}, '')), '{licenses.COPYRIGHT_LINE}', '', 'g'), '{licenses.RESERVED_LINE}', '', 'g')"
-    t = f"(' ' || regexp_replace({t}, '{licenses.NOT_LETTERS}', ' ', 'g') || ' ')"
-    for old, new in licenses.SPELLINGS:
-        t = f"replace({t}, ' {old} ', ' {new} ')"
-    return f"sha256(trim({t}))"
+    ws = f"list_filter(string_split_regex({t}, '{licenses.NOT_LETTERS}'), lambda w: w <> '')"
+    one = ", ".join(f"'{old}': '{new}'" for old, new in licenses.SPELLINGS if " " not in old)
+    ws = f"list_transform({ws}, lambda w: coalesce(MAP {{{one}}}[w], w))"
+    joined = f"array_to_string({ws}, ' ')"
+    for old, new in licenses.SPELLINGS:  # words of a pair start or end no other pair
+        if " " in old:
+            joined = rf"regexp_replace({joined}, '(^| ){old}( |$)', '\1{new}\2', 'g')"
+    return f"sha256({joined})"
 
 
 def _license_sql() -> str:

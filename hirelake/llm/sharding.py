@@ -6,8 +6,9 @@ and rows below a set of candidate boundaries, in every partition, and puts new c
 two that enclose a target. When all boundaries meet the tolerance, the documents are exchanged once.
 
 The counts of the last round give each range its first slot, so slots need no further pass. Ranges are
-finer than shards, so that no task holds a whole shard. Null texts have size 1; null ids sort first; an
-empty table gives an empty result; all other columns travel along.
+finer than shards, so that no task holds a whole shard. Null texts have size 1; null ids sort first; ids of
+any type do, since other than whole numbers they count by their hash; an empty table gives an empty result. All
+columns travel along; where one is named size, shard or slot, the new column of that name gets `_` appended.
 """
 
 import bisect
@@ -20,15 +21,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from hirelake.llm.common import free_name, materialise
+from hirelake.llm.common import free_name, free_names, materialise
 
 SHARDS = 16
 TOLERANCE = 0.002  # of a shard's bytes, or one document where that is more
 RANGE_BYTES = 32 << 20
 MOST_RANGES = 16_384  # boundaries are sent to every task
 PROBES = 8  # candidates between two counted boundaries
-ROUNDS = 80
+ROUNDS = 80  # a round cuts a span to a ninth, and three parts of 64 bits are used up after 63
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 Key = tuple[int, int, int]
 
@@ -121,10 +123,12 @@ def boundaries(keyed: DataFrame, targets: list[float], slack: float) -> list[tup
 def shard(docs: DataFrame, text: Column | None = None, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
     """The columns of `docs` plus size (UTF-8 bytes of the text plus 1), shard (from 0) and slot (gapless from 0 in each shard)."""
     text = F.col("text") if text is None else text
-    row = free_name(docs.columns, "_row")
+    row, new = free_name(docs.columns, "_row"), free_names(docs.columns, "size", "shard", "slot")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
     h = F.xxhash64(F.coalesce(text, F.lit("")))
-    keyed = docs.select(F.struct(*docs.columns).alias(row), size.alias("size"), h.alias("h"), F.coalesce(F.col("doc_id"), F.lit(LOW)).cast("long").alias("d"), F.monotonically_increasing_id().alias("s"))
+    whole = isinstance(docs.schema["doc_id"].dataType, (ByteType, ShortType, IntegerType, LongType))
+    d = F.coalesce(F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.lit(LOW))
+    keyed = docs.select(F.struct(*docs.columns).alias(row), size.alias("size"), h.alias("h"), d.alias("d"), F.monotonically_increasing_id().alias("s"))
     # keys and documents must agree on s, so both come from what is written here
     keyed = materialise(keyed, "shard-keys")
     slim = keyed.select("h", "d", "s", "size")
@@ -137,6 +141,8 @@ def shard(docs: DataFrame, text: Column | None = None, shards: int = SHARDS, tol
     keys, first = [k for k, *_ in found], [0, *(r for *_, r in found)]
     starts = docs.sparkSession.createDataFrame([(i, i // per_shard, int(first[i] - first[i - i % per_shard])) for i in range(len(first))], "_range long, shard int, _first long")
     ranged = keyed.withColumn("_range", bucket_of(keys)("h", "d", "s") if keys else F.lit(0).cast("long"))
+    # the one exchange, into as many parts as there are ranges: what a task sorts doesn't grow with the table
+    ranged = ranged.repartition(n, "_range")
     at = F.row_number().over(W.partitionBy("_range").orderBy("h", "d", "s"))
-    placed = ranged.withColumn("_at", at - 1).join(F.broadcast(starts), "_range")
-    return placed.select(f"{row}.*", "size", "shard", (F.col("_first") + F.col("_at")).cast("long").alias("slot"))
+    placed = ranged.withColumn("_at", at - 1).join(F.broadcast(starts), "_range")  # MOST_RANGES rows at most
+    return placed.select(f"{row}.*", F.col("size").alias(new["size"]), F.col("shard").alias(new["shard"]), (F.col("_first") + F.col("_at")).cast("long").alias(new["slot"]))
