@@ -1,8 +1,10 @@
 """License scan by canonical digest: case, punctuation, copyright lines and equivalent spellings are
 normalised away, and the digest of the entire text is hash-joined to digests of known licences.
 
-A text is looked up whole, and so is each of its lines against one-line notices. Null and blank texts
-have the digest of the empty string and match nothing. Rows are judged alone; repeats get equal results.
+A text is looked up whole, and so is each of its lines against one-line notices; both by a join on digests,
+and tables of any size. Null and blank texts have the digest of the empty string and match nothing. Rows are
+judged alone; repeats get equal results. Where a column of the input is named canonical_sha256, license_id or
+notices, the new column of that name gets `_` appended.
 """
 
 from __future__ import annotations
@@ -12,12 +14,11 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import free_name
+from hirelake.llm.common import broadcast_small, free_names, materialise, text_key
 
-#: More known texts than this are joined by shuffle instead of broadcast.
+#: Larger tables than this are joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 100_000
-MOST_NOTICES = 10_000
-#: A line without any of these states no licence that NOTICES knows.
+#: A line without any of these states no licence that NOTICES knows. Other notices are looked for in all lines.
 NOTICE_WORDS = "(?i)licen[cs]|spdx|cc0"
 
 # Licence texts and one-line notices as their publishers word them.
@@ -83,10 +84,12 @@ def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, one spelling, no punctuation, single blanks."""
     t = F.lower(F.coalesce(text, F.lit("")))
     t = F.regexp_replace(F.regexp_replace(t, COPYRIGHT_LINE, ""), RESERVED_LINE, "")
-    t = F.concat(F.lit(" "), F.regexp_replace(t, NOT_LETTERS, " "), F.lit(" "))
+    # a blank before and one after each word, so that a spelling is replaced beside another one too
+    t = F.concat(F.lit(" "), F.regexp_replace(t, NOT_LETTERS, "  "), F.lit(" "))
     for old, new in SPELLINGS:
-        t = F.replace(t, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(t)
+        own = lambda x: F.lit(f" {x} ".replace(" ", "  ")[1:-1])
+        t = F.replace(t, own(old), own(new))
+    return F.replace(F.trim(t), F.lit("  "), F.lit(" "))
 
 
 def digest(text: Column) -> Column:
@@ -103,29 +106,24 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Columns of `docs` plus canonical_sha256, license_id (of the entire text, or null) and notices (ids of the
     licences that whole lines state, in order, comma-joined; null where there are none)."""
-    table = known.select(digest(F.col("text")).alias("digest"), "kind", "license_id")
-    texts = table.groupBy(F.col("digest").alias("canonical_sha256")).agg(F.min("license_id").alias("license_id"))
-    small = texts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    row = free_name(docs.columns, "_row")
-    d = docs.select(F.struct(*docs.columns).alias(row), digest(F.col("text")).alias("canonical_sha256"), _notices(F.col("text"), table).alias("notices"))
-    found = d.join(F.broadcast(texts) if small else texts, "canonical_sha256", "left")
-    return found.select(f"{row}.*", "canonical_sha256", "license_id", "notices")
-
-
-def _notices(text: Column, table: DataFrame) -> Column:
-    """Lines are looked up without a row for each: the digests of the known one-line notices are a constant."""
-    by_license: dict[str, list[str]] = {}
-    for r in table.filter("kind = 'notice'").groupBy("digest").agg(F.min("license_id").alias("license_id")).limit(MOST_NOTICES + 1).collect():
-        by_license.setdefault(r["license_id"], []).append(r["digest"])
-    if sum(map(len, by_license.values())) > MOST_NOTICES:
-        raise ValueError(f"more than {MOST_NOTICES} one-line notices")
-
-    def name(line: Column) -> Column:
-        key, out = digest(line), F.lit(None).cast("string")
-        for license_id, digests in sorted(by_license.items()):
-            out = F.when(key.isin(digests), F.lit(license_id)).otherwise(out)
-        return out
-
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(NOTICE_WORDS))
-    names = F.filter(F.transform(lines, name), lambda x: x.isNotNull())
-    return F.nullif(F.array_join(F.array_distinct(names), ","), F.lit(""))
+    new = free_names(docs.columns, "canonical_sha256", "license_id", "notices", "_text_id")
+    sha, found, said, key = new.values()
+    table = materialise(known.select(digest(F.col("text")).alias(sha), "kind", "license_id", F.col("text").rlike(NOTICE_WORDS).alias("worded")), "license-digests")
+    texts = table.groupBy(sha).agg(F.min("license_id").alias(found))
+    notices = _notices(docs, table, sha).withColumnsRenamed({"notices": said, "text_id": key})
+    d = docs.withColumns({sha: digest(F.col("text")), key: text_key(F.col("text"))})
+    d = d.join(broadcast_small(texts, BROADCAST_ROWS), sha, "left").join(broadcast_small(notices, BROADCAST_ROWS), key, "left")
+    return d.select(*docs.columns, sha, found, said)
+
+
+def _notices(docs: DataFrame, table: DataFrame, sha: str) -> DataFrame:
+    """text_id and notices of the texts that state a licence in a line. Equal lines of a text travel once."""
+    known = table.filter("kind = 'notice'").groupBy(sha).agg(F.min("license_id").alias("id"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    if table.filter("kind = 'notice' and not worded").isEmpty():
+        lines = F.filter(lines, lambda x: x.rlike(NOTICE_WORDS))
+    at = docs.select(text_key(F.col("text")).alias("text_id"), F.posexplode(lines).alias("pos", "line")).select("text_id", "pos", digest(F.col("line")).alias(sha))
+    first = at.join(broadcast_small(known, BROADCAST_ROWS), sha).groupBy("text_id", "id").agg(F.min("pos").alias("pos"))
+    # one row per text and licence, so the list of a text is no longer than the list of licences
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"])
+    return materialise(first.groupBy("text_id").agg(F.array_join(listed, ",").alias("notices")), "license-notices")
