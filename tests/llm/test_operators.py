@@ -162,6 +162,50 @@ def test_mixing(docs, rows):
     assert mixing.taken(mixing.mix(docs)).count() == sum(r["copies"] for r in mixed)
 
 
+def test_mixing_rounds_equal_rows_as_one(spark):
+    rows = [(1, "a b c", "x")] * 401 + [(i, "d e", "x") for i in range(2, 60)] + [(None, None, None)] * 7 + [(9, "f", "y")]
+    d = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    mixed = mixing.mix(d).collect()
+    got = lambda rs: Counter((r["doc_id"], r["source"], r["copies"]) for r in rs)
+    assert len(mixed) == len(rows) and got(mixed) == got(mixing.mix(d.repartition(2)).collect())
+    x = [r for r in mixed if r["source"] == "x"]
+    assert abs(sum(r["copies"] * r["size"] for r in x) - x[0]["target"]) <= 3
+    n = sum(r["copies"] for r in mixed if r["doc_id"] == 1)
+    assert abs(n - 401 * x[0]["target"] / x[0]["source_size"]) <= 1
+
+
+CLASHES = ("size", "source_size", "target", "copies", "shard", "slot", "license_id", "notices", "canonical_sha256", "_row", "_text_id", "h", "_id", "_source")
+
+
+def test_clashing_columns_stay_what_they_are(spark):
+    rows = [(f"d{i}", "Released under the MIT license\nsome words here " + "w" * i, "s", *(f"{c}{i}" for c in CLASHES)) for i in range(40)]
+    d = spark.createDataFrame(rows, ["doc_id", "text", "source", *CLASHES])
+    b = spark.createDataFrame([(1, "some words here"), (2, "other")], "item_id long, text string")
+    known = licenses.known_licenses(spark)
+    want = Counter(rows)
+    for out in (sharding.shard(d), mixing.mix(d), licenses.scan(d, known)):
+        assert out.columns[: len(d.columns)] == d.columns and len(set(out.columns)) == len(out.columns)
+        assert Counter(tuple(r) for r in out.select(*d.columns).collect()) == want
+    assert sharding.shard(d).columns[-3:] == ["size_", "shard_", "slot_"] and licenses.scan(d, known).filter("notices_ = 'MIT'").count() == 40
+    assert set(tuple(r) for r in mixing.mixed_documents(d).collect()) <= set(rows)
+    assert quality.filter_documents(d).columns == ngram_join.keep_one(d).columns == d.columns
+    assert decontam.drop_contaminated(d, b).count() == 0
+
+
+def test_license_spellings_beside_one_another(spark):
+    same = [("favour favour licence licence x", "favor favor license license x"), ("Sub licence sub-license SUB LICENSE", "sublicense sublicense sublicense"), ("the copyright owner, copyright owner", "the copyright holder copyright holder"), ("non-commercial noncommercial", "non commercial non commercial")]
+    d = spark.createDataFrame(same, "a string, b string").select(licenses.canonical(F.col("a")).alias("a"), licenses.canonical(F.col("b")).alias("b"))
+    assert all(r["a"] == r["b"] == b for r, (_, b) in zip(d.collect(), same))
+
+
+def test_license_tables_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", 0)
+    known = licenses.known_licenses(spark).unionByName(spark.createDataFrame([("Own", "notice", "Take it, it is free")], "license_id string, kind string, text string"))
+    d = spark.createDataFrame([(1, "x\nTake it: it is free!\nLicensed under the MIT License."), (2, licenses.TEXTS["Apache-2.0"]), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["license_id"], r["notices"]) for r in licenses.scan(d, known).collect()}
+    assert got[1] == (None, "Own,MIT") and got[2][0] == "Apache-2.0" and got[3] == (None, None)
+
+
 def test_allot_reshares_what_is_above_the_cap():
     assert mixing.allot([("a", 10), ("b", 1000), ("c", 10)]) == {"a": 20.0, "b": 1490.0, "c": 20.0} or mixing.allot([("a", 10), ("b", 1000), ("c", 10)])["b"] == pytest.approx(1490)
     assert mixing.allot([]) == {} and mixing.allot([("a", 0)]) == {"a": 0.0}
