@@ -1,11 +1,16 @@
-"""Personal data by weak supervision: regex, gazetteer and context labelers vote on candidate spans, EM
-estimates how reliable each labeler is, and the posteriors train the final span classifier.
+"""Personal data by weak supervision: regex, gazetteer and context labelers vote on candidate spans, EM estimates
+for each kind how reliable each labeler is, and the posteriors train the final span classifier.
 
-The four base kinds (email, ip, card, phone) are exact patterns: their valid matches are always spans.
-Candidates that the base rules leave out (national phone numbers, social security numbers, written-out
-e-mail addresses, names) become spans if the classifier says so and no base span overlaps them.
+The four base kinds (email, ip, card, phone) are exact patterns: their valid matches are always spans. Candidates
+that the base rules leave out become spans if the classifier says so and no base span overlaps them: national phone
+numbers, social security numbers, addresses with (at) and (dot) whose parts have up to 64 characters, names of two
+capitalised words of 2 to 21 letters, and secrets (runs of 16 to 512 letters and digits, such as keys and tokens).
+
+The classifier sees what the labelers don't: length, kinds and number of characters, and what stands before a span.
+Vote patterns, and cells of features, are tables of bounded size, so all fits use exact counts of all candidates:
+3 ** 6 patterns a kind for EM, and 4 ** 4 * 3 cells a kind for the classifier. A kind with few candidates leans on the
+reliabilities of all kinds together.
 
-Vote patterns and kinds make a table of bounded size, so both fits use exact counts of all candidates.
 Positions are code points, end exclusive. Null texts count as empty; rows are judged alone.
 
 Java's regex engine recurses once for each repeat of a group, so long texts could overflow its stack.
@@ -25,19 +30,26 @@ from hirelake.llm import weak
 from hirelake.llm.common import materialise
 
 BASE = ("email", "ip", "card", "phone")
-MORE = ("ssn", "local_phone", "spelled_email", "name")
+MORE = ("ssn", "local_phone", "spelled_email", "name", "secret")
 KINDS = BASE + MORE
-VOTERS = ("v_format", "v_gazetteer", "v_context", "v_edges", "v_shape")
+VOTERS = ("v_format", "v_gazetteer", "v_context", "v_edges", "v_shape", "v_place")
+FEATURES = ("f_length", "f_classes", "f_distinct", "f_before")
 ADD_FROM = 0.5
 CONTEXT = 40  # code points looked at before a span
 MARK, OTHER = "\uf8ff", "\ufffd"  # MARK stands for a separator inside a match; where a text has it, OTHER takes its place
 
-# Word lists of the labelers.
-TOP_DOMAINS = ["com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "it", "uk", "ca", "us", "eu", "ch", "at", "nl", "be", "se", "pl", "pt", "br", "mx", "jp", "cn", "in", "au"]
-CALLING_CODES = ["1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92"]
-GIVEN_NAMES = ["Alexander", "Alexandra", "Andreas", "Angela", "Benjamin", "Caroline", "Catherine", "Charlotte", "Christian", "Christina", "Daniel", "Elizabeth", "Emily", "Fernando", "Francisco", "Friedrich", "Gabriel", "Gabriela", "Hannah", "Isabella", "Jennifer", "Jessica", "Johannes", "Jonathan", "Joseph", "Katharina", "Lorenzo", "Margaret", "Matthew", "Matthias", "Michael", "Michelle", "Nicholas", "Patricia", "Philippe", "Rebecca", "Richard", "Samantha", "Sebastian", "Stephanie", "Thomas", "Valentina", "Victoria", "William", "Wolfgang"]
-GOOD_CONTEXT = r"(?i)(?:e-?mail|mail|contact|phone|tel|call|fax|mobile|card|visa|account|ip|host|address|name|mr|mrs|ms|dr|ssn|social security|signed|from|to)\W*(?:no|number|nr|is|at)?\W*$"
-BAD_CONTEXT = r"(?i)(?:version|release|isbn|issn|order|sku|part|page|section|figure|build)\W*(?:no|number|nr)?\W*$"
+# Word lists and number plans of the labelers.
+TOP_DOMAINS = "ae ai app ar at au be bg biz br ca cat ch cl cn co com cz de dev dk edu ee es eu fi fr gov gr hk hr hu id ie il in info int io is it jp ke kr lt lu lv ma me mil mx my name net ng nl no nz online org pe ph pk pl pro pt ro rs ru sa se sg shop si site sk tech th tr tv tw ua uk us uy ve vn xyz za".split()
+CALLING_CODE = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|21[1-368]|2[2-4][0-9]|25[0-8]|26[0-9]|29[01789]|35[0-9]|37[0-9]|38[0-35-79]|42[013]|50[0-9]|59[0-9]|67[02-9]|68[0-35-9]|69[0-2]|85[02356]|8[78]0|886|96[0-8]|97[0-79]|99[2-68])"
+RESERVED_IP = r"^(?:0|10|127|22[4-9]|23[0-9]|24[0-9]|25[0-5]|192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01]))\."
+CARD_ISSUER = r"^(?:4|5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|3[47]|30[0-5]|3[689]|35|6011|64[4-9]|65|62|50|5[6-9])"
+GIVEN_NAMES = "Aaron Adam Ahmed Alan Alejandro Alexander Alexandra Alice Amanda Amelia Andrea Andreas Andrew Angela Anna Anne Anthony Antonio Barbara Beatrice Benjamin Brian Carlos Carmen Caroline Catherine Charles Charlotte Christian Christina Christine Claire Claudia Daniel David Deborah Diana Diego Dmitri Donald Dorothy Edward Elena Elizabeth Emily Emma Eric Fatima Fernando Francisco Frank Friedrich Gabriel Gabriela George Giulia Grace Hannah Hans Harold Heather Helen Henry Hiroshi Ibrahim Isabella Ivan Jacob James Jane Janet Jason Javier Jean Jeffrey Jennifer Jessica Joan Johannes John Jonathan Jose Joseph Joshua Juan Julia Julian Karen Katharina Kenneth Kevin Klaus Laura Lauren Linda Lisa Lorenzo Louis Lucas Luis Manuel Marco Margaret Maria Marie Mark Martha Martin Mary Matthew Matthias Melissa Michael Michelle Miguel Mohammed Monica Nancy Nathan Nicholas Nicole Olga Oliver Olivia Pablo Patricia Patrick Paul Pedro Peter Philip Philippe Pierre Priya Rachel Rafael Raymond Rebecca Richard Robert Roberto Ronald Rosa Ruth Ryan Samantha Samuel Sandra Sarah Scott Sebastian Sergei Sharon Sofia Sophie Stephanie Stephen Steven Susan Teresa Theresa Thomas Timothy Valentina Victoria Vincent Walter Wei William Wolfgang Yuki Yusuf".split()
+NOT_NAMES = "January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday North South East West New United The This That These Those And But For With From Dear Chapter Section Figure Table Part Page Street Road Avenue Inc Ltd Corp University Institute License Public General Version Copyright".split()
+NAME_TITLE = r"(?i)(?:^|[^\p{L}])(?:mr|mrs|ms|dr|prof|sir|name|signed|sincerely|regards|contact|author|by|from|attn)\.?\W*$"
+SURNAME = r"(?:son|sen|ez|ski|sky|mann|berg|stein|ini|etti|ova|ov|ier|eau|escu|poulos|yan|oglu|wicz|ford|ton|ley|er)$"
+KEY_PREFIX = r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk-|sk_live_|pk_live_|rk_live_|xox[abp]-|AIza|eyJ|ya29)"
+GOOD_CONTEXT = r"(?i)(?:e-?mail|mail|contact|phone|tel|call|fax|mobile|card|visa|account|ip|host|address|name|mr|mrs|ms|dr|ssn|social security|signed|from|to|token|secret|password|passwd|pwd|api.?key|access.?key|bearer|credential|auth)\W*(?:no|number|nr|is|at)?\W*$"
+BAD_CONTEXT = r"(?i)(?:version|release|isbn|issn|order|sku|part|page|section|figure|build|commit|sha1|sha256|md5|digest|checksum|etag|revision)\W*(?:no|number|nr)?\W*$"
 
 LOCAL = r"A-Za-z0-9._%+\-" + MARK
 EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++{MARK}[A-Za-z0-9\-{MARK}]*+"
@@ -49,7 +61,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 LOCAL_PHONE = r"(?<![0-9A-Za-z+()-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])"
 SPELLED_EMAIL = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,64}+\x20?[\[(]dot[\])]\x20?[A-Za-z]{2,12}+"
-NAME = r"(?<![\p{L}\p{N}])(?:" + "|".join(GIVEN_NAMES) + r")\x20[A-Z][a-z]{2,20}+(?![\p{L}\p{N}])"
+# two capitalised words; where the second is a given name before another such word, the name starts there
+NAME = r"(?<![\p{L}\p{N}_])[A-Z][a-z]{1,20}+\x20(?!(?:" + "|".join(GIVEN_NAMES) + r")\x20[A-Z][a-z])[A-Z][a-z]{1,20}+(?![\p{L}\p{N}_])"
+SECRET = r"(?<![\p{L}\p{N}_+/=-])(?=[A-Za-z_+/=-]{0,80}[0-9])(?=[0-9_+/=-]{0,80}[A-Za-z])[A-Za-z0-9_+/=-]{16,512}+(?![\p{L}\p{N}_+/=@-])"
 
 
 def _found(text: Column, pattern: str, kind: str, guard: Column) -> Column:
@@ -87,40 +101,78 @@ def _is(x: Column, kind: str) -> Column:
 
 def _valid(x: Column) -> Column:
     """Whether a match passes the rules of its kind."""
-    n = F.length(_digits(x["value"]))
+    digits = _digits(x["value"])
+    n = F.length(digits)
     small = F.forall(F.split(x["value"], r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(999)) <= 255)
-    return F.when(_is(x, "ip"), small).when(_is(x, "card"), n.between(12, 19) & _luhn(_digits(x["value"]))).when(_is(x, "phone"), n.between(9, 15)).otherwise(F.lit(True))
+    ssn = ~digits.rlike(r"^(?:000|666|9)|^[0-9]{3}00|0000$")
+    national = digits.rlike(r"^[2-9][0-9]{2}[2-9]")
+    return (
+        F.when(_is(x, "ip"), small)
+        .when(_is(x, "card"), n.between(12, 19) & _luhn(digits))
+        .when(_is(x, "phone"), n.between(9, 15))
+        .when(_is(x, "ssn"), ssn)
+        .when(_is(x, "local_phone"), national)
+        .when(_is(x, "spelled_email"), x["value"].rlike(r"[A-Za-z][A-Za-z0-9._-]*+\x20?[\[(]at"))
+        .when(_is(x, "name"), ~x["value"].rlike(r"(?:^|\x20)(?:" + "|".join(NOT_NAMES) + r")(?:\x20|$)"))
+        .when(_is(x, "secret"), ~x["value"].rlike(r"^[A-Za-z]+[0-9]{1,4}$|^[0-9]{1,4}[A-Za-z]+$|[-_/+=]{2}|^[-/_+=]|-[A-Za-z]+-[A-Za-z]+"))
+        .otherwise(F.lit(True))
+    )
+
+
+def _distinct(x: Column) -> Column:
+    return F.size(F.array_distinct(F.split(x, "")))
 
 
 def _votes(x: Column, text: Column) -> dict[str, Column]:
-    digits = _digits(x["value"])
+    value, digits = x["value"], _digits(x["value"])
     before = F.substring(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT)))
     around = [F.substring(text, x["start"], 1), F.substring(text, x["end"] + 1, 1)]
-    top = F.lower(F.regexp_extract(x["value"], rf"([A-Za-z]+)$", 1))
-    yes = lambda c: F.when(c, 1).otherwise(0)
+    top = F.lower(F.regexp_extract(value, r"([A-Za-z]+)$", 1))
     both = lambda good, bad: F.when(bad, -1).when(good, 1).otherwise(0)
-    code = digits.substr(1, 1).isin(CALLING_CODES) | digits.substr(1, 2).isin(CALLING_CODES)
-    reserved = x["value"].rlike(r"^(?:0|10|127|22[4-9]|23[0-9]|24[0-9]|25[0-5]|192\.168|169\.254)\.")
-    issuer = digits.rlike(r"^(?:4|5[1-5]|2[2-7]|3[47]|6)")
-    area = digits.rlike(r"^[2-9][0-9]{2}[2-9]")
-    block = ~digits.rlike(r"^(?:000|666|9)|^[0-9]{3}00|0000$")
+    mail, long_number = _is(x, "email") | _is(x, "spelled_email"), _is(x, "card") | _is(x, "phone") | _is(x, "local_phone") | _is(x, "ssn")
+    code, reserved, issuer = digits.rlike(CALLING_CODE), value.rlike(RESERVED_IP), digits.rlike(CARD_ISSUER)
+    given, sure_key = F.substring_index(value, " ", 1).isin(GIVEN_NAMES), value.rlike(KEY_PREFIX)
+    digest = value.rlike(r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40})$")
+    path = around[0].isin("/", "\\") | around[1].isin("/", "\\")
+    assigned, quoted = before.rlike(r"[:=]\s*[\x22'`]?$"), around[0].isin('"', "'", "`", "(", "<", "[")
     return {
-        "v_format": both(x["valid"], ~x["valid"]),
-        "v_gazetteer": F.when(_is(x, "email") | _is(x, "spelled_email"), yes(top.isin(TOP_DOMAINS)))
+        # what the wording before a look-alike calls something else has no valid form either
+        "v_format": both(x["valid"], ~x["valid"] | (before.rlike(BAD_CONTEXT) & (x["kind"] >= len(BASE)))),
+        "v_gazetteer": F.when(mail, both(top.isin(TOP_DOMAINS), F.length(top) < 2))
         .when(_is(x, "ip"), both(~reserved, reserved))
         .when(_is(x, "card"), both(issuer, ~issuer))
         .when(_is(x, "phone"), both(code, ~code))
-        .when(_is(x, "local_phone"), both(area, ~area))
-        .when(_is(x, "ssn"), both(block, ~block))
-        .otherwise(F.lit(1)),
+        .when(_is(x, "local_phone"), both(F.lit(False), digits.rlike("^[2-9]11|^[0-9]{3}[2-9]11")))
+        .when(_is(x, "ssn"), both(F.lit(False), digits.isin("123456789", "078051120", "219099999")))
+        .when(_is(x, "name"), both(given, ~given & ~value.rlike(SURNAME)))
+        .otherwise(both(sure_key | digest, F.lit(False))),
         "v_context": both(before.rlike(GOOD_CONTEXT), before.rlike(BAD_CONTEXT)),
-        "v_edges": both(F.lit(True), around[0].rlike(r"[\p{L}\p{N}_]") & (x["start"] > 0) | around[1].rlike(r"[\p{L}\p{N}_]")),
-        "v_shape": both(F.lit(False), digits.rlike(r"^([0-9])\1{5,}$")),
+        "v_edges": both(F.lit(False), around[0].rlike(r"[\p{L}\p{N}_]") & (x["start"] > 0) | around[1].rlike(r"[\p{L}\p{N}_]")),
+        "v_shape": F.when(long_number, both(F.lit(False), _distinct(digits) <= 2))
+        .when(_is(x, "secret"), both((_distinct(value) >= 10) & value.rlike("[0-9][A-Za-z]+[0-9]"), _distinct(value) <= 6))
+        .when(_is(x, "name"), both(F.lit(False), before.rlike(r"(?:^|[.!?:\n])\s*[\x22'(]?$") & ~given))
+        .otherwise(both(F.lit(False), F.length(value) > 254)),
+        "v_place": F.when(_is(x, "secret"), both(assigned, path | ~assigned & ~quoted & ~sure_key))
+        .when(_is(x, "name"), both(before.rlike(NAME_TITLE), path))
+        .otherwise(both(assigned | quoted, path)),
+    }
+
+
+def _features(x: Column, text: Column) -> dict[str, Column]:
+    """What a span looks like, in four classes each."""
+    value, before = x["value"], F.substring(text, x["start"], 1)
+    step = lambda c, *edges: F.coalesce(*(F.when(c < e, i) for i, e in enumerate(edges)), F.lit(len(edges)))
+    classes = [F.when(value.rlike(p), 1).otherwise(0) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")]
+    return {
+        "f_length": step(F.length(value), 12, 20, 36),
+        "f_classes": classes[0] + classes[1] + classes[2] + classes[3] - 1,
+        "f_distinct": step(_distinct(value), 6, 9, 13),
+        "f_before": F.when(x["start"] == 0, 0).when(before.isin("\n", "\t"), 0).when(before.isin('"', "'", "`", "=", ":"), 1).when(before == " ", 2).otherwise(3),
     }
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds `_candidates`: kind, start, end, valid and votes of every candidate span of the text."""
+    """Adds `_candidates`: kind, start, end, valid, votes and features of every candidate span of the text."""
     t = F.coalesce(F.col(text), F.lit(""))
     d = docs.withColumn("_t", t).withColumn("_digit", F.col("_t").rlike("[0-9]"))
     col, digit = F.col("_t"), F.col("_digit")
@@ -139,71 +191,83 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         "_c4": _found(col, SSN, "ssn", digit & col.contains("-")),
         "_c5": _found(col, LOCAL_PHONE, "local_phone", digit),
         "_c6": _found(col, SPELLED_EMAIL, "spelled_email", col.rlike(r"[\[(]at[\])]")),
-        "_c7": _found(col, NAME, "name", col.rlike(r"(?:" + "|".join(GIVEN_NAMES) + r")\x20[A-Z]")),
+        "_c7": _found(col, NAME, "name", col.rlike(r"[A-Z][a-z]{1,20}\x20[A-Z][a-z]")),
+        "_c8": _found(col, SECRET, "secret", digit & col.rlike(r"[A-Za-z0-9_+/=-]{16}")),
     })
     # the card chain of few digits is no candidate of anything
     few = F.filter("_c2", lambda x: F.length(_digits(x["value"])) >= 12)
-    every = F.concat("_c0", "_c1", few, "_c3", "_c4", "_c5", "_c6", "_c7")
+    every = F.concat("_c0", "_c1", few, "_c3", "_c4", "_c5", "_c6", "_c7", "_c8")
     named = lambda x, v: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.replace(x["value"], F.lit(MARK), F.lit(".")).alias("value"), v.alias("valid"))
     d = d.withColumn("_every", F.transform(every, lambda x: named(x, _valid(x))))
-    voted = F.transform("_every", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["valid"].alias("valid"), *(v.cast("int").alias(k) for k, v in _votes(x, F.col("_t")).items())))
-    return d.withColumn("_candidates", voted).drop("_t", "_digit", "_tm", "_tc", *(f"_c{i}" for i in range(8)), "_every")
+    voted = F.transform("_every", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["valid"].alias("valid"), *(v.cast("int").alias(k) for k, v in (_votes(x, F.col("_t")) | _features(x, F.col("_t"))).items())))
+    return d.withColumn("_candidates", voted).drop("_t", "_digit", "_tm", "_tc", *(f"_c{i}" for i in range(len(KINDS))), "_every")
 
 
 @dataclass
 class SpanClassifier:
-    """Logistic regression over the kind of a span and the votes on it."""
+    """Logistic regression over the kind of a span and, for each kind, the classes of its features."""
 
     bias: dict[int, float]
-    weight: list[dict[int, float]]
+    weight: dict[tuple[int, int, int], float]  # kind, number of the feature, class
 
-    def score(self, kind: int, votes: tuple[int, ...]) -> float:
-        z = self.bias[kind] + sum(w[v] for v, w in zip(votes, self.weight, strict=True))
+    def score(self, kind: int, features: tuple[int, ...]) -> float:
+        z = self.bias[kind] + sum(self.weight.get((kind, j, v), 0.0) for j, v in enumerate(features))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
-    def probability(self, kind: Column, votes: list[Column]) -> Column:
-        pick = lambda c, table: F.coalesce(*(F.when(c == k, F.lit(v)) for k, v in table.items()), F.lit(0.0))
-        z = pick(kind, self.bias)
-        for c, w in zip(votes, self.weight, strict=True):
-            z = z + pick(c, w)
+    def probability(self, kind: Column, features: list[Column]) -> Column:
+        z = F.coalesce(*(F.when(kind == k, F.lit(v)) for k, v in self.bias.items()), F.lit(0.0))
+        for j, c in enumerate(features):
+            table = F.create_map(*(F.lit(x) for (k, i, v), w in self.weight.items() if i == j for x in (k * 16 + v + 4, w))) if self.weight else F.create_map()
+            z = z + F.coalesce(F.try_element_at(table, (kind * 16 + c + 4).cast("int")), F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def train(counts: list[tuple[int, tuple[int, ...], int]], rounds: int = 400, rate: float = 0.5, decay: float = 1e-3) -> SpanClassifier:
-    """counts: kind, votes and number of all candidates. The targets are the posteriors of the EM fit."""
+def reliabilities(counts: list[tuple[int, tuple[int, ...], int]]) -> dict[int, weak.VoteModel]:
+    """counts: kind, votes and number of all candidates. One model a kind, each leaning on that of all kinds together."""
     by_votes: dict[tuple[int, ...], int] = {}
     for _, votes, n in counts:
         by_votes[votes] = by_votes.get(votes, 0) + n
-    model = weak.fit(sorted(by_votes.items()), len(VOTERS), prior=0.7)
-    out = SpanClassifier(dict.fromkeys(range(len(KINDS)), 0.0), [{v: 0.5 * v for v in weak.VOTES} for _ in VOTERS])
-    total = sum(n for *_, n in counts)
-    for _ in range(rounds if total else 0):
-        bias, weight = dict.fromkeys(out.bias, 0.0), [dict.fromkeys(weak.VOTES, 0.0) for _ in VOTERS]
-        for kind, votes, n in counts:
-            g = n * (model.score(votes) - out.score(kind, votes)) / total
+    both = weak.fit(sorted(by_votes.items()), len(VOTERS), prior=0.7)
+    return {k: weak.fit(sorted((v, n) for kind, v, n in counts if kind == k), len(VOTERS), like=both) for k in range(len(KINDS))}
+
+
+def train(cells: list[tuple[int, tuple[int, ...], int, float]], rounds: int = 300, rate: float = 4.0, decay: float = 1e-3) -> SpanClassifier:
+    """cells: kind, features, number of candidates and the sum of their posteriors, which are the targets."""
+    total: dict[int, int] = {}
+    for kind, _, n, _ in cells:
+        total[kind] = total.get(kind, 0) + n
+    out = SpanClassifier(dict.fromkeys(range(len(KINDS)), 0.0), {(k, j, v): 0.0 for k, f, *_ in cells for j, v in enumerate(f)})
+    for _ in range(rounds):
+        bias, weight = dict.fromkeys(out.bias, 0.0), dict.fromkeys(out.weight, 0.0)
+        for kind, features, n, good in cells:
+            g = (good - n * out.score(kind, features)) / total[kind]
             bias[kind] += g
-            for v, w in zip(votes, weight, strict=True):
-                w[v] += g
+            for j, v in enumerate(features):
+                weight[kind, j, v] += g
         for k in bias:
             out.bias[k] += rate * (bias[k] - decay * out.bias[k])
-        for w, g in zip(out.weight, weight, strict=True):
-            for v in w:
-                w[v] += rate * (g[v] - decay * w[v])
+        for k in weight:
+            out.weight[k] += rate * (weight[k] - decay * out.weight[k])
     return out
 
 
 def find(docs: DataFrame, add_from: float = ADD_FROM) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and added, one row per row of `docs` (doc_id, text)."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added and n_spans, one row per row of `docs` (doc_id, text)."""
     d = materialise(candidates(docs.select("doc_id", "text")).drop("text"), "pii")
-    rows = d.select(F.explode("_candidates").alias("c")).groupBy("c.kind", *(f"c.{v}" for v in VOTERS)).count().collect()
-    model = train(sorted((r["kind"], tuple(r[v] for v in VOTERS), r["count"]) for r in rows))
+    each = d.select(F.explode("_candidates").alias("c")).select("c.*")
+    rows = each.groupBy("kind", *VOTERS).count().collect()
+    models = reliabilities(sorted((r["kind"], tuple(r[v] for v in VOTERS), r["count"]) for r in rows))
+    posterior = F.coalesce(*(F.when(F.col("kind") == k, m.posterior([F.col(v) for v in VOTERS])) for k, m in models.items()))
+    told = [*FEATURES, "v_context", "v_format", "v_place"]
+    cells = each.groupBy("kind", *told).agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(posterior * 1_000_000).cast("long")).alias("good")).collect()
+    model = train(sorted((r["kind"], tuple(r[f] for f in told), r["n"], r["good"] / 1_000_000) for r in cells))
     base = F.filter("_candidates", lambda x: (x["kind"] < len(BASE)) & x["valid"])
     d = d.withColumn("_base", base)
     apart = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    score = lambda x: model.probability(x["kind"], [x[v] for v in VOTERS])
+    score = lambda x: model.probability(x["kind"], [x[f] for f in told])
     d = d.withColumn("_added", F.filter("_candidates", lambda x: (x["kind"] >= len(BASE)) & (score(x) >= add_from) & apart(x)))
     key = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
     names = F.array(*(F.lit(k) for k in KINDS))
     text = lambda xs: F.array_join(F.transform(F.sort_array(F.transform(xs, key)), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("_base", lambda x: _is(x, kind))).cast("long")
-    return d.select("doc_id", *(count(k).alias(f"n_{k}") for k in BASE), F.sha2(text(F.col("_base")), 256).alias("base_sha256"), text(F.concat("_base", "_added")).alias("spans"), F.size("_added").alias("n_added"))
+    return d.select("doc_id", *(count(k).alias(f"n_{k}") for k in BASE), F.sha2(text(F.col("_base")), 256).alias("base_sha256"), text(F.concat("_base", "_added")).alias("spans"), F.size("_added").alias("n_added"), (F.size("_base") + F.size("_added")).cast("long").alias("n_spans"))

@@ -6,7 +6,6 @@ fit runs on the driver over exact counts of all rows, and the posterior is a pla
 
 from __future__ import annotations
 
-import itertools
 import math
 from dataclasses import dataclass
 from functools import reduce
@@ -47,20 +46,22 @@ def patterns(df: DataFrame, votes: list[str]) -> list[tuple[tuple[int, ...], int
     return sorted((tuple(int(r[v]) for v in votes), int(r["count"])) for r in rows)
 
 
-def fit(counts: list[tuple[tuple[int, ...], int]], voters: int, prior: float = 0.8, rounds: int = 200, smooth: float = 1.0) -> VoteModel:
+def fit(counts: list[tuple[tuple[int, ...], int]], voters: int, prior: float = 0.8, rounds: int = 200, smooth: float = 1.0, like: VoteModel | None = None, trust: float = 20.0) -> VoteModel:
     """EM that starts by trusting every vote against. A voter never counts against its own meaning: where the estimates
-    say so, its votes are taken to say nothing. Without rows the start values stand."""
+    say so, its votes are taken to say nothing. Without rows the start values stand. `like` is a model whose rates and prior
+    count as much as `trust` rows of each class, for groups with few rows of their own."""
     start = {1: {1: 0.6, -1: 0.1, 0: 0.3}, 0: {1: 0.2, -1: 0.5, 0: 0.3}}
-    model = VoteModel(prior, [{y: dict(start[y]) for y in (1, 0)} for _ in range(voters)])
+    model = like or VoteModel(prior, [{y: dict(start[y]) for y in (1, 0)} for _ in range(voters)])
     total = sum(n for _, n in counts)
     if not total:
         return model
-    soft = [(0.1 if -1 in p else 0.95 if 1 in p else prior) for p, _ in counts]
+    soft = [0.1 if -1 in p else like.score(p) if like else 0.95 if 1 in p else prior for p, _ in counts]
     for _ in range(rounds):
         good = sum(n * q for (_, n), q in zip(counts, soft, strict=True))
-        model = VoteModel(min(0.99, max(0.01, good / total)), [])
+        share = (good + trust * like.prior) / (total + trust) if like else good / total
+        model = VoteModel(min(0.99, max(0.01, share)), [])
         for j in range(voters):
-            mass = {y: dict.fromkeys(VOTES, smooth) for y in (1, 0)}
+            mass = {y: {v: trust * like.rates[j][y][v] if like else smooth for v in VOTES} for y in (1, 0)}
             for (p, n), q in zip(counts, soft, strict=True):
                 mass[1][p[j]] += n * q
                 mass[0][p[j]] += n * (1 - q)
@@ -74,7 +75,3 @@ def fit(counts: list[tuple[tuple[int, ...], int]], voters: int, prior: float = 0
         if moved < 1e-7:
             break
     return model
-
-
-def all_patterns(voters: int):
-    return itertools.product(VOTES, repeat=voters)
