@@ -60,12 +60,23 @@ def hard_filters(title: Column, location: Column, description: Column, workplace
     return F.struct(result.alias("result"), warnings.alias("warnings"), blocks.alias("blocks"))
 
 
+def keyed(requirements: Column) -> Column:
+    """The requirements with `key`, the canonical skill or null, so that it is worked out once."""
+    return F.transform(requirements, lambda r: F.struct(*(r[c].alias(c) for c in ("type", "text", "skill", "importance", "hard")), F.nullif(canonical_skill(r["skill"]), F.lit("")).alias("key")))
+
+
+def known_evidence(evidence: Column) -> Column:
+    """The evidence with canonical skills and a lower-case text."""
+    return F.transform(evidence, lambda e: F.struct(e["id"].alias("id"), e["text"].alias("text"), F.lower(e["text"]).alias("low"), F.transform(e["skills"], canonical_skill).alias("skills")))
+
+
 def requirement_match(r: Column, skills: Column, evidence: Column) -> Column:
-    """struct(status, confidence, evidence_id, explanation) of one requirement; the first rule that fits decides."""
-    skill = F.nullif(canonical_skill(r["skill"]), F.lit(""))
+    """struct(status, confidence, evidence_id, explanation) of one requirement of keyed(); the first rule that fits decides.
+    skills: canonical names; evidence: from known_evidence()."""
+    skill = r["key"]
     long_words = F.filter(F.split(r["text"], " "), lambda w: F.length(w) > 4)
-    spoken = F.get(F.filter(evidence, lambda e: F.exists(long_words, lambda w: F.contains(F.lower(e["text"]), F.lower(w)))), 0)
-    shown = F.get(F.filter(evidence, lambda e: F.exists(e["skills"], lambda s: canonical_skill(s) == skill)), 0)
+    spoken = F.get(F.filter(evidence, lambda e: F.exists(long_words, lambda w: F.contains(e["low"], F.lower(w)))), 0)
+    shown = F.get(F.filter(evidence, lambda e: F.array_contains(e["skills"], skill)), 0)
     related = F.try_element_at(F.create_map(*(x for k, v in RELATED.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), skill)
     overlap = F.exists(skills, lambda s: F.contains(skill, s) | F.contains(s, skill))
 
@@ -86,8 +97,8 @@ def requirement_match(r: Column, skills: Column, evidence: Column) -> Column:
 
 
 def category_scores(title: Column, description: Column, workplace: Column, requirements: Column, matches: Column, skills: Column, profile: Column) -> dict[str, Column]:
-    """The seven scores, each rounded to a tenth before they are added."""
-    asked = F.filter(F.transform(requirements, lambda r: F.nullif(canonical_skill(r["skill"]), F.lit(""))), lambda s: s.isNotNull())
+    """The seven scores, each rounded to a tenth before they are added. requirements: from keyed()."""
+    asked = F.filter(F.transform(requirements, lambda r: r["key"]), lambda s: s.isNotNull())
 
     def share(names: list[str], weight: int) -> Column:
         wanted = F.filter(asked, lambda s: s.isin(names))
@@ -120,10 +131,10 @@ def analyse(pairs: DataFrame) -> DataFrame:
     """pairs: title, location, description, workplace, requirements and profile. Adds filter, matches, scores (a struct),
     overall, classification, top_skills, top_concern and summary."""
     c = F.col
-    d = pairs.withColumn("_skills", skill_set(c("profile.skills"), c("profile.evidence")))
+    d = pairs.withColumns({"_skills": skill_set(c("profile.skills"), c("profile.evidence")), "_reqs": keyed(c("requirements")), "_shown": known_evidence(c("profile.evidence"))})
     d = d.withColumn("filter", hard_filters(c("title"), c("location"), c("description"), c("workplace"), c("requirements"), c("profile")))
-    d = d.withColumn("matches", F.transform("requirements", lambda r: requirement_match(r, c("_skills"), c("profile.evidence"))))
-    scores = category_scores(c("title"), c("description"), c("workplace"), c("requirements"), c("matches"), c("_skills"), c("profile"))
+    d = d.withColumn("matches", F.transform("_reqs", lambda r: requirement_match(r, c("_skills"), c("_shown"))))
+    scores = category_scores(c("title"), c("description"), c("workplace"), c("_reqs"), c("matches"), c("_skills"), c("profile"))
     d = d.withColumn("scores", F.struct(*(v.alias(k) for k, v in scores.items())))
     total = F.floor(reduce(lambda a, b: a + b, (c(f"scores.{k}") for k in WEIGHTS)) + 0.5).cast("int")
     both = F.zip_with("requirements", "matches", lambda r, m: F.struct(r.alias("r"), m.alias("m")))
@@ -141,7 +152,7 @@ def analyse(pairs: DataFrame) -> DataFrame:
         F.when(F.size(strong) > 0, F.concat(F.lit("Strong: "), F.array_join(strong, "; "))),
         F.when(F.size(gaps) > 0, F.concat(F.lit("Gaps: "), F.array_join(gaps, "; "))),
     )
-    return d.withColumn("summary", F.array_join(lines, ". ")).drop("_skills", "_both", "_gaps", "_sparse")
+    return d.withColumn("summary", F.array_join(lines, ". ")).drop("_skills", "_reqs", "_shown", "_both", "_gaps", "_sparse")
 
 
 def category_rows(analysed: DataFrame, key: str = "id") -> DataFrame:

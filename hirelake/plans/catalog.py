@@ -1,7 +1,7 @@
 """Named queries over the driver tables, each with hand-written SQL that must give the same rows.
 
-The tables hold no postings, so each query maps an operator onto a table of like shape (orders stand for postings,
-customers for owners, suppliers for boards), or onto inline postings, the same literals in both engines.
+The tables hold no postings, so each query maps an operator onto a table of like shape: orders stand for postings,
+customers for owners, suppliers for boards. match_catalog and posting_catalog work on texts derived from the tables.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hirelake.functions import dates, options, resume_lines, signals, skills, text, urls
-from hirelake.operators import boards, dashboard, feed, incremental, matching, registry, requirements, resume
+from hirelake.functions import signals, skills, text, urls
+from hirelake.operators import dashboard, feed, incremental, registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,15 +60,6 @@ def html_title(spark, sf_dir):
     return pages.select("page_id", text.html_title(F.col("html")).alias("title"))
 
 
-_ENTITIES = [("a&amp;lt;b", "a&lt;b"), ("&#65;&#x42;", "AB"), ("&copy; &AMP;", "&copy; &"), ("&#128512;!", "😀!"), ("&#1114112;&;&", "&#1114112;&;&"), ("x &lt;b&gt; &nbsp;y", "x <b>  y")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{want}')" for i, (_, want) in enumerate(_ENTITIES)) + ") AS t(id, decoded)")
-def html_entities(spark, sf_dir):
-    rows = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(_ENTITIES)], "id int, raw string")
-    return rows.select("id", text.decode_entities(F.col("raw")).alias("decoded"))
-
-
 @query(r"SELECT s_suppkey, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM supplier")
 def slugify(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", urls.slugify(F.col("s_name")).alias("slug"))
@@ -147,36 +138,6 @@ def keyword_extract(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("["), F.array_join(found, ", "), F.lit("]")).alias("found"))
 
 
-_URLS = [
-    ("https://boards.greenhouse.io/acme/", "greenhouse", "acme", "https://boards.greenhouse.io/acme", "false", None),
-    ("https://boards-api.greenhouse.io/v1/boards/acme/jobs", "greenhouse", "acme", "https://boards.greenhouse.io/acme", "false", None),
-    ("https://job-boards.greenhouse.io/acme/jobs", "greenhouse", "acme", "https://job-boards.greenhouse.io/acme", "false", None),
-    ("https://boards.greenhouse.io/acme/jobs/12345", "greenhouse", "acme", "https://boards.greenhouse.io/acme/jobs/12345", "true", "single_job"),
-    ("https://jobs.lever.co/beta?team=x", "lever", "beta", "https://jobs.lever.co/beta", "false", None),
-    ("https://jobs.lever.co/beta/0a1b2c3d-4e5f", "lever", "beta", "https://jobs.lever.co/beta/0a1b2c3d-4e5f", "true", "single_job"),
-    ("https://api.ashbyhq.com/posting-api/job-board/Gamma", "ashby", "Gamma", "https://jobs.ashbyhq.com/Gamma", "false", None),
-    ("https://jobs.ashbyhq.com/gamma//", "ashby", "gamma", "https://jobs.ashbyhq.com/gamma", "false", None),
-    ("ftp://jobs.lever.co/beta", None, None, None, None, "invalid"),
-    ("https://example.com/careers", None, None, None, None, "invalid"),
-]
-_lit = lambda x: "NULL" if x is None else f"'{x}'"
-
-
-@query("SELECT id, provider, slug, url, single, error FROM (VALUES " + ", ".join(f"({i}, {', '.join(map(_lit, u[1:]))})" for i, u in enumerate(_URLS)) + ") AS t(id, provider, slug, url, single, error)")
-def url_parse(spark, sf_dir):
-    rows = spark.createDataFrame([(i, u[0]) for i, u in enumerate(_URLS)], "id int, raw string").withColumn("p", urls.parse_board_url(F.col("raw")))
-    return rows.select("id", F.col("p.provider").alias("provider"), F.col("p.board_slug").alias("slug"), F.col("p.board_url").alias("url"), F.col("p.is_single_job").cast("string").alias("single"), urls.board_url_error(F.col("raw")).alias("error"))
-
-
-_DATES = [("Jun 2022 - Present", "2022-06", None, "true"), ("6/2021 – 12/2022", "2021-06", "2022-12", "false"), ("2019 — 2020", "2019-01", "2020-01", "false"), ("March 2018", "2018-03", None, "false"), ("soon", None, None, "false")]
-
-
-@query("SELECT id, start, finish, current FROM (VALUES " + ", ".join(f"({i}, {', '.join(map(_lit, d[1:]))})" for i, d in enumerate(_DATES)) + ") AS t(id, start, finish, current)")
-def date_tokens(spark, sf_dir):
-    rows = spark.createDataFrame([(i, d[0]) for i, d in enumerate(_DATES)], "id int, raw string").withColumn("r", dates.date_range(F.col("raw")))
-    return rows.select("id", F.col("r.start").alias("start"), F.col("r.end").alias("finish"), F.col("r.current").cast("string").alias("current"))
-
-
 # ---- feed ------------------------------------------------------------------------------------------------------
 
 
@@ -405,188 +366,6 @@ def word_edges(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.when(signals.says(c, ["sales|recruiter"]), "blocked").when(signals.says(c, ["la|der|the"]), "article").otherwise("none").alias("class"))
 
 
-_POST = "Senior Frontend Engineer\nRequired:\n- 5+ years of React and TypeScript experience\n• Must be authorized to work in Canada\nNice to have\n* Experience with GraphQL servers\n- short\nResponsibilities\nLead accessible interface delivery work"
-
-
-@query("SELECT * FROM (VALUES (3, 'required', '5+ years of React and TypeScript experience'), (4, 'required', 'Must be authorized to work in Canada'), (6, 'preferred', 'Experience with GraphQL servers'), (9, 'responsibilities', 'Lead accessible interface delivery work')) AS t(line, section, bullet)")
-def section_carry(spark, sf_dir):
-    post = spark.createDataFrame([(1, _POST)], "id int, description string")
-    return requirements.section_lines(post).select((F.col("pos") + 1).alias("line"), "section", "bullet")
-
-
-# ---- matching --------------------------------------------------------------------------------------------------
-
-_POSTS = [
-    (1, "Senior Frontend Engineer", "Remote - Canada", "We ask for a degree.", "remote", ["React experience required", "AWS deployment"], ["GraphQL knowledge"], ["Improve testing culture"], []),
-    (2, "Platform Developer", "New York", "Office work.", "on_site", ["Must hold a security clearance"], [], [], ["Vue", "k8s"]),
-    (3, "Staff Engineer", "Berlin", "10+ years of experience.", "hybrid", ["12+ years building TypeScript services"], ["Fluent French language skills"], [], ["TypeScript"]),
-]
-_PROFILE = "named_struct('years', 7, 'remote_preference', 'remote', 'preferred_locations', array('Toronto'), 'skills', array('React', 'TypeScript', 'JS'), 'evidence', array(named_struct('id', 'e0', 'text', 'Built accessible React apps with testing', 'skills', array('react', 'a11y'))))"
-
-
-def _posts(spark):
-    return spark.createDataFrame(_POSTS, "id int, title string, location string, description string, workplace string, required array<string>, preferred array<string>, responsibilities array<string>, technologies array<string>")
-
-
-@query(
-    """SELECT * FROM (VALUES (1, 0, 'skill', 'react', 'required', true), (1, 1, 'skill', 'aws', 'required', false), (1, 2, 'skill', 'graphql', 'preferred', false), (1, 3, 'responsibility', NULL, 'required', false), (1, 4, 'location', NULL, 'required', false),
-    (2, 0, 'clearance', NULL, 'required', true), (2, 1, 'skill', 'vue', 'required', false), (2, 2, 'skill', 'kubernetes', 'required', false), (2, 3, 'location', NULL, 'required', false),
-    (3, 0, 'experience', 'typescript', 'required', false), (3, 1, 'language', NULL, 'preferred', false), (3, 2, 'location', NULL, 'required', false)) AS t(id, pos, type, skill, importance, hard)"""
-)
-def requirements_structured(spark, sf_dir):
-    d = requirements.structured(_posts(spark))
-    return d.select("id", F.posexplode("requirements").alias("pos", "r")).select("id", "pos", "r.type", "r.skill", "r.importance", "r.hard")
-
-
-def _analysed(spark):
-    return matching.analyse(requirements.structured(_posts(spark)).withColumn("profile", F.expr(_PROFILE)))
-
-
-@query(
-    """SELECT * FROM (VALUES (1, 'pass', 55, 'stretch', 'No evidence of aws in profile — qualification gap'),
-    (2, 'block', 12, 'poor', 'No evidence of kubernetes in profile — qualification gap'),
-    (3, 'warning', 49, 'stretch', 'Role requires 12+ years; profile shows 7')) AS t(id, result, overall, classification, top_concern)"""
-)
-def match_summary(spark, sf_dir):
-    return _analysed(spark).select("id", "filter.result", "overall", "classification", "top_concern")
-
-
-@query(
-    """SELECT * FROM (VALUES (1, 0, 'confirmed', 0.9), (1, 1, 'gap', 0.8), (1, 2, 'missing_evidence', 0.8), (1, 3, 'confirmed', 0.7), (1, 4, 'missing_evidence', 0.5),
-    (2, 0, 'missing_evidence', 0.5), (2, 1, 'transferable', 0.6), (2, 2, 'gap', 0.8), (2, 3, 'missing_evidence', 0.5), (3, 0, 'confirmed', 0.9), (3, 1, 'missing_evidence', 0.5), (3, 2, 'missing_evidence', 0.5)) AS t(id, pos, status, confidence)"""
-)
-def requirement_matches(spark, sf_dir):
-    return matching.requirement_rows(_analysed(spark)).select("id", "pos", "status", "confidence")
-
-
-@query(
-    """SELECT * FROM (VALUES (1, 'core_skills', 25.0), (1, 'frameworks_tools', 0.0), (1, 'relevant_experience', 8.0), (1, 'responsibility_alignment', 15.0), (1, 'seniority_leadership', 10.0), (1, 'location_work_arrangement', 10.0), (1, 'education_domain', 4.0),
-    (2, 'core_skills', 0.0), (2, 'frameworks_tools', 0.0), (2, 'relevant_experience', 0.0), (2, 'responsibility_alignment', 0.0), (2, 'seniority_leadership', 8.0), (2, 'location_work_arrangement', 4.0), (2, 'education_domain', 0.0),
-    (3, 'core_skills', 25.0), (3, 'frameworks_tools', 0.0), (3, 'relevant_experience', 6.7), (3, 'responsibility_alignment', 0.0), (3, 'seniority_leadership', 10.0), (3, 'location_work_arrangement', 7.0), (3, 'education_domain', 0.0)) AS t(id, category, score)"""
-)
-def category_scores(spark, sf_dir):
-    return matching.category_rows(_analysed(spark)).select("id", "category", "score")
-
-
-# ---- postings, resumes and answers -----------------------------------------------------------------------------
-
-
-def _values(rows: list[tuple], names: str) -> str:
-    lit = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({names})"
-
-
-_PLACES = [
-    ("Toronto, ON", "Build things", "remote", "remote-canada"),
-    ("Remote", "Open to US only applicants", "unknown", "remote-us"),
-    ("Remote", "Join our EMEA team", "unknown", "remote-region-specific"),
-    ("Anywhere", "work from anywhere", "unknown", "remote-unknown"),
-    ("Berlin", "Office", "hybrid", "hybrid"),
-    ("Montréal", "Bureau", "on_site", "onsite"),
-    ("Paris", "Bureau", "unknown", "unknown"),
-]
-
-
-@query(_values([(i, p[3]) for i, p in enumerate(_PLACES)], "id, class"))
-def location_class(spark, sf_dir):
-    d = spark.createDataFrame([(i, *p[:3]) for i, p in enumerate(_PLACES)], "id int, location string, description string, workplace string")
-    return d.select("id", signals.location_class(F.col("location"), F.col("description"), F.col("workplace")).alias("class"))
-
-
-_OFFERS = [
-    ("Frontend Engineer", "Toronto", "unknown", None),
-    ("Account Executive", "Toronto", "remote", "title_mismatch"),
-    ("Platform Engineer", "Paris", "on_site", "location_mismatch"),
-    ("Engineering Intern", "Remote", "remote", "title_mismatch"),
-    ("Internal Tools Engineer", "Remote", "unknown", None),
-]
-
-
-@query(_values([(i, p[3]) for i, p in enumerate(_OFFERS)], "id, reason"))
-def import_filter(spark, sf_dir):
-    none = F.array().cast("array<string>")
-    d = spark.createDataFrame([(i, *p[:3]) for i, p in enumerate(_OFFERS)], "id int, title string, location string, workplace string")
-    return d.select("id", signals.import_reason(F.col("title"), F.col("location"), F.lit("Text."), F.col("workplace"), none, none).alias("reason"))
-
-
-_BOARDS = [
-    ("greenhouse", "u", '{"board":"acme_labs","jobs":[{"id":7,"title":"Web  Engineer","location":{"name":"Remote - Canada"},"absolute_url":"http://x","content":"<p>Hi &amp; bye</p>","updated_at":"2024-01-01"}]}'),
-    ("lever", "https://jobs.lever.co/beta-co", '[{"id":"p1","text":"<div>Designer</div><div>More</div>","hostedUrl":"http://y","categories":{"location":"Oslo"},"createdAt":1700000000000}]'),
-    ("ashby", "u", '{"companyName":"Gamma","jobs":[{"id":"a","title":"Ops","isRemote":false,"workplaceType":"OnSite","location":"Rome","descriptionHtml":""}]}'),
-    ("other", "u", "{}"),
-]
-
-
-@query(_values([("greenhouse", "Acme Labs", "Web Engineer", "remote", "7", "2024-01-01", "Hi & bye"), ("lever", "Beta Co", "Designer", "unknown", "p1", "2023-11-14T22:13:20.000Z", "Designer\nMore"), ("ashby", "Gamma", "Ops", "on_site", "a", None, "Ops")], "provider, company, title, workplace, source_job_id, date_posted, description"))
-def board_postings(spark, sf_dir):
-    raw = spark.createDataFrame(_BOARDS, "provider string, url string, payload string")
-    return boards.normalize(raw).select("provider", "company", "title", "workplace", "source_job_id", "date_posted", "description")
-
-
-_RESUME = ["Jane Doe", "Web person", "jane@example.com", "Toronto, Canada", "Experience", "Senior Engineer | Acme", "Jun 2020 - Present", "- Built a design system for teams", "Skills", "Languages: TypeScript, Go", "Docker", "Tools:", "Figma, Jira"]
-
-
-def _resume(spark):
-    return spark.createDataFrame([(1, i, t) for i, t in enumerate(_RESUME)], "doc int, line_no int, text string")
-
-
-@query(_values([(0, "contact"), (1, "contact"), (2, "contact"), (3, "contact"), (5, "experience"), (6, "experience"), (7, "experience"), (9, "skills"), (10, "skills"), (11, "skills"), (12, "skills")], "line_no, section"))
-def resume_sections(spark, sf_dir):
-    return resume.sections(_resume(spark)).select("line_no", "section")
-
-
-@query(_values([("Jane Doe", "Web person", "jane@example.com", "Toronto, Canada")], "full_name, headline, email, location"))
-def resume_contact(spark, sf_dir):
-    lines = resume.lines_of(resume.sections(_resume(spark)), "contact")
-    return lines.select(resume.contact(F.col("lines")).alias("c")).select("c.full_name", "c.headline", "c.email", "c.location")
-
-
-@query(_values([(1, "Languages", "TypeScript|Go|Docker"), (2, "Tools", "Figma|Jira")], "group_no, category, skills"))
-def resume_skills(spark, sf_dir):
-    groups = resume.skill_groups(resume.sections(_resume(spark)).filter("section = 'skills'"))
-    return groups.select("group_no", "category", F.array_join("skills", "|").alias("skills"))
-
-
-@query(_values([("Senior Engineer", "Acme", "2020-06", None, True, "Built a design system for teams")], "title, company, start, finish, current, bullets"))
-def resume_blocks(spark, sf_dir):
-    blocks = resume.reconciled(resume.experience_blocks(resume.sections(_resume(spark)).filter("section = 'experience'")))
-    return blocks.select("title", "company", F.col("dates.start").alias("start"), F.col("dates.end").alias("finish"), F.col("dates.current").alias("current"), F.array_join("bullets", "|").alias("bullets"))
-
-
-_BULLETS = [(1, "Built React dashboards used by 40% of clients"), (2, "Maintained build servers and release tooling"), (3, "x"), (4, "Jane Doe | Engineer | Toronto, Canada")]
-
-
-@query(_values([(1, 1, 6), (2, 2, 2)], "rank, pos, points"))
-def tailoring_top(spark, sf_dir):
-    bullets = spark.createDataFrame([("u", *b) for b in _BULLETS], "user string, pos int, text string")
-    jobs = spark.createDataFrame([(1, "u", "React dashboards for clients")], "job int, user string, description string")
-    return resume.tailoring_bullets(bullets, jobs).select("rank", "pos", "points")
-
-
-@query(_values([(1, 'Verify claim: "9 years of experience"; "aws" mentioned in answer but not in cited evidence')], "id, claims"))
-def claims_check(spark, sf_dir):
-    d = spark.createDataFrame([(1, "I have 9 years of experience with AWS. I led the React rewrite.", "Led the React rewrite", "React and AWS")], "id int, answer string, evidence string, job string")
-    return d.select("id", F.array_join(resume_lines.unsupported_claims(F.col("answer"), F.col("evidence"), F.col("job")), "; ").alias("claims"))
-
-
-_OPTIONS = [("Canadian Citizen", "canadian_citizen", "", ""), ("Principal, Onsite", "", "staff", "on_site"), ("senior / hybrid", "", "senior", "hybrid"), (None, "", "", "")]
-
-
-@query(_values([(i, *o[1:]) for i, o in enumerate(_OPTIONS)], "id, work, seniority, remote"))
-def profile_options(spark, sf_dir):
-    d = spark.createDataFrame([(i, o[0]) for i, o in enumerate(_OPTIONS)], "id int, v string")
-    return d.select("id", options.work_authorization(F.col("v")).alias("work"), options.seniority(F.col("v")).alias("seniority"), options.remote_preference(F.col("v")).alias("remote"))
-
-
-_SLUGS = [("acme", True), ("1234", False), ("internet", False), ("ab", False), ("deadbeef00", False), ("a b", False), ("Acme-Co.2", True)]
-
-
-@query(_values([(i, s[1]) for i, s in enumerate(_SLUGS)], "id, plausible"))
-def plausible_slugs(spark, sf_dir):
-    d = spark.createDataFrame([(i, s[0]) for i, s in enumerate(_SLUGS)], "id int, slug string")
-    return d.select("id", urls.is_plausible_slug(F.col("slug")).alias("plausible"))
-
-
 # ---- extensions: what the tables invite beyond the postings ----------------------------------------------------
 
 
