@@ -24,15 +24,20 @@ SYNONYMS = {
 CANONICAL = {s: name for name, others in SYNONYMS.items() for s in others}
 
 
+def constant(x) -> Column:
+    """A list or a dict of plain strings as one expression."""
+    text = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr(f"map({', '.join(text(v) for kv in x.items() for v in kv)})" if isinstance(x, dict) else f"array({', '.join(map(text, x))})")
+
+
 def canonical_skill(col: Column) -> Column:
     """Lower case, trimmed, synonyms to one name."""
     low = F.trim(F.lower(col))
-    table = F.create_map(*(F.lit(x) for kv in CANONICAL.items() for x in kv))
-    return F.coalesce(F.try_element_at(table, low), low)
+    return F.coalesce(F.try_element_at(constant(CANONICAL), low), low)
 
 
 def technologies(col: Column, keywords: list[str] = TECH_KEYWORDS) -> Column:
     """Canonical names of the keywords that occur anywhere in the text, in keyword order."""
     low = F.lower(col)
-    found = F.filter(F.array(*(F.lit(k) for k in keywords)), lambda k: F.contains(low, k))
+    found = F.filter(constant(keywords), lambda k: F.contains(low, k))
     return F.array_distinct(F.transform(found, canonical_skill))

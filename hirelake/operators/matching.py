@@ -162,7 +162,8 @@ def category_rows(analysed: DataFrame, key: str = "id") -> DataFrame:
 
 
 def requirement_rows(analysed: DataFrame, key: str = "id") -> DataFrame:
-    return analysed.select(key, F.posexplode("matches").alias("pos", "m")).select(key, "pos", "m.*")
+    # an outer explode works the array out once; an inner one would do so again to see whether it is empty
+    return analysed.select(key, F.posexplode_outer("matches").alias("pos", "m")).filter("pos is not null").select(key, "pos", "m.*")
 
 
 def grouped_matches(matches: Column) -> Column:

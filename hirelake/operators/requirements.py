@@ -66,8 +66,8 @@ def special_type(text: Column) -> Column:
     )
 
 
-def special_hard(text: Column) -> Column:
-    kind = special_type(text)
+def special_hard(text: Column, kind: Column | None = None) -> Column:
+    kind = special_type(text) if kind is None else kind
     must = text.rlike("(?i)must|required")
     return F.coalesce(
         F.when(kind == "experience", text.rlike("(?i)must|required|minimum")).when(kind.isin("authorization", "clearance"), F.lit(True)).when(kind.isin("language", "education", "location"), must),
@@ -80,10 +80,15 @@ def _requirement(kind: Column, text: Column, skill: Column, importance: str, har
 
 
 def typed(text: Column, importance: str, default: str = "domain") -> Column:
-    kind, techs = special_type(text), technologies(text)
-    type_ = F.when(kind.isNull() & (F.size(techs) > 0), "skill").when(text.rlike("(?i)years") & kind.isNull(), "experience").otherwise(F.coalesce(kind, F.lit(default)))
-    hard = special_hard(text) | (F.lit(importance == "required") & text.rlike("(?i)must|required|mandatory"))
-    return _requirement(type_, text, F.get(techs, 0), importance, hard)
+    def one(x: Column) -> Column:
+        """x: text, kind (or null) and tech, worked out once."""
+        t, kind = x["text"], x["kind"]
+        type_ = F.when(kind.isNull() & x["tech"].isNotNull(), "skill").when(t.rlike("(?i)years") & kind.isNull(), "experience").otherwise(F.coalesce(kind, F.lit(default)))
+        hard = special_hard(t, kind) | (F.lit(importance == "required") & t.rlike("(?i)must|required|mandatory"))
+        return _requirement(type_, t, x["tech"], importance, hard)
+
+    known = F.array(F.struct(text.alias("text"), special_type(text).alias("kind"), F.get(technologies(text), 0).alias("tech")))
+    return F.get(F.transform(known, one), 0)
 
 
 def structured(posts: DataFrame) -> DataFrame:
@@ -92,24 +97,26 @@ def structured(posts: DataFrame) -> DataFrame:
     technologies, location, description and, if present, experience and education."""
     none = F.array().cast(f"array<{REQUIREMENT}>")
     lines = lambda c, importance, default="domain": F.coalesce(F.transform(c, lambda t: typed(t, importance, default)), none)
-    d = posts.withColumn("_lines", F.concat(lines("required", "required"), lines("preferred", "preferred"), lines("responsibilities", "required", "responsibility")))
-    named = F.transform("_lines", lambda r: r["skill"])
-    known = F.filter(named, lambda x: x.isNotNull())
-    fresh = F.filter(F.coalesce("technologies", F.array().cast("array<string>")), lambda t: ~F.array_contains(known, canonical_skill(t)))
-    # a technology that is there twice under one name gives one requirement, that of its first name
-    fresh = F.filter(fresh, lambda t, i: i == F.array_position(F.transform(fresh, canonical_skill), canonical_skill(t)) - 1)
-    techs = F.transform(fresh, lambda t: _requirement(F.lit("skill"), F.concat(F.lit("Experience with "), t), canonical_skill(t), "required", F.lit(False)))
     one = lambda c, default: F.when(F.coalesce(c, F.lit("")) != "", F.array(typed(c, "required", default))).otherwise(none)
     given = lambda name: F.col(name) if name in posts.columns else F.lit(None).cast("string")
-    place = F.when(
-        F.coalesce("location", F.lit("")) != "",
-        F.array(_requirement(F.lit("location"), F.col("location"), F.lit(None).cast("string"), "required", F.concat(F.col("location"), F.coalesce("description", F.lit(""))).rlike("(?i)must be located|on.?site only"))),
-    ).otherwise(none)
-    d = d.withColumn("_all", F.concat("_lines", techs, one(given("experience"), "experience"), one(given("education"), "education"), place))
-    phrase = F.regexp_extract(F.coalesce("description", F.lit("")), r"(?i)(?:authorized to work|work authorization|eligible to work)[^.\n]{0,120}", 0)
-    asks = (phrase != "") & ~F.exists("_all", lambda r: r["type"] == "authorization")
-    d = d.withColumn("requirements", F.when(asks, F.concat("_all", F.array(_requirement(F.lit("authorization"), trim_blank(phrase), F.lit(None).cast("string"), "required", F.lit(True))))).otherwise(F.col("_all")))
-    return d.drop("_lines", "_all")
+    # each step is a column of its own, so that no later one works it out again
+    about = F.coalesce("description", F.lit(""))
+    d = posts.withColumns({
+        "_lines": F.concat(lines("required", "required"), lines("preferred", "preferred"), lines("responsibilities", "required", "responsibility")),
+        "_techs": F.transform(F.coalesce("technologies", F.array().cast("array<string>")), lambda t: F.struct(t.alias("name"), canonical_skill(t).alias("skill"))),
+        "_phrase": F.regexp_extract(about, r"(?i)(?:authorized to work|work authorization|eligible to work)[^.\n]{0,120}", 0),
+        "_given": F.concat(one(given("experience"), "experience"), one(given("education"), "education")),
+        "_place": F.when(F.coalesce("location", F.lit("")) != "", F.array(_requirement(F.lit("location"), F.col("location"), F.lit(None).cast("string"), "required", F.concat(F.col("location"), about).rlike(r"(?i)must be located|on.?site only")))).otherwise(none),
+    })
+    d = d.withColumn("_named", F.filter(F.transform("_lines", lambda r: r["skill"]), lambda x: x.isNotNull()))
+    d = d.withColumn("_fresh", F.filter("_techs", lambda t: ~F.array_contains("_named", t["skill"])))
+    # a technology that is there twice under one name gives one requirement, that of its first name
+    first = F.filter("_fresh", lambda t, i: i == F.array_position(F.transform("_fresh", lambda x: x["skill"]), t["skill"]) - 1)
+    techs = F.transform(first, lambda t: _requirement(F.lit("skill"), F.concat(F.lit("Experience with "), t["name"]), t["skill"], "required", F.lit(False)))
+    d = d.withColumn("_all", F.concat("_lines", techs, "_given", "_place"))
+    asks = (F.col("_phrase") != "") & ~F.exists("_all", lambda r: r["type"] == "authorization")
+    right = F.array(_requirement(F.lit("authorization"), trim_blank(F.col("_phrase")), F.lit(None).cast("string"), "required", F.lit(True)))
+    return d.withColumn("requirements", F.concat("_all", F.when(asks, right).otherwise(none))).drop("_lines", "_techs", "_phrase", "_given", "_place", "_named", "_fresh", "_all")
 
 
 def skill_count(requirements: Column) -> Column:

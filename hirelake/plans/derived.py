@@ -25,14 +25,14 @@ class Pick:
         self.options, self.a, self.b = options, a, b
 
     def column(self, key: str) -> Column:
-        def lit(x):
+        def lit(x) -> str:
             if isinstance(x, (list, tuple)):
-                return F.array(*map(lit, x))
+                return f"array({', '.join(map(lit, x))})"
             if isinstance(x, dict):
-                return F.struct(*(lit(v).alias(k) for k, v in x.items()))
-            return F.lit(x)
+                return f"named_struct({', '.join(f'{lit(k)}, {lit(v)}' for k, v in x.items())})"
+            return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else quoted(x)
 
-        return F.get(F.array(*map(lit, self.options)), F.pmod(F.col(key) * self.a + self.b, F.lit(len(self.options))).cast("int"))
+        return F.expr(f"get({lit(self.options)}, cast(pmod({key} * {self.a} + {self.b}, {len(self.options)}) as int))")
 
     def sql(self, key: str) -> str:
         return f"{quoted(self.options)}[CAST(({key} * {self.a} + {self.b}) % {len(self.options)} AS INTEGER) + 1]"

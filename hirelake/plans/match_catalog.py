@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hirelake.functions import signals, skills
-from hirelake.functions.text import trim_blank
 from hirelake.operators import matching, requirements
 from hirelake.plans.catalog import query
 from hirelake.plans.derived import POSTS_SQL, PROFILES_SQL, posts, quoted, with_profile
@@ -71,7 +70,7 @@ def _structured(spark, sf_dir):
 
 @query(f"WITH {_REQUIREMENTS} SELECT id, pos, type, text, skill, importance, hard FROM asked")
 def requirements_structured(spark, sf_dir):
-    return _structured(spark, sf_dir).select("id", F.posexplode("requirements").alias("pos", "r")).select("id", "pos", "r.*")
+    return _structured(spark, sf_dir).select("id", F.posexplode_outer("requirements").alias("pos", "r")).filter("pos is not null").select("id", "pos", "r.*")
 
 
 _RELATED = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in matching.RELATED.items()) + "}"
