@@ -17,17 +17,19 @@ def actions(stored: DataFrame, incoming: DataFrame, key: str, text: str) -> Data
     return d.withColumn("action", F.when(F.col("old_hash").isNull(), "insert").when(F.col("old_hash") == F.col("hash"), "skip").otherwise("update"))
 
 
-def snapshot(stored: DataFrame, changed: DataFrame, key: str) -> DataFrame:
-    """The table after the inserts and updates of `changed` (columns as stored)."""
-    return stored.join(changed.select(key), key, "left_anti").unionByName(changed)
-
-
 def capped(df: DataFrame, is_new: Column, most: int, order: list[str], group: str | None = None) -> DataFrame:
-    """The rows before the budget of new ones is spent; of a key only its first row is new. The budget is shared by
-    all rows of a group in the given order, or by a whole run, whose rows are few."""
-    w = (W.partitionBy(group) if group else W.partitionBy()).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    """The rows before the budget of new ones is spent; of a key only its first row is new. The budget is shared by all
+    rows of a group in the given order, or by all rows. Then the row at which it is spent is found by a top-k of the new
+    ones, and no task holds the whole table."""
+    if group is None:
+        # the last new row that is taken is the `most`-th; rows up to the next new one are taken too
+        new = df.filter(F.coalesce(is_new, F.lit(False))).select(F.struct(*order).alias("_o")).orderBy("_o").limit(most)
+        last = new.agg(F.max("_o").alias("_last"), F.count(F.lit(1)).alias("_n"))
+        at = df.withColumn("_at", F.struct(*order)).join(F.broadcast(last))  # one row
+        return at.filter((F.col("_n") < most) | (F.col("_at") <= F.col("_last"))).drop("_at", "_last", "_n")
+    w = W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     spent = F.coalesce(F.sum(F.when(is_new, 1).otherwise(0)).over(w), F.lit(0))
-    return df.withColumn("spent", spent).filter(F.col("spent") < most)
+    return df.withColumn("_spent", spent).filter(F.col("_spent") < most).drop("_spent")
 
 
 def poll_summary(runs: DataFrame) -> DataFrame:

@@ -1,52 +1,21 @@
-"""A source of board payloads: one row per board file, readable as spark.read.format("board_files")."""
+"""Board payloads from files: one row per board."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-SCHEMA = "provider string, url string, payload string"
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Files named <provider>-<anything>.json under a path that Spark reads; the payload is the whole file."""
+    """provider, url, file and payload of the files named <provider>-<anything>.json under a path that Spark reads; the payload is the whole file."""
     d = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
-    return d.select(F.lower(F.regexp_extract("file", r"^([A-Za-z]+)", 1)).alias("provider"), F.col("_metadata.file_path").alias("url"), F.col("value").alias("payload"))
-
-
-class BoardFiles(DataSource):
-    """Boards listed in option `boards` ("provider=url=file", one per line), one partition each. A board that can't be
-    read gives no row, as an unreachable one would."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "board_files"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader([tuple(x.split("=", 2)) for x in self.options.get("boards", "").splitlines() if x.strip()])
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, boards: list[tuple[str, str, str]]):
-        self.boards = boards
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(b) for b in self.boards]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        provider, url, file = partition.value
-        try:
-            with open(file, encoding="utf-8") as f:
-                yield (provider.strip(), url.strip(), f.read())
-        except OSError:
-            return
+    return d.select(F.lower(F.regexp_extract("file", r"^([A-Za-z]+)", 1)).alias("provider"), F.col("_metadata.file_path").alias("url"), "file", F.col("value").alias("payload"))
 
 
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(BoardFiles)
+def fetch(spark: SparkSession, boards: DataFrame, path: str) -> DataFrame:
+    """boards (provider, url, file) with payload and error: not_found where there is no such file under the path, invalid
+    where it holds no JSON, else null. A board that can't be read stays as a row, so that a poll can count it."""
+    found = read_payloads(spark, path).select("file", "payload")
+    d = boards.join(found, "file", "left")
+    parsed = F.try_parse_json("payload")
+    return d.withColumn("error", F.when(F.col("payload").isNull(), "not_found").when(parsed.isNull(), "invalid"))

@@ -1,15 +1,17 @@
 from pyspark.sql import functions as F
 
+from hirelake.operators import incremental
 from hirelake.sources import boards, text
 from hirelake.streaming import polling
 
 
 def test_board_files(spark, tmp_path):
     (tmp_path / "lever-a.json").write_text("[]")
-    boards.register(spark)
-    d = spark.read.format("board_files").option("boards", f"lever=http://x={tmp_path}/lever-a.json\nashby=http://y=/nowhere.json").load()
-    assert [tuple(r) for r in d.collect()] == [("lever", "http://x", "[]")]
-    assert boards.read_payloads(spark, str(tmp_path)).select("provider", "payload").first() == ("lever", "[]")
+    (tmp_path / "ashby-b.json").write_text("<html>")
+    assert sorted(r[0] for r in boards.read_payloads(spark, str(tmp_path)).select("provider").collect()) == ["ashby", "lever"]
+    listed = spark.createDataFrame([("lever", "http://x", "lever-a.json"), ("ashby", "http://y", "ashby-b.json"), ("ashby", "http://z", "nowhere.json")], "provider string, url string, file string")
+    got = {r["url"]: (r["payload"], r["error"]) for r in boards.fetch(spark, listed, str(tmp_path)).collect()}
+    assert got == {"http://x": ("[]", None), "http://y": ("<html>", "invalid"), "http://z": (None, "not_found")}
 
 
 def test_text_sources(spark):
@@ -34,3 +36,37 @@ def test_polls_keep_one_row_per_posting(spark, tmp_path):
     polling.poll(read(), out, str(tmp_path / "cp")).awaitTermination()
     got = {r["id"]: (r["description"], r["action"], r["batch"]) for r in polling.stored(spark, out, schema).collect()}
     assert got == {"a": ("one again", "insert", 0), "b": ("changed", "update", 1), "c": ("new", "insert", 1)}
+
+
+def test_a_poll_that_runs_again_gives_the_same_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(polling, "COMPACT", 2)
+    src, out, cp = tmp_path / "in", str(tmp_path / "out"), tmp_path / "cp"
+    schema = "id string, description string, seen int"
+    read = lambda: spark.readStream.schema(schema).json(str(src / "*"))
+    table = lambda: {tuple(r) for r in polling.stored(spark, out, schema).select("id", "description", "action", "batch").collect()}
+    for n in range(5):
+        rows = [(f"p{n}", "new", n), ("p0", f"text {n}", n), (f"p{n - 1}", "new", n)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(str(src / str(n)))
+        polling.poll(read(), out, str(cp)).awaitTermination()
+        before = table()
+        (cp / "commits" / str(n)).unlink()  # as after a crash between the write and the commit of the stream
+        (cp / "commits" / f".{n}.crc").unlink(missing_ok=True)
+        polling.poll(read(), out, str(cp)).awaitTermination()
+        assert table() == before
+        # and after one before the batch was made part of the table
+        commits = polling.Commits(spark, out)
+        last = commits.listed()[-1][2]
+        for f in (tmp_path / "out" / "_commits").glob(f"*{last.split('.')[0]}*"):
+            f.unlink()
+        (cp / "commits" / str(n)).unlink()
+        (cp / "commits" / f".{n}.crc").unlink(missing_ok=True)
+        polling.poll(read(), out, str(cp)).awaitTermination()
+        assert table() == before
+    assert ("p0", "text 4", "update", 4) in table() and len(table()) == 6
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("changes-000000000000")]  # replaced by the base of batch 1
+
+
+def test_a_shared_budget(spark):
+    d = spark.createDataFrame([(i, i % 3 == 0) for i in range(20)], "n int, new boolean").repartition(4)
+    got = lambda k: sorted(r["n"] for r in incremental.capped(d, F.col("new"), k, ["n"]).collect())
+    assert got(2) == [0, 1, 2, 3] and got(100) == list(range(20)) and got(0) == []
