@@ -1,29 +1,43 @@
 """Token counts by trie-shared dynamic programming over a unigram vocabulary.
 
-The distinct pre-tokens of a batch of documents form a trie, walked depth first in sorted order. Each trie
-node holds the best forward score of its prefix and the number of tokens on that best path, computed once
-however many pre-tokens share the prefix; a pre-token's count is stored at its terminal and every document
-adds up the terminals of its words. Nothing is shuffled and no table of words is built for the corpus.
-
-Pre-tokens are runs of other than blanks and U+0009 to U+000D, led by U+2581. The pieces come from a
-public vocabulary file; the log probability of a piece follows Zipf's law in its rank there. A character
-that no piece holds scores 10 less than the worst piece and counts as its UTF-8 bytes. Of equal scores
-the longer last piece wins. Null and blank texts have 0 words and 0 tokens; rows are judged alone.
+Pre-tokens go into a trie. Each node holds the best forward score of its prefix, the number of tokens on that best
+path and its last piece, computed once however many pre-tokens share the prefix; a pre-token's count is stored at its
+terminal, and a document adds up the terminals of its words. Pieces that end at a character are found by walking a trie
+of the reversed pieces backwards, so that only suffixes that lead to a piece are tried.
+
+The distinct pre-tokens of the corpus are counted once, exactly. Those that come often (COMMON at most, whatever the
+corpus) get their terminals once and are sent to all tasks; the others, which few tasks have, are worked out where
+they are met. Words of documents are not shuffled.
+
+The pieces come from a public vocabulary file and stay as they are. Their unigram log probabilities are a language model
+of the corpus: ROUNDS rounds of expectation-maximisation over all distinct pre-tokens and their exact counts, each of
+which counts the pieces on best paths (whole numbers, so that reruns agree), from a start by rank; every piece counts
+once more than seen. A character that no piece holds scores 10 less than the worst piece and counts as its UTF-8 bytes.
+Of equal scores the longer last piece wins.
+
+Pre-tokens are runs of other than blanks and U+0009 to U+000D, led by U+2581. Null and blank texts have 0 words and 0
+tokens; rows are judged alone once the scores are known; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hirelake.llm.common import materialise
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LEAD = "▁"
-CACHED = 400_000  # terminals that a task keeps between batches
+ROUNDS = 2
+COMMON = 300_000  # pre-tokens whose terminals go to all tasks
+CACHED = 300_000  # terminals and nodes that a task keeps
 SLICE_ROWS = 500
+MOST_COUNTED = 200_000  # pre-tokens that a task counts before it passes them on
 
 
 def load_pieces(path: str = VOCABULARY) -> list[str]:
@@ -35,65 +49,182 @@ def load_pieces(path: str = VOCABULARY) -> list[str]:
     return [model.id_to_piece(i) for i in ids]
 
 
-def scores(pieces: list[str]) -> dict[str, float]:
-    total = sum(1 / (r + 2.7) for r in range(len(pieces)))
-    return {p: -math.log((r + 2.7) * total) for r, p in enumerate(pieces)}
+def start_scores(pieces: list[str]) -> dict[str, float]:
+    """Log probabilities to start from: one over the rank."""
+    total = sum(1 / (r + 1) for r in range(len(pieces)))
+    return {p: -math.log((r + 1) * total) for r, p in enumerate(pieces)}
+
+
+def fitted_scores(pieces: list[str], counts: dict[str, int]) -> dict[str, float]:
+    total = sum(counts.values()) + len(pieces)
+    return {p: math.log((counts.get(p, 0) + 1) / total) for p in pieces}
 
 
 class ForwardTrie:
-    """Token counts of pre-tokens. `counts` maps the bytes of a word to its count."""
-
-    def __init__(self, vocabulary: dict[str, float]):
-        self.vocabulary = vocabulary
-        self.longest = max(map(len, vocabulary), default=1)
-        self.unknown = min(vocabulary.values(), default=0.0) - 10
-        self.counts: dict[bytes, int] = {}
-
-    def add(self, words: set[bytes]) -> None:
-        """Walks the trie of the new words. path[i] and tokens[i]: best score and its tokens for the first i characters."""
-        if len(self.counts) > CACHED:
-            self.counts = {}
-        get, longest = self.vocabulary.get, self.longest
-        path, tokens, before = [0.0], [0], ""
-        for word in sorted(LEAD + w.decode("utf-8", "replace") for w in words - self.counts.keys()):
-            shared, most = 0, min(len(word), len(before))
-            while shared < most and word[shared] == before[shared]:
-                shared += 1
-            del path[shared + 1 :], tokens[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                best, count = -math.inf, 0
-                for start in range(max(0, end - longest), end):
-                    score = get(word[start:end])
-                    if score is not None and path[start] + score > best:
-                        best, count = path[start] + score, tokens[start] + 1
-                last = word[end - 1]
-                if last not in self.vocabulary and path[end - 1] + self.unknown > best:
-                    best, count = path[end - 1] + self.unknown, tokens[end - 1] + len(last.encode("utf-8", "replace"))
-                path.append(best)
-                tokens.append(count)
-            before = word
-            self.counts[word[1:].encode("utf-8", "replace")] = tokens[-1]
-
-
-def _counter(pieces: list[str]):
+    """The trie of pre-tokens. A node is [best score, tokens, characters of the last piece (0: unknown), children]."""
+
+    def __init__(self, scores: dict[str, float]):
+        self.unknown = min(scores.values(), default=0.0) - 10
+        self.reversed: list = [None, {}]  # score of the piece that ends here going backwards, children
+        for piece, score in scores.items():
+            node = self.reversed
+            for c in reversed(piece):
+                node = node[1].setdefault(c, [None, {}])
+            node[0] = score
+        self.reset()
+
+    def reset(self) -> None:
+        self.root, self.nodes = [0.0, 0, 0, {}], 0
+
+    def _forward(self, text: str, end: int, best: list[float], tokens: list[int]) -> list:
+        """The node of text[:end] from the best scores and tokens of its shorter prefixes."""
+        top, count, size, node, at = -math.inf, 0, 0, self.reversed, end
+        while at:
+            at -= 1
+            node = node[1].get(text[at])
+            if node is None:
+                break
+            if node[0] is not None and best[at] + node[0] >= top:  # a longer piece comes later and wins a tie
+                top, count, size = best[at] + node[0], tokens[at] + 1, end - at
+        last = self.reversed[1].get(text[end - 1])
+        if (last is None or last[0] is None) and best[end - 1] + self.unknown > top:
+            top, count, size = best[end - 1] + self.unknown, tokens[end - 1] + len(text[end - 1].encode("utf-8", "replace")), 0
+        return [top, count, size, {}]
+
+    def walk(self, word: bytes) -> tuple[str, list[int], int]:
+        """(text, size of the last piece of each prefix, tokens) of a pre-token; new prefixes become nodes."""
+        if self.nodes > CACHED:
+            self.reset()
+        text, node = LEAD + word.decode("utf-8", "replace"), self.root
+        best, tokens, sizes = [0.0], [0], [0]
+        for i, c in enumerate(text):
+            child = node[3].get(c)
+            if child is None:
+                child = node[3][c] = self._forward(text, i + 1, best, tokens)
+                self.nodes += 1
+            best.append(child[0])
+            tokens.append(child[1])
+            sizes.append(child[2])
+            node = child
+        return text, sizes, tokens[-1]
+
+    def count(self, word: bytes) -> int:
+        return self.walk(word)[2]
+
+    def pieces(self, word: bytes) -> list[str]:
+        """The pieces on the best path; unknown characters are none."""
+        text, sizes, _ = self.walk(word)
+        out, end = [], len(text)
+        while end:
+            if sizes[end]:
+                out.append(text[end - sizes[end] : end])
+            end -= sizes[end] or 1
+        return out
+
+
+def _words(column: pa.Array) -> list[list[bytes]]:
+    return [(t.as_buffer().to_pybytes() if t.is_valid else b"").split() for t in column]
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pre-tokens and how often they come, several times where a task has many."""
+
+    def passed_on(counted: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counted), pa.binary()), pa.array(list(counted.values()), pa.int64())], names=["word", "n"])
+
+    counted: Counter = Counter()
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            for words in _words(batch.column("text").slice(at, SLICE_ROWS)):
+                counted.update(words)
+            if len(counted) > MOST_COUNTED:
+                yield passed_on(counted)
+                counted = Counter()
+    yield passed_on(counted)
+
+
+def _expected(scores: dict[str, float]):
+    """The pieces on the best paths of pre-tokens, with the counts of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, found = ForwardTrie(scores), Counter()
+        for batch in batches:
+            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                for piece in trie.pieces(word):
+                    found[piece] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["piece", "n"])
+
+    return run
+
+
+def _terminals(scores: dict[str, float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = ForwardTrie(scores)
+        for batch in batches:
+            words = batch.column("word")
+            yield pa.RecordBatch.from_arrays([words, pa.array([trie.count(w) for w in words.to_pylist()], pa.int64())], names=["word", "tokens"])
+
+    return run
+
+
+def _counter(scores: dict[str, float], common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = ForwardTrie(scores(pieces))
+        trie, known = ForwardTrie(scores), common.value
+        rare: dict[bytes, int] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(at, SLICE_ROWS)
-                texts = [(t.as_buffer().to_pybytes() if t.is_valid else b"").split() for t in batch.column("text")]
-                trie.add({w for words in texts for w in words})
-                get = trie.counts.__getitem__
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array([sum(map(get, words)) for words in texts], pa.int64())],
-                    names=["doc_id", "n_words", "n_tokens"],
-                )
+                texts, sums = _words(batch.column("text")), []
+                if len(rare) > CACHED:
+                    rare = {}
+                for words in texts:
+                    total = 0
+                    for w in words:
+                        n = known.get(w) or rare.get(w)
+                        if n is None:
+                            n = rare[w] = trie.count(w)
+                        total += n
+                    sums.append(total)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     return run
 
 
-def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def distinct_words(docs: DataFrame) -> DataFrame:
+    """word (bytes) and n, each word once; sorted in each part, so that neighbours share prefixes."""
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_distinct, "word binary, n long")
+    return materialise(found.groupBy("word").agg(F.sum("n").alias("n")).sortWithinPartitions("word"), "token-words")
+
+
+def fit(words: DataFrame, pieces: list[str], rounds: int = ROUNDS) -> dict[str, float]:
+    """Log probabilities of the pieces. words: word and n. One row a piece goes to the driver."""
+    scores = start_scores(pieces)
+    for _ in range(rounds):
+        found = words.mapInArrow(_expected(scores), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+        scores = fitted_scores(pieces, {r["piece"]: r["n"] for r in found.collect()})
+    return scores
+
+
+def _common(words: DataFrame, scores: dict[str, float], most: int) -> dict[bytes, int]:
+    """The terminals of the pre-tokens that come twice or more, and so often that there are at most `most` of them."""
+    left, least = most, None
+    # there are few different counts: one of k takes k words, so N words have fewer than sqrt(2 N)
+    for r in words.filter("n > 1").groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("n").desc()).toLocalIterator():
+        left -= r["words"]
+        if left < 0:
+            break
+        least = r["n"]
+    if least is None:
+        return {}
+    found = words.filter(F.col("n") >= least).mapInArrow(_terminals(scores), "word binary, tokens long").toArrow()
+    return dict(zip(found["word"].to_pylist(), found["tokens"].to_pylist(), strict=True))
+
+
+def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words and n_tokens, one row per row of `docs`. The file is read once, on the driver."""
+    words = distinct_words(docs)
+    scores = fit(words, load_pieces(vocabulary), rounds)
+    common = docs.sparkSession.sparkContext.broadcast(_common(words, scores, COMMON))
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = dict(d.dtypes)["doc_id"]
-    return d.mapInArrow(_counter(load_pieces(vocabulary)), f"doc_id {kind}, n_words long, n_tokens long")
+    return d.mapInArrow(_counter(scores, common), f"doc_id {kind}, n_words long, n_tokens long")
