@@ -30,7 +30,9 @@ HEADINGS = {
 REPEATED = r"(?i)^(?:page \d+ of \d+|confidential|resume|curriculum vitae)$"
 METRIC = r"\d+%|\d+x|\$\d|#\d|\d+\+"
 CLAIMS = [word(r"\d+\+?\s*years?\s+(?:of\s+)?experience"), r"(?i)(?<![A-Za-z0-9_])(?:led|managed|architected|built|shipped)(?![A-Za-z0-9_])[^.!?]{0,80}"]
-CLAIM_TECHS = ["react", "typescript", "graphql", "kubernetes", "java", "python", "aws", "node.js", "nodejs"]
+CLAIM_TECHS = r"(?<![A-Za-z0-9_])(?:react|typescript|graphql|kubernetes|java|python|aws|node\.?js)(?![A-Za-z0-9_])"
+CLAIM_TEXT, TECH_TEXT = ('Verify claim: "', '"'), ('"', '" mentioned in answer but not in cited evidence')
+YEAR_RANGE = r"(?i)(?:(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s*)?\d{4}\s*[-–—]\s*(?:present|current|(?:(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s*)?\d{4}|\d{1,2}/\d{4})"
 
 
 def heading(line: Column) -> Column:
@@ -115,7 +117,7 @@ def unsupported_claims(answer: Column, evidence: Column, job: Column) -> Column:
     shown = F.lower(evidence)
     said = F.concat(*(F.transform(F.regexp_extract_all(answer, F.lit(p), F.lit(0)), trim_blank) for p in CLAIMS))
     open_ = F.filter(said, lambda c: (F.length(c) > 8) & ~F.contains(shown, F.substring(F.lower(c), 1, 20)))
-    phrases = F.transform(open_, lambda c: F.concat(F.lit('Verify claim: "'), F.substring(c, 1, 60), F.when(F.length(c) > 60, "…").otherwise(""), F.lit('"')))
-    asked = F.array_distinct(F.regexp_extract_all(F.lower(job), F.lit(r"(?<![A-Za-z0-9_])(?:react|typescript|graphql|kubernetes|java|python|aws|node\.?js)(?![A-Za-z0-9_])"), F.lit(0)))
+    phrases = F.transform(open_, lambda c: F.concat(F.lit(CLAIM_TEXT[0]), F.substring(c, 1, 60), F.when(F.length(c) > 60, "…").otherwise(""), F.lit(CLAIM_TEXT[1])))
+    asked = F.array_distinct(F.regexp_extract_all(F.lower(job), F.lit(CLAIM_TECHS), F.lit(0)))
     techs = F.filter(asked, lambda t: F.contains(F.lower(answer), t) & ~F.contains(shown, t))
-    return F.slice(F.concat(phrases, F.transform(techs, lambda t: F.concat(F.lit('"'), t, F.lit('" mentioned in answer but not in cited evidence')))), 1, 5)
+    return F.slice(F.concat(phrases, F.transform(techs, lambda t: F.concat(F.lit(TECH_TEXT[0]), t, F.lit(TECH_TEXT[1])))), 1, 5)

@@ -60,6 +60,128 @@ def sections(lines: DataFrame) -> DataFrame:
     return d.filter("_head is null").drop("_head")
 
 
+def paired(df: DataFrame, fits: Column, doc: str, order: str) -> DataFrame:
+    """Neighbours put together two by two from the top: a row that fits its next row takes it, and the pair takes no third.
+    Adds _takes and _taken. In a run of rows that fit, every other one takes, so positions in the run decide."""
+    w = W.partitionBy(doc).orderBy(order)
+    last = F.lead(F.lit(True)).over(w).isNull()
+    d = df.withColumn("_fits", F.coalesce(fits, F.lit(False)) & ~last)
+    opens = F.when(F.col("_fits") & ~F.coalesce(F.lag("_fits").over(w), F.lit(False)), 1).otherwise(0)
+    d = d.withColumn("_run", F.sum(opens).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    nth = F.row_number().over(W.partitionBy(doc, "_run", "_fits").orderBy(order))
+    d = d.withColumn("_takes", F.col("_fits") & (nth % 2 == 1))
+    return d.withColumn("_taken", F.coalesce(F.lag("_takes").over(w), F.lit(False))).drop("_fits", "_run")
+
+
+def merge_wrapped(lines: DataFrame) -> DataFrame:
+    """lines (doc, line_no, page, text, is_bullet): one that ends in a hyphen, or runs on in lower case without a stop, takes
+    its next line; numbers of lines stay those of the first."""
+    w = W.partitionBy("doc").orderBy("line_no")
+    t, after = trim_blank(F.col("text")), trim_blank(F.lead("text").over(w))
+    hyphen = t.rlike(r"\w-$")
+    same = (F.lead("page").over(w) == F.col("page")) & ~F.col("is_bullet") & ~F.lead("is_bullet").over(w)
+    runs_on = same & ~after.rlike(r"^[A-Z0-9][A-Z0-9\s|@]+$") & after.rlike("^[a-z(0-9]") & (F.length(t) > 0) & ~t.rlike("[.!?:;]$")
+    d = lines.withColumn("_next", after).withColumn("_hyphen", hyphen).withColumn("_on", F.coalesce(runs_on, F.lit(False)))
+    d = paired(d, F.col("_hyphen") | F.col("_on"), "doc", "line_no").filter(~F.col("_taken"))
+    joined = F.concat(t, F.when(F.col("_hyphen"), "").otherwise(" "), F.col("_next"))
+    return d.withColumn("text", F.when(F.col("_takes"), joined).otherwise(F.col("text"))).select(*lines.columns)
+
+
+BLOCK = "struct<company:string,title:string,date_text:string,location:string,header:string,lines:array<string>>"
+
+
+def merge_split_blocks(blocks: DataFrame) -> DataFrame:
+    """blocks (doc, block_no, company, title, date_text, location, header, lines, n_bullets): the two parts of an entry that a
+    parser split, such as title and dates apart from company and bullets, become one block. The first rule that fits two
+    neighbours says which part of the pair is what."""
+    w = W.partitionBy("doc").orderBy("block_no")
+    names = ["company", "title", "date_text", "location", "header", "lines", "n_bullets"]
+    d = blocks.withColumn("a", F.struct(*names)).withColumn("b", F.lead(F.struct(*names)).over(w))
+    a, b = F.col("a"), F.col("b")
+    has = lambda c: F.coalesce(c, F.lit("")) != ""
+    dated = lambda c: F.coalesce(c.rlike(rl.YEAR_RANGE), F.lit(False))
+    name = lambda x: F.coalesce(x["title"], x["header"])
+    company_only = lambda x: has(name(x)) & ~has(x["company"]) & ~dated(name(x)) & ~F.contains(name(x), F.lit("|")) & ((x["n_bullets"] > 0) | ~has(x["date_text"]))
+    swapped = has(a["title"]) & dated(a["title"]) & has(a["company"]) & ~dated(a["company"]) & (a["n_bullets"] == 0)
+    headed = has(b["date_text"]) | dated(b["header"]) | F.contains(b["header"], F.lit("|"))
+    alone = has(a["title"]) & has(a["date_text"]) & ~has(a["company"]) & (a["n_bullets"] == 0)
+    both = F.concat(a["lines"], b["lines"])
+
+    def pair(company: Column, title: Column, date: Column, place: Column, header: Column) -> Column:
+        return F.struct(company.alias("company"), title.alias("title"), date.alias("date_text"), place.alias("location"), header.alias("header"), both.alias("lines")).cast(BLOCK)
+
+    here, there = F.coalesce(a["location"], b["location"]), F.coalesce(b["location"], a["location"])
+    merged = (
+        F.when(b.isNull(), F.lit(None))
+        .when(alone & has(b["company"]) & ~has(b["title"]) & ~has(b["date_text"]) & (b["n_bullets"] > 0), pair(b["company"], a["title"], a["date_text"], here, a["header"]))
+        .when(alone & company_only(b) & (b["n_bullets"] > 0), pair(name(b), a["title"], a["date_text"], here, a["header"]))
+        .when(swapped & company_only(b), pair(name(b), a["company"], F.coalesce(a["title"], a["date_text"]), here, a["header"]))
+        .when(company_only(a) & headed, pair(name(a), F.coalesce(b["title"], b["company"]), F.coalesce(b["date_text"], F.when(dated(b["title"]), b["title"])), there, b["header"]))
+        .when(company_only(a) & (a["n_bullets"] == 0) & (b["n_bullets"] > 0) & ~has(b["company"]) & dated(b["title"]), pair(name(a), b["company"], b["title"], b["location"], b["header"]))
+    )
+    d = d.withColumn("_merged", merged).withColumn("_more", F.col("b.n_bullets"))
+    d = paired(d.drop("b"), F.col("_merged").isNotNull(), "doc", "block_no").filter(~F.col("_taken"))
+    pick = lambda c: F.when(F.col("_takes"), F.col(f"_merged.{c}")).otherwise(F.col(c)).alias(c)
+    return d.select("doc", "block_no", *(pick(c) for c in names[:-1]), (F.col("n_bullets") + F.when(F.col("_takes"), F.col("_more")).otherwise(0)).alias("n_bullets"))
+
+
+def enriched(blocks: DataFrame) -> DataFrame:
+    """blocks (company, title, date_text, lines) filled from their lines: each line that is no bullet is the dates, the title or
+    the company, whichever is still missing and fits first; then what stands in the wrong field moves."""
+    start = F.struct(F.col("company").alias("company"), F.col("title").alias("title"), F.col("date_text").alias("date_text"))
+    none = lambda c: F.coalesce(c, F.lit("")) == ""
+
+    def take(acc: Column, line: Column) -> Column:
+        t = trim_blank(line)
+        usable = (t != "") & ~t.rlike(rl.BULLET)
+        dates = usable & none(acc["date_text"]) & rl.is_date_range(t)
+        title = usable & ~dates & none(acc["title"]) & rl.is_job_title(t)
+        company = usable & ~dates & ~title & none(acc["company"]) & rl.is_company(t)
+        put = lambda name, when: F.when(when, t).otherwise(acc[name]).alias(name)
+        return F.struct(put("company", company), put("title", title), put("date_text", dates))
+
+    d = blocks.withColumn("_f", F.aggregate("lines", start, take))
+    c, t, x = (F.col(f"_f.{k}") for k in ("company", "title", "date_text"))
+    misplaced = rl.is_date_range(t) & none(x)
+    d = d.withColumns({"date_text": F.when(misplaced, t).otherwise(x), "title": F.when(misplaced, F.lit(None)).otherwise(t), "company": c}).drop("_f")
+    c, t = F.col("company"), F.col("title")
+    turned = rl.is_date_range(t) & rl.is_job_title(c)
+    d = d.withColumns({"date_text": F.when(turned, t).otherwise(F.col("date_text")), "title": F.when(turned, c).otherwise(t), "company": F.when(turned, F.lit(None)).otherwise(c)})
+    promoted = rl.is_job_title(c) & none(t)
+    d = d.withColumns({"title": F.when(promoted, c).otherwise(t), "company": F.when(promoted, F.lit(None)).otherwise(c)})
+    named = rl.is_company(t) & none(c) & ~rl.is_job_title(t)
+    return d.withColumns({"company": F.when(named, t).otherwise(c), "title": F.when(named, F.lit(None)).otherwise(t)})
+
+
+def merge_fragments(entries: DataFrame) -> DataFrame:
+    """entries (doc, entry_no, company, title, start_text, achievements): an entry of metadata alone and the next one of company
+    and achievements are one; entries with nothing in them go."""
+    w = W.partitionBy("doc").orderBy("entry_no")
+    names = ["company", "title", "start_text", "achievements"]
+    d = entries.withColumn("b", F.lead(F.struct(*names)).over(w))
+    b, title, company = F.col("b"), F.col("title"), F.col("company")
+    bare = F.size("achievements") == 0
+    dated = rl.is_date_range(title)
+    turned = dated & rl.is_job_title(company) & bare
+    told = ((F.coalesce("start_text", F.lit("")) != "") | dated) & ((F.coalesce(title, F.lit("")) != "") | (F.coalesce(company, F.lit("")) != "")) & bare
+    full = F.size(b["achievements"]) > 0
+    firm = rl.is_company(b["title"]) & (F.coalesce(b["company"], F.lit("")) == "")
+    same = (turned & firm & full & ~rl.is_date_range(b["title"])) | (told & (rl.is_company(b["company"]) | firm) & full)
+    d = paired(d, same, "doc", "entry_no").filter(~F.col("_taken"))
+    firm_of = F.coalesce(b["company"], F.when(rl.is_company(b["title"]), b["title"]), company)
+    title_of = F.when(rl.is_job_title(company), company).when((F.coalesce(title, F.lit("")) != "") & ~dated, title).when(rl.is_job_title(b["title"]), b["title"]).otherwise(title)
+    start_of = F.when(dated, title).otherwise(F.col("start_text"))
+    pick = lambda name, c: F.when(F.col("_takes"), c).otherwise(F.col(name)).alias(name)
+    d = d.select("doc", "entry_no", pick("company", firm_of), pick("title", title_of), pick("start_text", start_of), pick("achievements", F.concat("achievements", b["achievements"])))
+    some = lambda c: F.coalesce(c, F.lit("")) != ""
+    return d.filter(some("company") | some("title") | some("start_text") | (F.size("achievements") > 0))
+
+
+def merged_warnings(*groups: Column) -> Column:
+    """Warnings (code, field, message) of several arrays, each once, in order."""
+    return F.array_distinct(F.concat(*groups))
+
+
 def lines_of(df: DataFrame, section: str) -> DataFrame:
     """doc and its lines in a section as an array; of a section that is there twice the later one."""
     d = df.filter(F.col("section") == section).groupBy("doc", "section_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]).alias("lines"))
