@@ -105,7 +105,7 @@ def single(raw: DataFrame) -> DataFrame:
     and lever, a bare posting, or, of ashby, a list of one; any other payload gives a posting of the board's text."""
     wrapped = F.get_json_object("payload", "$.job").isNotNull()
     listed = F.when(F.size(F.from_json(F.get_json_object("payload", "$.jobs"), "array<string>")) == 1, F.get_json_object("payload", "$.jobs[0]"))
-    job = F.when(wrapped, F.get_json_object("payload", "$.job")).when(F.col("provider") == "ashby", listed).when(F.get_json_object("payload", F.when(F.col("provider") == "lever", "$.text").otherwise("$.title")).isNotNull(), F.col("payload"))
+    job = F.when(wrapped, F.get_json_object("payload", "$.job")).when(F.col("provider") == "ashby", listed).when(F.when(F.col("provider") == "lever", F.get_json_object("payload", "$.text")).otherwise(F.get_json_object("payload", "$.title")).isNotNull(), F.col("payload"))
     d = raw.withColumn("_job", job)
     field = lambda p: F.get_json_object("_job", p)
     outer = lambda p: F.get_json_object("payload", p)

@@ -61,10 +61,17 @@ def merge_entries(existing: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def duplicate_keys(df: DataFrame, key: Column, member: str) -> DataFrame:
-    """Keys that more than one row has, with their members."""
+    """Keys that more than one row has, with their members: for a report on tables of boards, whose keys have few."""
     return df.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(member)).alias("members")).filter("n > 1")
 
 
+def duplicate_rows(df: DataFrame, key: Column) -> DataFrame:
+    """The rows whose key others have too, with key and n, their number. No group is gathered in one place: numbers are
+    partial sums, and rows of a hot key join them where they are split."""
+    d = df.withColumn("key", key)
+    return d.join(d.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key")
+
+
 def tally(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 

@@ -74,11 +74,10 @@ def content_hash_dedupe(spark, sf_dir):
     return d.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
-@query(f"SELECT {_HASH} AS key, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS members FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query(f"SELECT key, n, doc_id AS member FROM (SELECT {_HASH} AS key, doc_id, count(*) OVER (PARTITION BY {_HASH}) AS n FROM documents) WHERE n > 1")
 def duplicate_audit(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", urls.description_hash(F.col("text")).alias("hash"))
-    found = registry.duplicate_keys(d, F.col("hash"), "doc_id")
-    return found.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+    return registry.duplicate_rows(d, F.col("hash")).select("key", "n", F.col("doc_id").alias("member"))
 
 
 @query(
@@ -100,11 +99,11 @@ def change_detect(spark, sf_dir):
     SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (many.line IS NULL) AS n_kept FROM k LEFT JOIN many USING (source, line) GROUP BY k.doc_id"""
 )
 def skip_repeated_lines(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.withColumn("line", text.trim_blank(F.col("line"))).filter("line <> ''")
-    # a line once per document, so that a hot line is one row per document before it is counted
-    many = lines.groupBy("source", "line", "doc_id").agg(F.lit(1).alias("one")).groupBy("source", "line").agg(F.count("one").alias("docs")).filter("docs >= 2")
-    d = lines.join(many, ["source", "line"], "left")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.filter(F.transform(F.split("text", "\n"), text.trim_blank), lambda x: x != "").alias("lines"))
+    # lines travel as 128 bits; of a document each once, to be counted
+    docs = docs.select("doc_id", "source", F.transform("lines", lambda x: F.unhex(F.md5(x))).alias("keys"))
+    many = docs.select("source", F.explode(F.array_distinct("keys")).alias("key")).groupBy("source", "key").agg(F.count(F.lit(1)).alias("docs")).filter("docs >= 2")
+    d = docs.select("doc_id", "source", F.explode("keys").alias("key")).join(many, ["source", "key"], "left")
     return d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("docs").isNull()).alias("n_kept"))
 
 

@@ -40,3 +40,28 @@ def file_warnings(name: Column, size: Column, kind: Column) -> Column:
         F.array(F.when(size <= 0, "empty"), F.when(size > 5 * 1024 * 1024, "too_large"), F.when(kind == "unknown", "unsupported"), F.when((kind != "unknown") & (ext != "") & ~fits, "extension_mismatch")),
         lambda x: x.isNotNull(),
     )
+
+
+CANDIDATE = "struct<companyName:string,atsProvider:string,boardSlug:string,boardUrl:string,companyWebsite:string,careersUrl:string,headquartersCountry:string,country:string,industries:array<string>,tags:array<string>,discoverySource:string,discoveryNote:string>"
+
+
+def candidates(payload: Column, file: Column, seed: bool = False) -> Column:
+    """The board candidates of a JSON text as an array of structs. An import is an array or an object with `candidates`,
+    of which those with an address or a slug count, and names its file where it names no source; a seed is an object with
+    `companies`, whose older fields `country` and `tags` stand in for the newer ones."""
+    listed = F.from_json(payload, f"array<{CANDIDATE}>")
+    inside = F.from_json(payload, f"struct<candidates:array<{CANDIDATE}>,companies:array<{CANDIDATE}>>")
+    found = inside["companies"] if seed else F.when(trim_blank(payload).startswith("["), listed).otherwise(inside["candidates"])
+    if not seed:
+        found = F.filter(found, lambda c: (F.coalesce(c["boardUrl"], F.lit("")) != "") | (F.coalesce(c["boardSlug"], F.lit("")) != ""))
+    source = lambda c: F.lit("existing-seed") if seed else F.coalesce(c["discoverySource"], F.concat(F.lit("import:"), file))
+    older = lambda c, new, old: F.coalesce(c[new], c[old]) if seed else c[new]
+    return F.transform(
+        F.coalesce(found, F.array().cast(f"array<{CANDIDATE}>")),
+        lambda c: F.struct(c["companyName"].alias("name"), c["atsProvider"].alias("provider"), c["boardSlug"].alias("slug"), c["boardUrl"].alias("url"), older(c, "headquartersCountry", "country").alias("country"), older(c, "industries", "tags").alias("industries"), source(c).alias("source")),
+    )
+
+
+def with_fallback(stored: DataFrame, bundled: DataFrame) -> DataFrame:
+    """The stored catalog if it has rows, else the bundled one."""
+    return bundled if stored.isEmpty() else stored
