@@ -21,9 +21,11 @@ tokens; rows are judged alone once the scores are known; an empty table gives an
 
 from __future__ import annotations
 
+import gc
 import math
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,35 +63,21 @@ def fitted_scores(pieces: list[str], counts: dict[str, int]) -> dict[str, float]
 
 
 class ForwardTrie:
-    """The trie of pre-tokens. A node is [best score, tokens, characters of the last piece (0: unknown), children]."""
+    """The trie of pre-tokens. A node is [best score, tokens, characters of the last piece (0: unknown), children or None]."""
 
     def __init__(self, scores: dict[str, float]):
         self.unknown = min(scores.values(), default=0.0) - 10
-        self.reversed: list = [None, {}]  # score of the piece that ends here going backwards, children
+        self.single = {p for p in scores if len(p) == 1}
+        self.reversed: dict = {}  # children by character going backwards, and the score of the piece that ends there by ""
         for piece, score in scores.items():
             node = self.reversed
             for c in reversed(piece):
-                node = node[1].setdefault(c, [None, {}])
-            node[0] = score
+                node = node.setdefault(c, {})
+            node[""] = score
         self.reset()
 
     def reset(self) -> None:
-        self.root, self.nodes = [0.0, 0, 0, {}], 0
-
-    def _forward(self, text: str, end: int, best: list[float], tokens: list[int]) -> list:
-        """The node of text[:end] from the best scores and tokens of its shorter prefixes."""
-        top, count, size, node, at = -math.inf, 0, 0, self.reversed, end
-        while at:
-            at -= 1
-            node = node[1].get(text[at])
-            if node is None:
-                break
-            if node[0] is not None and best[at] + node[0] >= top:  # a longer piece comes later and wins a tie
-                top, count, size = best[at] + node[0], tokens[at] + 1, end - at
-        last = self.reversed[1].get(text[end - 1])
-        if (last is None or last[0] is None) and best[end - 1] + self.unknown > top:
-            top, count, size = best[end - 1] + self.unknown, tokens[end - 1] + len(text[end - 1].encode("utf-8", "replace")), 0
-        return [top, count, size, {}]
+        self.root, self.nodes = [0.0, 0, 0, None], 0
 
     def walk(self, word: bytes) -> tuple[str, list[int], int]:
         """(text, size of the last piece of each prefix, tokens) of a pre-token; new prefixes become nodes."""
@@ -97,10 +85,27 @@ class ForwardTrie:
             self.reset()
         text, node = LEAD + word.decode("utf-8", "replace"), self.root
         best, tokens, sizes = [0.0], [0], [0]
-        for i, c in enumerate(text):
-            child = node[3].get(c)
+        for end, c in enumerate(text, 1):
+            children = node[3]
+            child = children.get(c) if children is not None else None
             if child is None:
-                child = node[3][c] = self._forward(text, i + 1, best, tokens)
+                # the best score of this prefix from those of shorter ones
+                top, count, size, at, back = -math.inf, 0, 0, end, self.reversed
+                while at:
+                    at -= 1
+                    back = back.get(text[at])
+                    if back is None:
+                        break
+                    score = back.get("")
+                    if score is not None and best[at] + score >= top:  # a longer piece comes later and wins a tie
+                        top, count, size = best[at] + score, tokens[at] + 1, end - at
+                if c not in self.single and best[end - 1] + self.unknown > top:
+                    top, count, size = best[end - 1] + self.unknown, tokens[end - 1] + len(c.encode("utf-8", "replace")), 0
+                child = [top, count, size, None]
+                if children is None:
+                    node[3] = {c: child}
+                else:
+                    children[c] = child
                 self.nodes += 1
             best.append(child[0])
             tokens.append(child[1])
@@ -143,15 +148,28 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield passed_on(counted)
 
 
+@contextmanager
+def _no_cycles():
+    """Without the collector of cycles, of which a trie has none, but many nodes that it would look at again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def _expected(scores: dict[str, float]):
     """The pieces on the best paths of pre-tokens, with the counts of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, found = ForwardTrie(scores), Counter()
         for batch in batches:
-            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                for piece in trie.pieces(word):
-                    found[piece] += n
+            with _no_cycles():
+                for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                    for piece in trie.pieces(word):
+                        found[piece] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["piece", "n"])
 
     return run
@@ -162,30 +180,27 @@ def _terminals(scores: dict[str, float]):
         trie = ForwardTrie(scores)
         for batch in batches:
             words = batch.column("word")
-            yield pa.RecordBatch.from_arrays([words, pa.array([trie.count(w) for w in words.to_pylist()], pa.int64())], names=["word", "tokens"])
+            with _no_cycles():
+                tokens = [trie.count(w) for w in words.to_pylist()]
+            yield pa.RecordBatch.from_arrays([words, pa.array(tokens, pa.int64())], names=["word", "tokens"])
 
     return run
 
 
 def _counter(scores: dict[str, float], common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known = ForwardTrie(scores), common.value
-        rare: dict[bytes, int] = {}
+        trie, known = ForwardTrie(scores), dict(common.value)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(at, SLICE_ROWS)
-                texts, sums = _words(batch.column("text")), []
-                if len(rare) > CACHED:
-                    rare = {}
-                for words in texts:
-                    total = 0
-                    for w in words:
-                        n = known.get(w) or rare.get(w)
-                        if n is None:
-                            n = rare[w] = trie.count(w)
-                        total += n
-                    sums.append(total)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+                texts = _words(batch.column("text"))
+                if len(known) > len(common.value) + CACHED:
+                    known = dict(common.value)
+                with _no_cycles():
+                    for w in sorted({w for words in texts for w in words} - known.keys()):  # sorted, so that neighbours share prefixes
+                        known[w] = trie.count(w)
+                get = known.__getitem__
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array([sum(map(get, words)) for words in texts], pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     return run
 
