@@ -27,7 +27,7 @@ from hirelake.llm.common import free_name, free_names, materialise
 
 SHARDS = 16
 TOLERANCE = 0.002  # of a shard's bytes, or one document where that is more
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 8 << 20
 MOST_RANGES = 16_384  # boundaries are sent to every task
 PROBES = 8  # candidates between two counted boundaries
 ROUNDS = 80  # a round cuts a span to a ninth, and three parts of 64 bits are used up after 63
