@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import drop_scratch, free_name, made, materialise, settle, text_key
+from hirelake.llm.common import broadcast_small, drop_scratch, free_name, made, materialise, settle, text_key
 from hirelake.llm.components import components
 from hirelake.llm.tokens import U, Words, mix, slices
 
@@ -374,4 +374,4 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     empty = found.filter("n_shingles = 0").select(F.col("_key").alias(key)).distinct()
     single = d.join(first.select(F.col("_d").alias("_d1"), F.col("_k").alias(key)), key).filter(F.col("_d1").eqNullSafe(F.col("_d2"))).drop("_d1")
     single = single.groupBy(key, "_d2").agg(F.first(row).alias(row))  # of repeated rows one
-    return single.select(f"{row}.*").unionByName(d.join(F.broadcast(empty), key, "left_semi").select(f"{row}.*"))
+    return single.select(f"{row}.*").unionByName(d.join(broadcast_small(empty, BROADCAST_ROWS), key, "left_semi").select(f"{row}.*"))

@@ -8,7 +8,7 @@ capitalised words of 2 to 21 letters, and secrets (runs of 16 to 512 letters and
 
 The classifier sees what the labelers don't: length, kinds and number of characters, and what stands before a span.
 Vote patterns, and cells of features, are tables of bounded size, so all fits use exact counts of all candidates:
-3 ** 6 patterns a kind for EM, and 4 ** 4 * 3 cells a kind for the classifier. A kind with few candidates leans on the
+3 ** 6 patterns a kind for EM, and 4 ** 4 * 3 ** 3 cells a kind for the classifier. A kind with few candidates leans on the
 reliabilities of all kinds together.
 
 Positions are code points, end exclusive. Null texts count as empty; rows are judged alone.

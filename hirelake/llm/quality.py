@@ -1,8 +1,8 @@
 """Quality rules by weak supervision: each rule votes for, votes against or abstains; EM estimates how
 reliable every rule is, and a document stays if its posterior quality probability is high enough.
 
-Nulls and blank texts have no words and fail the base rule. Rows are judged alone, so repeated rows and
-null ids get the same verdict as any other row. Columns of the input that share a name with a measure
+Nulls and blank texts have no words and fail the base rule. Windows of 8 words are told apart by 64-bit hashes.
+Rows are judged alone, so repeated rows and null ids get the same verdict as any other row. Columns of the input that share a name with a measure
 are an error of the caller only for `measure`; `filter_documents` keeps the input's columns as they are.
 """
 

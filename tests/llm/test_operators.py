@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -273,6 +274,23 @@ def test_quality_tells_junk_from_prose(spark):
     assert quality.filter_documents(d).columns == ["doc_id", "text"]
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_quality_verdicts_on_labels(spark):
+    """Held-out labels, which the operator never sees: junk goes, and of the good ones those stay that the base rule lets."""
+    at = "/root/testdata/sf0.01"
+    scored = quality.score_documents(spark.read.parquet(f"{at}/documents.parquet")).join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id")
+    n = {(r["quality"], r["kept"], r["base_failed"]): r["count"] for r in scored.groupBy("quality", "kept", "base_failed").count().collect()}
+    bad, good = sum(v for (q, *_), v in n.items() if q == 0), sum(v for (q, *_), v in n.items() if q == 1)
+    assert sum(v for (q, k, _), v in n.items() if q == 0 and not k) >= 0.95 * bad
+    assert n.get((1, False, False), 0) <= 0.01 * good
+
+
+def test_kept_texts(docs, rows):
+    got = {(r["doc_id"], r["kept"]) for r in substrings.kept_texts(docs).collect()}
+    full = {(r["doc_id"], r["kept_sha256"], r["n_removed"]) for r in substrings.dedup(docs).collect()}
+    assert {(d, hashlib.sha256(k.encode()).hexdigest()) for d, k in got} == {(d, h) for d, h, n in full if n}
+
+
 def test_em_finds_accuracies():
     rnd, counts, accuracy = random.Random(3), Counter(), [0.95, 0.8, 0.7, 0.9]
     for _ in range(20000):
