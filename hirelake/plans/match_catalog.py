@@ -80,7 +80,7 @@ pair AS (SELECT a.*, p.can, p.evidence, nullif({_canon("a.skill")}, '') AS key,
 looked AS (SELECT *, list_filter(evidence, lambda e: len(list_filter(long_words, lambda w: contains(lower(e.text), lower(w)))) > 0)[1] AS spoken, list_filter(evidence, lambda e: list_contains(list_transform(e.skills, lambda s: {_canon("s")}), key))[1] AS shown, {_RELATED}[key] AS related FROM pair),
 judged AS (SELECT *, CASE WHEN type = 'location' AND hard THEN 'blocked' WHEN key IS NULL AND type = 'responsibility' AND spoken IS NOT NULL THEN 'confirmed' WHEN key IS NULL THEN 'missing_evidence' WHEN list_contains(can, key) THEN 'confirmed'
     WHEN list_has_any(coalesce(related, []), can) THEN 'transferable' WHEN len(list_filter(can, lambda s: contains(key, s) OR contains(s, key))) > 0 THEN 'transferable' WHEN key IN {tuple(matching.GAPS)} THEN 'gap' ELSE 'missing_evidence' END AS status FROM looked),
-matched AS (SELECT *, CASE WHEN status = 'blocked' THEN 0.9 WHEN status = 'confirmed' THEN CASE WHEN key IS NULL THEN 0.7 ELSE 0.9 END WHEN status = 'transferable' THEN CASE WHEN list_has_any(coalesce(related, []), can) THEN 0.6 ELSE 0.5 END WHEN status = 'gap' THEN 0.8 WHEN key IS NULL THEN 0.5 ELSE 0.8 END AS confidence,
+matched AS (SELECT *, CASE WHEN status = 'blocked' THEN 0.9 WHEN status = 'confirmed' THEN CASE WHEN key IS NULL THEN 0.7 ELSE 0.9 END WHEN status = 'transferable' THEN CASE WHEN list_has_any(coalesce(related, []), can) THEN 0.6 ELSE 0.5 END WHEN status = 'gap' THEN 0.8 WHEN key IS NULL THEN 0.5 ELSE 0.8 END::DOUBLE AS confidence,
     CASE WHEN status = 'confirmed' THEN CASE WHEN key IS NULL THEN spoken.id ELSE shown.id END END AS evidence_id,
     CASE WHEN status = 'blocked' THEN 'Location requirement: ' || text WHEN status = 'gap' THEN 'No evidence of ' || key || ' in profile — qualification gap' END AS concern FROM judged)"""
 
