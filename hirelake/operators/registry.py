@@ -108,3 +108,8 @@ def suggest(scored: DataFrame, points: list[tuple[Column, int]], followed: DataF
     d = scored if followed is None else scored.join(followed, url, "left_anti")
     total = reduce(lambda a, b: a + b, (F.when(F.coalesce(c, F.lit(False)), p).otherwise(0) for c, p in points))
     return d.withColumn("points", total).filter("points > 0").orderBy(F.col("points").desc(), F.col(name)).limit(n)
+
+
+def by_name(entries: DataFrame) -> DataFrame:
+    """Entries in the order of their names as people sort them: case and accents count last."""
+    return entries.orderBy(F.collate("name", "UNICODE_CI_AI"), F.collate("name", "UNICODE"), "id")

@@ -254,6 +254,19 @@ def reconciled(blocks: DataFrame) -> DataFrame:
     return d.withColumn("title", F.col("_title")).drop("_title").withColumn("dates", date_range(F.col("date_text")))
 
 
+def parsed(lines: DataFrame) -> DataFrame:
+    """lines (doc, line_no, text) to one row per doc: contact, summary, skill_groups and experience, each from its section.
+    A doc without a section has a null there, or no entries."""
+    s = sections(lines)
+    order = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["row"])
+    fields = lambda *names: F.struct(*names)
+    c = lines_of(s, "contact").select("doc", contact(F.col("lines")).alias("contact"))
+    summary = lines_of(s, "summary").select("doc", F.array_join("lines", " ").alias("summary"))
+    g = skill_groups(s.filter("section = 'skills'")).select("doc", F.struct("group_no", fields("category", "skills").alias("row")).alias("x")).groupBy("doc").agg(order("x").alias("skill_groups"))
+    e = reconciled(experience_blocks(s.filter("section = 'experience'"))).select("doc", F.struct("block_no", fields("title", "company", "dates", "bullets").alias("row")).alias("x")).groupBy("doc").agg(order("x").alias("experience"))
+    return lines.select("doc").distinct().join(c, "doc", "left").join(summary, "doc", "left").join(g, "doc", "left").join(e, "doc", "left")
+
+
 def confidence(contact_fields: Column, has_summary: Column, n_skills: Column, bullets: Column, has_education: Column, has_certifications: Column, warnings: Column) -> Column:
     """struct of six section scores and the overall one. bullets: per experience, how many it has."""
     penalty = F.least(warnings * 0.05, F.lit(0.35))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from hirelake.functions import dates, options, resume_lines, text, urls
 from hirelake.operators import boards, resume
-from hirelake.plans.catalog import query, table
+from hirelake.plans.catalog import ORACLES, query, table
 from hirelake.plans.derived import Pick, columns, columns_sql, quoted
+from hirelake.sources import fixtures
 
 
 def made(spark, sf_dir, picks: dict[str, Pick], source: str = "customer", key: str = "c_custkey"):
@@ -108,6 +109,12 @@ def profile_options(spark, sf_dir):
     return made(spark, sf_dir, _VALUE, "orders", "o_orderkey").select("id", options.work_authorization(v).alias("work"), options.seniority(v).alias("seniority"), options.remote_preference(v).alias("remote"))
 
 
+@query("SELECT 'perf-' || k AS source_job_id, 'Software Engineer ' || k AS title, CASE WHEN k % 2 = 0 THEN 'remote' ELSE 'hybrid' END AS workplace, strftime(TIMESTAMP '2024-01-01 00:00:00' - to_minutes(k), '%Y-%m-%d %H:%M') AS discovered FROM (SELECT unnest(range((SELECT count(*) FROM orders))) AS k)")
+def load_rows(spark, sf_dir):
+    d = fixtures.load_postings(spark, table(spark, sf_dir, "orders").count(), "2024-01-01 00:00:00")
+    return d.select("source_job_id", "title", "workplace", F.date_format("discovered", "yyyy-MM-dd HH:mm").alias("discovered"))
+
+
 # ---- boards ----------------------------------------------------------------------------------------------------
 
 _BOARD_PICKS = {
@@ -270,6 +277,16 @@ def resume_blocks(spark, sf_dir):
     return blocks.select("doc", "block_no", "title", "company", F.col("dates.start").alias("start"), F.col("dates.end").alias("finish"), F.col("dates.current").alias("current"), F.array_join("bullets", "|").alias("bullets"))
 
 
+@query(
+    f"""SELECT c.doc, full_name, email, coalesce(n_groups, 0) AS n_groups, coalesce(n_entries, 0) AS n_entries, coalesce(n_current, 0) AS n_current FROM ({ORACLES["resume_contact"]}) c LEFT JOIN (SELECT doc, count(*) AS n_groups FROM ({ORACLES["resume_skills"]}) GROUP BY 1) g USING (doc)
+    LEFT JOIN (SELECT doc, count(*) AS n_entries, count(*) FILTER (current) AS n_current FROM ({ORACLES["resume_blocks"]}) GROUP BY 1) e USING (doc)"""
+)
+def resume_tree(spark, sf_dir):
+    d = resume.parsed(_resume(spark, sf_dir))
+    count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    return d.select("doc", "contact.full_name", "contact.email", count("skill_groups").alias("n_groups"), count("experience").alias("n_entries"), count(F.filter("experience", lambda e: e["dates"]["current"])).alias("n_current"))
+
+
 # ---- bullets and answers ---------------------------------------------------------------------------------------
 
 _BULLET = {"a": Pick(["Built React dashboards used by 40% of clients", "Maintained build servers and release tooling", "x", "Jane Doe | Engineer | Toronto, Canada", "Wrote long documents about many things and places", "see github.com/jane for more of my work and code", "Mentored 12 developers and led weekly reviews", "+1 416 555 0199 please call me any time at all", "A line of few but very extraordinary syllables"], 1), "b": Pick(["", " for Canada", " with GraphQL and TypeScript"], 1, 1)}

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
-from hirelake.operators import imports, resume
-from hirelake.sources import text
+from hirelake.operators import imports, matching, registry, requirements, resume
+from hirelake.sources import fixtures, text
 
 
 def test_single_postings(spark):
@@ -58,3 +58,17 @@ def test_discovery_sources(spark):
 def test_warnings_are_merged_once(spark):
     w = "array(named_struct('code', 'a', 'field', 'f', 'message', 'm'), named_struct('code', 'b', 'field', 'f', 'message', 'm'))"
     assert len(spark.range(1).select(resume.merged_warnings(F.expr(w), F.expr(w)).alias("w")).first()["w"]) == 2
+
+
+def test_json_posting_against_json_profile(spark):
+    post = '{"id":"1","title":"Senior Frontend Engineer","location":"Remote","workplaceType":"remote","description":"d","requiredQualifications":["React experience"],"technologies":["react","aws"]}'
+    person = '{"yearsExperience":7,"remotePreference":"remote","skills":[{"name":"React"}],"evidence":[{"evidenceText":"Built React apps","normalizedSkills":["react"]}]}'
+    d = fixtures.job_posts(spark.createDataFrame([(post,)], "payload string")).withColumn("profile", fixtures.seed_profile(F.lit(person)))
+    r = matching.analyse(requirements.structured(d)).first()
+    assert (r["matches"][0]["status"], r["matches"][0]["evidence_id"], r["top_skills"], r["filter"]["result"]) == ("confirmed", "evidence-0", ["react"], "pass")
+    assert r["overall"] <= 55  # one required gap
+
+
+def test_names_are_sorted_as_people_do(spark):
+    d = spark.createDataFrame([(1, "zeta"), (2, "Émile"), (3, "emil"), (4, "Alpha"), (5, "alpha")], "id int, name string")
+    assert [r["id"] for r in registry.by_name(d).collect()] == [5, 4, 3, 2, 1]
