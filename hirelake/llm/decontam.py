@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import broadcast_small, free_name, materialise, text_key
+from hirelake.llm.common import broadcast_small, free_name, made, materialise, settle, text_key
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -197,7 +197,8 @@ def _windows(at: DataFrame, similarity: float) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The rows of `docs` in whose text no window matches an item; columns as in `docs`."""
-    hit = materialise(match_windows(docs, benchmark, similarity, radius, key="text").select("text_id").distinct(), "decon-hits")
+    since = len(made())
+    hit = settle(match_windows(docs, benchmark, similarity, radius, key="text").select("text_id").distinct(), "decon-hits", since)
     name = free_name(docs.columns, "_text_id")
     hit = broadcast_small(hit.withColumnRenamed("text_id", name), BROADCAST_ROWS, hit.count())
     return docs.withColumn(name, text_key(F.col("text"))).join(hit, name, "left_anti").select(*docs.columns)

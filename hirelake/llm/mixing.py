@@ -115,7 +115,7 @@ def mix(docs: DataFrame, source: str = "source", size: Column | None = None, row
     part = F.when(F.col("size") > 0, F.col("_each") * F.col("_n")).otherwise(F.lit(0.0))
     d = with_source(units).withColumn("_sure", F.floor(part + 1e-9)).withColumn("_p", F.greatest(part - F.col("_sure"), F.lit(0.0)))
     d = d.select("_source", "size", "_seed", "_n", "_sure", "_p", F.pmod(F.xxhash64("_seed"), F.col("_groups")).alias("_group"))
-    rounded = materialise(_rounded(d, max((n for *_, n in plan), default=1), since), "mix-units")
+    rounded = settle(_rounded(d, max((n for *_, n in plan), default=1), since), "mix-units", since)
     one = rounded.select(F.col("_source").alias("_of"), "size", "_seed", "_n", (F.col("_sure") + F.col("_p")).cast("long").alias("_more"))
     slim = rows.drop(row).join(one, ["size", "_seed"]).filter(F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
     slim = slim.join(_ranks(slim.filter("_n > 1")), "_id", "left")
