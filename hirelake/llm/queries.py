@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import decontam, licenses, mixing, ngram_join, pii, quality, sharding, substrings, token_counts, warc
+from hirelake.llm import decontam, importance, licenses, mixing, ngram_join, pii, quality, sharding, substrings, token_counts, warc
 from hirelake.llm.common import n_words, read
 
 
@@ -57,6 +57,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"), licenses.known_licenses(spark)).drop("text")
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_warc": op9_warc,
     "op10_license_scan": op10_license_scan,
+    "op12_importance": op12_importance,
 }
 
 # ---- SQL ---------------------------------------------------------------------------------------------------------
