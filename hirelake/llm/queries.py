@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import decontam, importance, licenses, mixing, ngram_join, pii, quality, sharding, substrings, token_counts, warc
+from hirelake.llm import byte_bpe, decontam, importance, licenses, mixing, ngram_join, pii, quality, sharding, substrings, token_counts, warc
 from hirelake.llm.common import n_words, read
 
 
@@ -57,6 +57,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"), licenses.known_licenses(spark)).drop("text")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents"), keep=["doc_id"]))
+    n_tokens = F.floor(F.octet_length("ids") / 4).cast("long")
+    return coded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_warc": op9_warc,
     "op10_license_scan": op10_license_scan,
+    "op11_byte_bpe": op11_byte_bpe,
     "op12_importance": op12_importance,
 }
 
