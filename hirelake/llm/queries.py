@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import byte_bpe, decontam, importance, licenses, mixing, ngram_join, pii, quality, sharding, substrings, token_counts, warc
+from hirelake.llm import byte_bpe, conversation_trie, decontam, importance, licenses, mixing, ngram_join, pii, quality, sharding, substrings, token_counts, warc
 from hirelake.llm.common import n_words, read
 
 
@@ -67,6 +67,10 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.forked_trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
     "op11_byte_bpe": op11_byte_bpe,
     "op12_importance": op12_importance,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 # ---- SQL ---------------------------------------------------------------------------------------------------------
@@ -104,6 +109,22 @@ r(doc_id, node) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.y FROM
 SELECT w.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(node) AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY w.doc_id"""
 
 
+# crc32 of a decimal number, by the table of its 256 bytes
+_TRIE = """WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256) t(i))),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id AS c, count(*) AS own, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a >> 8, any_value(tab)[1 + (xor(a, b) & 255)])), 4294967295) % 4 AS h FROM t, tab GROUP BY conv_id),
+turns AS (SELECT c, pos AS d, role, text FROM n JOIN t ON t.conv_id = c - c % 20 AND pos <= h UNION ALL SELECT c, pos - h + least(h, coalesce((SELECT b.own FROM n b WHERE b.c = n.c - n.c % 20), 0)), role, text FROM n JOIN t ON t.conv_id = c AND pos > h),
+seqs AS (SELECT n.c, list(turns.role || chr(0) || turns.text ORDER BY d) FILTER (d IS NOT NULL) AS s, list(len(regexp_extract_all(turns.text, '[^\\x20\\x09-\\x0D]+')) ORDER BY d) FILTER (d IS NOT NULL) AS w FROM n LEFT JOIN turns ON turns.c = n.c GROUP BY n.c),
+p AS (SELECT c, d, coalesce(s, [])[1:d] AS k, coalesce(len(s), 0) = d AS ends, CASE WHEN d > 0 THEN w[d] ELSE 0 END AS words FROM (SELECT *, unnest(range(0, coalesce(len(s), 0) + 1)) AS d FROM seqs)),
+g AS (SELECT d, k, min(c) AS v, count(*) AS n_convs, any_value(words) AS words, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '') AS e FROM p GROUP BY d, k),
+m AS (SELECT p.c, p.d, g.v FROM p JOIN g ON g.d = p.d AND g.k = p.k),
+q AS (SELECT g.*, m.v AS parent FROM g LEFT JOIN m ON m.c = g.v AND m.d = g.d - 1),
+kids AS (SELECT parent AS v, d - 1 AS d, count(*) AS n FROM q WHERE d > 0 GROUP BY ALL),
+r AS (SELECT q.*, coalesce(kids.n, 0) AS n_children FROM q LEFT JOIN kids ON kids.v = q.v AND kids.d = q.d),
+sub AS (SELECT m.v, m.d, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * words) AS saved FROM r JOIN m ON m.c = r.v AND m.d <= r.d GROUP BY m.v, m.d)
+SELECT r.v AS conv_id, r.d AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(e) AS ends_sha256 FROM r JOIN sub ON sub.v = r.v AND sub.d = r.d"""
+
+
 def _canonical_sql(x: str) -> str:
     t = f"regexp_replace(regexp_replace(lower(coalesce({x}, '')), '{licenses.COPYRIGHT_LINE}', '', 'g'), '{licenses.RESERVED_LINE}', '', 'g')"
     ws = f"list_filter(string_split_regex({t}, '{licenses.NOT_LETTERS}'), lambda w: w <> '')"
@@ -130,4 +151,5 @@ ORACLES: dict[str, str] = {
     "op1_substring_dedup": _SUBSTRINGS,
     "op7_ngram_jaccard": _JACCARD,
     "op10_license_scan": _license_sql(),
+    "op13_prefix_trie": _TRIE,
 }
