@@ -3,15 +3,17 @@ for each kind how reliable each labeler is, and the posteriors train the final s
 
 The four base kinds (email, ip, card, phone) are exact patterns: their valid matches are always spans. Candidates
 that the base rules leave out become spans if the classifier says so and no base span overlaps them: national phone
-numbers, social security numbers, addresses with (at) and (dot) whose parts have up to 64 characters, names of two
-capitalised words of 2 to 21 letters, and secrets (runs of 16 to 512 letters and digits, such as keys and tokens).
+numbers, social security numbers, addresses with (at) and (dot), names of two capitalised words, and secrets (runs of
+16 letters and digits or more, such as keys and tokens). None of them has a greatest length.
 
 The classifier sees what the labelers don't: length, kinds and number of characters, and what stands before a span.
 Vote patterns, and cells of features, are tables of bounded size, so all fits use exact counts of all candidates:
 3 ** 6 patterns a kind for EM, and 4 ** 4 * 3 ** 3 cells a kind for the classifier. A kind with few candidates leans on the
 reliabilities of all kinds together.
 
-Positions are code points, end exclusive. Null texts count as empty; rows are judged alone.
+Positions are code points, end exclusive. Null texts count as empty; rows are judged alone. A text with n matches takes
+time as n log n: places are prefix sums of the lengths of matches and of what lies between, overlaps with base spans a
+running maximum over sorted ends, and what stands around a span is taken from the block of BLOCK characters it is in.
 
 Java's regex engine recurses once for each repeat of a group, so long texts could overflow its stack.
 The patterns here have no repeated groups: separators that continue a match are first marked, one
@@ -36,6 +38,7 @@ VOTERS = ("v_format", "v_gazetteer", "v_context", "v_edges", "v_shape", "v_place
 FEATURES = ("f_length", "f_classes", "f_distinct", "f_before")
 ADD_FROM = 0.5
 CONTEXT = 40  # code points looked at before a span
+BLOCK = 1_024
 MARK, OTHER = "\uf8ff", "\ufffd"  # MARK stands for a separator inside a match; where a text has it, OTHER takes its place
 
 # Word lists and number plans of the labelers.
@@ -60,26 +63,69 @@ CARD_GAP = r"(?<=[0-9])[\x20-](?=[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 LOCAL_PHONE = r"(?<![0-9A-Za-z+()-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])"
-SPELLED_EMAIL = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,64}+\x20?[\[(]dot[\])]\x20?[A-Za-z]{2,12}+"
+SPELLED_EMAIL = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++\x20?[\[(]dot[\])]\x20?[A-Za-z]{2,}+"
 # two capitalised words; where the second is a given name before another such word, the name starts there
-NAME = r"(?<![\p{L}\p{N}_])[A-Z][a-z]{1,20}+\x20(?!(?:" + "|".join(GIVEN_NAMES) + r")\x20[A-Z][a-z])[A-Z][a-z]{1,20}+(?![\p{L}\p{N}_])"
-SECRET = r"(?<![\p{L}\p{N}_+/=-])(?=[A-Za-z_+/=-]{0,80}[0-9])(?=[0-9_+/=-]{0,80}[A-Za-z])[A-Za-z0-9_+/=-]{16,512}+(?![\p{L}\p{N}_+/=@-])"
+NAME = r"(?<![\p{L}\p{N}_])[A-Z][a-z]++\x20(?!(?:" + "|".join(GIVEN_NAMES) + r")\x20[A-Z][a-z])[A-Z][a-z]++(?![\p{L}\p{N}_])"
+SECRET = r"(?<![\p{L}\p{N}_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{16,}+(?![\p{L}\p{N}_+/=@-])"
+
+
+def _let(value: Column, body) -> Column:
+    """body of value, which is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, both) -> Column:
+    """What `both` makes of each value and all before it, in as many rounds as the length has bits: round k takes in what is
+    2 ** k places before. 0 must change nothing."""
+
+    def round_(done: Column, step: Column) -> Column:
+        earlier = F.slice(F.concat(F.transform(F.sequence(F.lit(1), step), lambda _: F.lit(0)), done), F.lit(1), F.size(done))
+        return F.when(step < F.size(done), F.zip_with(done, earlier, both)).otherwise(done)
+
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(31))), values, round_)
 
 
 def _found(text: Column, pattern: str, kind: str, guard: Column) -> Column:
     """Leftmost non-overlapping matches as structs of kind, start, end and value."""
     value, gap = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     none = F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")
-    first = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        one = F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def placed(parts: Column) -> Column:
+        ends = _running(F.transform(parts, lambda x: F.length(x["gap"]) + F.length(x["value"])), lambda a, b: a + b)
+        of_kind = F.lit(KINDS.index(kind)).alias("kind")
+        return F.zip_with(parts, ends, lambda x, end: F.struct(of_kind, (end - F.length(x["value"])).alias("start"), end.alias("end"), x["value"].alias("value")))
 
     parts = F.zip_with(gap, value, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    return F.when(guard, F.aggregate(F.filter(parts, lambda x: x["value"].isNotNull()), first, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(guard, _let(F.filter(parts, lambda x: x["value"].isNotNull()), placed)).otherwise(none)
+
+
+def _apart(spans: Column, base: Column) -> Column:
+    """The spans that overlap none of `base`. By ends of spans and starts of base spans in one order: a span is apart if no
+    base span that starts before its end ends after its start."""
+    event = lambda x, at, ends, i: F.struct(x[at].alias("at"), ends.alias("ends"), i.alias("i"))
+    queries = F.transform(spans, lambda x, i: event(x, "end", F.lit(0), i))  # before a base span that starts there
+    events = F.sort_array(F.concat(queries, F.transform(base, lambda x: event(x, "start", x["end"], F.lit(-1)))))
+
+    def apart(events: Column) -> Column:
+        reached = _running(F.transform(events, lambda e: e["ends"]), lambda a, b: F.greatest(a, b))
+        asked = F.filter(F.zip_with(events, reached, lambda e, r: F.struct(e["i"].alias("i"), r.alias("reached"))), lambda e: e["i"] >= 0)
+        free = F.transform(F.sort_array(asked), lambda e: e["reached"])
+        both = F.zip_with(spans, free, lambda x, r: F.struct(x.alias("span"), r.alias("reached")))
+        return F.transform(F.filter(both, lambda y: y["reached"] <= y["span"]["start"]), lambda y: y["span"])
+
+    return F.when((F.size(base) > 0) & (F.size(spans) > 0), _let(events, apart)).otherwise(spans)
+
+
+def _around(x: Column, blocks: Column) -> Column:
+    """The CONTEXT characters before a span and the one after it, as a struct of before, left and right."""
+    at = lambda n: F.coalesce(F.get(blocks, n), F.lit(""))
+
+    def cut(start: Column, length: Column) -> Column:
+        number = F.floor(start / BLOCK).cast("int")
+        return F.substring(F.concat(at(number), at(number + 1)), start - number * BLOCK + 1, length)
+
+    from_ = F.greatest(x["start"] - CONTEXT, F.lit(0))
+    return F.struct(cut(from_, x["start"] - from_).alias("before"), cut(F.greatest(x["start"] - 1, F.lit(0)), F.least(x["start"], F.lit(1))).alias("left"), cut(x["end"], F.lit(1)).alias("right"))
 
 
 def _digits(value: Column) -> Column:
@@ -123,10 +169,9 @@ def _distinct(x: Column) -> Column:
     return F.size(F.array_distinct(F.split(x, "")))
 
 
-def _votes(x: Column, text: Column) -> dict[str, Column]:
+def _votes(x: Column, near: Column) -> dict[str, Column]:
     value, digits = x["value"], _digits(x["value"])
-    before = F.substring(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT)))
-    around = [F.substring(text, x["start"], 1), F.substring(text, x["end"] + 1, 1)]
+    before, around = near["before"], [near["left"], near["right"]]
     top = F.lower(F.regexp_extract(value, r"([A-Za-z]+)$", 1))
     both = lambda good, bad: F.when(bad, -1).when(good, 1).otherwise(0)
     mail, long_number = _is(x, "email") | _is(x, "spelled_email"), _is(x, "card") | _is(x, "phone") | _is(x, "local_phone") | _is(x, "ssn")
@@ -158,9 +203,9 @@ def _votes(x: Column, text: Column) -> dict[str, Column]:
     }
 
 
-def _features(x: Column, text: Column) -> dict[str, Column]:
+def _features(x: Column, near: Column) -> dict[str, Column]:
     """What a span looks like, in four classes each."""
-    value, before = x["value"], F.substring(text, x["start"], 1)
+    value, before = x["value"], near["left"]
     step = lambda c, *edges: F.coalesce(*(F.when(c < e, i) for i, e in enumerate(edges)), F.lit(len(edges)))
     classes = [F.when(value.rlike(p), 1).otherwise(0) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")]
     return {
@@ -191,7 +236,7 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         "_c4": _found(col, SSN, "ssn", digit & col.contains("-")),
         "_c5": _found(col, LOCAL_PHONE, "local_phone", digit),
         "_c6": _found(col, SPELLED_EMAIL, "spelled_email", col.rlike(r"[\[(]at[\])]")),
-        "_c7": _found(col, NAME, "name", col.rlike(r"[A-Z][a-z]{1,20}\x20[A-Z][a-z]")),
+        "_c7": _found(col, NAME, "name", col.rlike(r"[A-Z][a-z]++\x20[A-Z][a-z]")),
         "_c8": _found(col, SECRET, "secret", digit & col.rlike(r"[A-Za-z0-9_+/=-]{16}")),
     })
     # the card chain of few digits is no candidate of anything
@@ -199,7 +244,10 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     every = F.concat("_c0", "_c1", few, "_c3", "_c4", "_c5", "_c6", "_c7", "_c8")
     named = lambda x, v: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.replace(x["value"], F.lit(MARK), F.lit(".")).alias("value"), v.alias("valid"))
     d = d.withColumn("_every", F.transform(every, lambda x: named(x, _valid(x))))
-    voted = F.transform("_every", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["valid"].alias("valid"), *(v.cast("int").alias(k) for k, v in (_votes(x, F.col("_t")) | _features(x, F.col("_t"))).items())))
+    judged = lambda x, near: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["valid"].alias("valid"), *(v.cast("int").alias(k) for k, v in (_votes(x, near) | _features(x, near)).items()))
+    blocks = F.regexp_extract_all(col, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    with_near = lambda blocks: F.transform("_every", lambda x: F.struct(x.alias("x"), _around(x, blocks).alias("near")))
+    voted = F.transform(F.when(F.size("_every") > 0, _let(blocks, with_near)).otherwise(_let(F.array(F.lit("")), with_near)), lambda y: judged(y["x"], y["near"]))
     return d.withColumn("_candidates", voted).drop("_t", "_digit", "_tm", "_tc", *(f"_c{i}" for i in range(len(KINDS))), "_every")
 
 
@@ -263,9 +311,9 @@ def find(docs: DataFrame, add_from: float = ADD_FROM) -> DataFrame:
     model = train(sorted((r["kind"], tuple(r[f] for f in told), r["n"], r["good"] / 1_000_000) for r in cells))
     base = F.filter("_candidates", lambda x: (x["kind"] < len(BASE)) & x["valid"])
     d = d.withColumn("_base", base)
-    apart = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     score = lambda x: model.probability(x["kind"], [x[f] for f in told])
-    d = d.withColumn("_added", F.filter("_candidates", lambda x: (x["kind"] >= len(BASE)) & (score(x) >= add_from) & apart(x)))
+    d = d.withColumn("_likely", F.filter("_candidates", lambda x: (x["kind"] >= len(BASE)) & (score(x) >= add_from)))
+    d = d.withColumn("_added", _apart(F.col("_likely"), F.col("_base")))
     key = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
     names = F.array(*(F.lit(k) for k in KINDS))
     text = lambda xs: F.array_join(F.transform(F.sort_array(F.transform(xs, key)), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
