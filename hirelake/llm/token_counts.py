@@ -15,6 +15,10 @@ which counts the pieces on best paths (whole numbers, so that reruns agree), fro
 once more than seen. A character that no piece holds scores 10 less than the worst piece and counts as its UTF-8 bytes.
 Of equal scores the longer last piece wins.
 
+A pre-token of over LONG characters is not put into the trie: its forward scores are worked out in a window as long as
+the longest piece, and of it only its count is kept, so a run of any length takes a few times its own bytes. The result
+is the same.
+
 Pre-tokens are runs of other than blanks and U+0009 to U+000D, led by U+2581. Null and blank texts have 0 words and 0
 tokens; rows are judged alone once the scores are known; an empty table gives an empty result.
 """
@@ -23,8 +27,9 @@ from __future__ import annotations
 
 import gc
 import math
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -39,6 +44,7 @@ ROUNDS = 2
 COMMON = 300_000  # pre-tokens whose terminals go to all tasks
 CACHED = 300_000  # terminals and nodes that a task keeps
 SLICE_ROWS = 500
+LONG = 256  # characters of a pre-token that share nodes with others
 MOST_COUNTED = 200_000  # pre-tokens that a task counts before it passes them on
 
 
@@ -68,6 +74,7 @@ class ForwardTrie:
     def __init__(self, scores: dict[str, float]):
         self.unknown = min(scores.values(), default=0.0) - 10
         self.single = {p for p in scores if len(p) == 1}
+        self.longest = max(map(len, scores), default=1)
         self.reversed: dict = {}  # children by character going backwards, and the score of the piece that ends there by ""
         for piece, score in scores.items():
             node = self.reversed
@@ -113,18 +120,42 @@ class ForwardTrie:
             node = child
         return text, sizes, tokens[-1]
 
+    def slide(self, word: bytes) -> tuple[str, array, int]:
+        """The same as walk() without nodes: scores and tokens of as many prefixes as the longest piece has characters, in
+        turn in the same places. Sizes are kept, a byte or two for each character."""
+        text, turn = LEAD + word.decode("utf-8", "replace"), self.longest + 1
+        best, tokens = [0.0] * turn, [0] * turn
+        sizes = array("B" if self.longest < 256 else "I", bytes(1 if self.longest < 256 else 4))
+        for end, c in enumerate(text, 1):
+            top, count, size, at, back = -math.inf, 0, 0, end, self.reversed
+            while at:
+                at -= 1
+                back = back.get(text[at])
+                if back is None:
+                    break
+                score = back.get("")
+                if score is not None and best[at % turn] + score >= top:
+                    top, count, size = best[at % turn] + score, tokens[at % turn] + 1, end - at
+            if c not in self.single and best[(end - 1) % turn] + self.unknown > top:
+                top, count, size = best[(end - 1) % turn] + self.unknown, tokens[(end - 1) % turn] + len(c.encode("utf-8", "replace")), 0
+            best[end % turn], tokens[end % turn] = top, count
+            sizes.append(size)
+        return text, sizes, tokens[len(text) % turn]
+
+    def scored(self, word: bytes) -> tuple[str, Sequence[int], int]:
+        return self.walk(word) if len(word) <= LONG else self.slide(word)
+
     def count(self, word: bytes) -> int:
-        return self.walk(word)[2]
+        return self.scored(word)[2]
 
-    def pieces(self, word: bytes) -> list[str]:
-        """The pieces on the best path; unknown characters are none."""
-        text, sizes, _ = self.walk(word)
-        out, end = [], len(text)
+    def pieces(self, word: bytes) -> Iterator[str]:
+        """The pieces on the best path, from the end; unknown characters are none."""
+        text, sizes, _ = self.scored(word)
+        end = len(text)
         while end:
             if sizes[end]:
-                out.append(text[end - sizes[end] : end])
+                yield text[end - sizes[end] : end]
             end -= sizes[end] or 1
-        return out
 
 
 def _words(column: pa.Array) -> list[list[bytes]]:
