@@ -1,11 +1,14 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Every document of a source has the same expected number of copies: the target of its source over the
-source's size. The whole part is given outright. The fractional parts are copy probabilities: two
-documents at a time, mass moves from one to the other, in words, until one is 0 or 1. What stays
-fractional in a group of documents is one document at most; these residuals meet in the next level of
-a reduction tree until a source has one, which a last draw decides. So a source's words miss its target
-by less than one document, every document keeps its expected copies, and no sum is left to chance.
+source's size. The whole part is given outright. The fractional parts are copy probabilities: mass moves from one to others, in
+words, until one is 0 or 1. The largest open document goes first and against all smaller ones of its probability at once:
+one draw says whether it gets a copy, and they share what that takes or gives, in proportion to their words, so that
+they stay alike. Documents of different probabilities are settled two at a time. What stays
+fractional in a group of documents is one document at most, the smallest as a rule; these residuals meet in the next
+level of a reduction tree until a source has one, which a last draw decides. So a source's words miss its target
+by less than one document, a small one where the others can make up for large ones; every document keeps its
+expected copies, and no sum is left to chance.
 
 Groups are made from hashes of the documents, and every draw comes from those hashes, so that reruns
 agree however the rows are partitioned. Rows that are equal in id, source and text are one unit with a count: of
@@ -21,6 +24,7 @@ than MOST_SOURCES of them are an error.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +94,42 @@ def pivot(p: list[float], size: list[int], seed: list[int], salt: int) -> list[f
     return out
 
 
+def share(p: list[float], size: list[int], seed: list[int], salt: int) -> list[float]:
+    """Rounds documents that all have the same p, in the given order, largest first. Each is drawn against all that follow, which
+    stay alike. The sum of p * size stays; one p at most stays fractional."""
+    out, tiny = list(p), 1e-9
+    now, rest = (p[0] if p else 0.0), sum(size)
+    for i in range(len(p)):
+        rest -= size[i]
+        if now <= tiny or now >= 1 - tiny:
+            out[i:] = [float(round(now))] * (len(p) - i)
+            break
+        # how far this one can go up and down for all that the others can give and take
+        up, down = min(1 - now, now * rest / size[i]), min(now, (1 - now) * rest / size[i])
+        if up + down <= tiny:
+            out[i] = now
+            break
+        move = up if _draw(seed[i], salt) < down / (up + down) else -down
+        out[i] = now + move
+        if out[i] < tiny or out[i] > 1 - tiny:
+            out[i] = float(round(out[i]))
+        if rest:
+            now = min(1.0, max(0.0, now - move * size[i] / rest))
+    return out
+
+
+def settle_group(p: list[float], size: list[int], seed: list[int], salt: int) -> list[float]:
+    """Those of the commonest probability by share(), then all that is open by pivot()."""
+    out = list(p)
+    open_ = [i for i, x in enumerate(p) if 1e-9 < x < 1 - 1e-9]
+    if open_:
+        common = Counter(p[i] for i in open_).most_common(1)[0][0]
+        alike = [i for i in open_ if p[i] == common]
+        for i, x in zip(alike, share([p[i] for i in alike], [size[i] for i in alike], [seed[i] for i in alike], salt), strict=True):
+            out[i] = x
+    return pivot(out, size, seed, salt + 50)
+
+
 def mix(docs: DataFrame, source: str = "source", size: Column | None = None, row_key: Column | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
     """The columns of `docs` plus size, source_size, target (double) and copies (int)."""
     size = n_words(F.col("text")) if size is None else size
@@ -164,7 +204,7 @@ def _rounder(level: int, last: bool):
         # large ones first: what is still open at the end is then a small one as a rule
         rows = rows.take(pa.array(np.lexsort((rows["_seed"].to_numpy(), -rows["size"].to_numpy()))))
         seeds = [int(x) & 0xFFFFFFFFFFFFFFFF for x in rows["_seed"].to_pylist()]
-        p = pivot(rows["_p"].to_pylist(), rows["size"].to_pylist(), seeds, level + 1)
+        p = settle_group(rows["_p"].to_pylist(), rows["size"].to_pylist(), seeds, level + 1)
         if last:  # one document of the source at most is still fractional
             p = [x if x in (0.0, 1.0) else float(_draw(s, 99) < x) for x, s in zip(p, seeds, strict=True)]
         return rows.set_column(rows.column_names.index("_p"), "_p", pa.array(p, pa.float64()))

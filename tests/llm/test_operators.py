@@ -147,7 +147,18 @@ def test_token_counts(docs, rows, common, monkeypatch):
 def test_forward_trie_on_unknown_characters():
     trie = token_counts.ForwardTrie({"▁": -1.0, "a": -1.0, "ab": -1.5, "b": -1.0})
     assert [trie.count(w) for w in (b"ab", "a漢".encode(), b"abab")] == [2, 5, 3]
-    assert trie.pieces("ab漢a".encode()) == ["a", "ab", "▁"] and trie.nodes == 8
+    assert list(trie.pieces("ab漢a".encode())) == ["a", "ab", "▁"] and trie.nodes == 8
+
+
+def test_long_pre_tokens_without_nodes(monkeypatch):
+    """A long run gives what the trie gives for it."""
+    rnd = random.Random(6)
+    scores = token_counts.start_scores(token_counts.load_pieces())
+    for text in ("".join(rnd.choices("abcdefghij+/ABC019", k=5_000)), "a" * 3_000, "漢字é" * 700, "the" * 900):
+        slid, walked = token_counts.ForwardTrie(scores), token_counts.ForwardTrie(scores)
+        _, sizes, tokens = walked.walk(text.encode())
+        assert slid.count(text.encode()) == tokens and slid.nodes == 0
+        assert list(slid.slide(text.encode())[1]) == sizes
 
 
 def test_sharding(docs, rows):
@@ -189,6 +200,43 @@ def test_mixing(docs, rows):
     assert mixing.taken(mixing.mix(docs)).count() == sum(r["copies"] for r in mixed)
 
 
+def plain_targets(sizes):
+    """Targets by raising one water level: each source gets its weight times the level, at most twice its size."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    low, high, want = 0.0, 4.0 * sum(sizes.values()) + 1, min(1.5 * sum(sizes.values()), 2.0 * sum(sizes.values()))
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * sizes[s], weight[s] * level) for s in sizes) < want else (low, level)
+    return {s: min(2 * sizes[s], weight[s] * high) for s in sizes}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_mixing_comes_near_its_targets(spark):
+    """On real sizes, with targets worked out in another way."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs).select("source", "size", "target", "copies").collect()
+    size, taken, count = defaultdict(int), defaultdict(int), defaultdict(list)
+    for r in mixed:
+        size[r["source"]] += r["size"]
+        taken[r["source"]] += r["copies"] * r["size"]
+        count[r["source"]].append(r["size"])
+    want = plain_targets(dict(size))
+    for r in mixed:
+        assert abs(r["target"] - want[r["source"]]) < 1e-3
+    assert all(abs(taken[s] - want[s]) <= max(0.01 * want[s], sorted(count[s])[len(count[s]) // 2]) for s in size)
+
+
+def test_share_keeps_the_sum_and_the_chances():
+    rnd, hits, size = random.Random(1), Counter(), [5_000, 900, 400, 300, 300, 250, 200, 200, 120, 80, 60, 40, 20, 10, 5]
+    for k in range(6_000):
+        out = mixing.share([0.4] * len(size), size, [rnd.getrandbits(64) for _ in size], k)
+        assert sum(x * s for x, s in zip(out, size)) == pytest.approx(0.4 * sum(size))
+        assert sum(0 < x < 1 for x in out) <= 1
+        hits.update(dict(enumerate(out)))
+    assert all(abs(hits[i] / 6_000 - 0.4) < 0.03 for i in range(len(size)))
+
+
 def test_mixing_rounds_equal_rows_as_one(spark):
     rows = [(1, "a b c", "x")] * 401 + [(i, "d e", "x") for i in range(2, 60)] + [(None, None, None)] * 7 + [(9, "f", "y")]
     d = spark.createDataFrame(rows, SCHEMA).repartition(6)
