@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from hirelake.llm.common import materialise, scratch_path
 
 ARCHIVE_BYTES = 256 << 20
-RANGE_ROWS = 1_000  # captures of a key range, until there are MOST_RANGES
-MOST_RANGES = 16_384
+RANGE_ROWS = 1_000  # captures of a key range, until there are MANY_RANGES; then ranges grow, up to MOST_RANGE_ROWS
+MANY_RANGES = 16_384
+MOST_RANGE_ROWS = 250_000
 EPOCH = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 LEVEL = 4
 NO_ID = 1 << 63
@@ -215,7 +216,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes one record per row of `pages` (page_id, url, html) and gives the archives: archive, records."""
     d = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.unhex(F.sha1(F.coalesce("html", F.lit("")))).alias("sha1"))
-    least = d.groupBy("sha1").agg(F.min("page_id").alias("least"))
+    # written first: a join right after the exchange of an aggregate could not be split where one payload has very many pages
+    least = materialise(d.groupBy("sha1").agg(F.min("page_id").alias("least")), "warc-payloads")
     d = d.join(least, "sha1").withColumn("refers_to", F.when(F.coalesce(F.col("page_id") != F.col("least"), F.col("least").isNotNull()), F.col("least")))
     d = d.select("page_id", "url", "html", "refers_to")
     schema = "page_id long, url string, html string, refers_to long, order_key string"
@@ -235,7 +237,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
 def merge_index(captures: DataFrame) -> DataFrame:
     """Adds `position`, gapless from 0 in the order of URL key, date and page_id, to captures that come in sorted runs."""
     total = captures.count()
-    n = min(MOST_RANGES, max(1, math.ceil(total / RANGE_ROWS)))
+    n = max(1, math.ceil(total / min(max(RANGE_ROWS, math.ceil(total / MANY_RANGES)), MOST_RANGE_ROWS)))
     # every step-th capture of each run, from a place of the run's own, so that short runs count as well
     step = max(1, total // (32 * n))
     sample = sorted(r["order_key"] for r in captures.filter(F.col("seq") % step == F.pmod(F.xxhash64("archive"), F.lit(step))).select("order_key").collect())
