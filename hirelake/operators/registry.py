@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from hirelake.functions.text import trim_blank
 from hirelake.functions.urls import board_url, identity_key, is_plausible_slug, name_from_slug, registry_id, slugify
+from hirelake.sources.shared import stored
+from hirelake.sources.versions import Versions
 
 LEGACY_TAGS = ["remote-canada", "frontend-heavy", "remote-friendly"]
 
@@ -60,16 +62,87 @@ def merge_entries(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
+#: What a candidate states about a board wins; the rest is what verification has found out, and stays.
+STATED = {"website": "string", "careers_url": "string", "country": "string", "discovery_source": "string"}
+KEPT = {"countries": "array<string>", "enabled": "boolean", "status": "string", "verified_at": "string", "last_job_count": "long", "verification_error": "string", "signals": "map<string,boolean>", "last_synced_at": "string"}
+ENTRY = "id string, name string, name_slug string, provider string, slug string, url string, industries array<string>, " + ", ".join(f"{k} {t}" for k, t in (STATED | KEPT).items())
+CANDIDATE = "provider string, slug string, pos long, name string, url string, industries array<string>, " + ", ".join(f"{k} {t}" for k, t in STATED.items())
+
+
+def board_key(provider: str = "provider", slug: str = "slug") -> Column:
+    return identity_key(F.col(provider), F.col(slug))
+
+
+def merge_all(entries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The entries (ENTRY) after candidates (CANDIDATE, all but provider, slug and pos nullable) are merged in, field by field.
+    New entries are enabled and unverified. Of candidates of one board the first counts; entries have a board once."""
+    e, c = entries.withColumn("_key", board_key()).alias("e"), dedupe_candidates(candidates).alias("c")
+    d = e.join(c, F.col("e._key") == F.col("c.key"), "full")
+    new, slug, provider = F.col("c.key").isNotNull(), trim_blank(F.col("c.slug")), F.col("c.provider")
+    name = F.coalesce(F.nullif(trim_blank(F.col("c.name")), F.lit("")), F.nullif("e.name", F.lit("")), name_from_slug(slug))
+    none = F.array().cast("array<string>")
+    merged = {
+        "id": F.coalesce("e.id", registry_id(provider, slug)),
+        "name": F.when(new, name).otherwise(F.col("e.name")),
+        "name_slug": F.when(new, slugify(name)).otherwise(F.col("e.name_slug")),
+        "provider": F.coalesce(provider, "e.provider"),
+        "slug": F.coalesce(slug, "e.slug"),
+        "url": F.when(new, F.coalesce("c.url", board_url(provider, slug))).otherwise(F.col("e.url")),
+        "industries": F.when(new, without_legacy(F.coalesce("c.industries", "e.industries", none))).otherwise(F.col("e.industries")),
+        **{k: F.coalesce(f"c.{k}", f"e.{k}") for k in STATED},
+        **{k: F.col(f"e.{k}") for k in KEPT},
+    }
+    unset = {"enabled": F.lit(True), "status": F.lit("verification_failed")}
+    merged |= {k: F.when(new, F.coalesce(f"e.{k}", v)).otherwise(F.col(f"e.{k}")) for k, v in unset.items()}
+    return d.select(*(c.alias(k) for k, c in merged.items()))
+
+
+def upsert(store: Versions, candidates: DataFrame, table: str = "registry", attempts: int = 20) -> int:
+    """Merges candidates into the stored registry and gives the new version. Only the ranges of the candidates' boards are read
+    and written; where another writer has changed one of them meanwhile, the merge is made anew from its version."""
+    key = board_key()
+    found = dedupe_candidates(candidates).select(*candidates.columns)
+    ranges = store.ranges_of(found, key)
+    if not ranges:
+        return store.latest()
+    return store.change(lambda base: [store.write(table, merge_all(store.read(table, base, ranges, ENTRY), found), key, ranges)], attempts)
+
+
+RESULT = "provider string, slug string, name string, url string, status string, job_count long, error string, signals map<string,boolean>, at string"
+
+
+def written_back(entries: DataFrame, results: DataFrame) -> DataFrame:
+    """Entries with what a verification (RESULT) has found about their boards: a board is enabled if it is verified, and only
+    then has a new time of verification; name and signals stay where none are found."""
+    r = results.select(board_key().alias("_key"), *(F.col(x.split(" ")[0]).alias(f"_{x.split(' ')[0]}") for x in RESULT.split(", ")[2:]))
+    d = entries.withColumn("_key", board_key()).join(r, "_key", "left")
+    done, ok = F.col("_status").isNotNull(), F.col("_status") == "verified"
+    found = {"status": F.col("_status"), "verified_at": F.when(ok, F.col("_at")).otherwise(F.col("verified_at")), "last_job_count": F.col("_job_count"), "verification_error": F.col("_error"), "last_synced_at": F.col("_at"), "enabled": ok, "url": F.col("_url")}
+    d = d.withColumns({k: F.when(done, v).otherwise(F.col(k)) for k, v in found.items()})
+    d = d.withColumns({"name": F.coalesce("_name", "name"), "signals": F.coalesce("_signals", "signals")})
+    return d.select(*entries.columns)
+
+
+def write_back(store: Versions, results: DataFrame, table: str = "registry", attempts: int = 20) -> int:
+    """Publishes the registry with the results of a verification, one row a board."""
+    key = board_key()
+    ranges = store.ranges_of(results, key)
+    return store.change(lambda base: [store.write(table, written_back(store.read(table, base, ranges, ENTRY), results), key, ranges)], attempts)
+
+
 def duplicate_keys(df: DataFrame, key: Column, member: str) -> DataFrame:
     """Keys that more than one row has, with their members: for a report on tables of boards, whose keys have few."""
     return df.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(member)).alias("members")).filter("n > 1")
 
 
 def duplicate_rows(df: DataFrame, key: Column) -> DataFrame:
-    """The rows whose key others have too, with key and n, their number. No group is gathered in one place: numbers are
-    partial sums, and rows of a hot key join them where they are split."""
-    d = df.withColumn("key", key)
-    return d.join(d.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key")
+    """The rows whose key others have too, with key and n, their number. Keys and rows are written first, each worked out
+    once; the numbers too, because rows of a hot key can be split in a join only if its other side is not an
+    aggregate of the same exchange."""
+    spark = df.sparkSession
+    d = stored(spark, df.withColumn("key", key), "keyed")
+    many = stored(spark, d.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "numbers")
+    return d.join(many, "key")
 
 
 def tally(df: DataFrame, column: str) -> DataFrame:
