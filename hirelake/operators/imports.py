@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.functions.text import blank_to_null, clean_title, decode_entities, html_to_text, trim_blank, word
+from hirelake.functions.text import blank_to_null, clean_title, decode_entities, html_title, html_to_text, trim_blank, word
 from hirelake.operators import boards, requirements
+from hirelake.sources.shared import stored
 
 # Kinds of inputs in the order that decides between equals, the limits of a posting, and messages.
 BOARDS = {"greenhouse": r"(?i)greenhouse\.io", "lever": r"(?i)(?:jobs|api)\.lever\.co", "ashby": r"(?i)jobs\.ashbyhq\.com|api\.ashbyhq\.com/posting-api/job-board"}
@@ -138,6 +139,43 @@ def single(raw: DataFrame) -> DataFrame:
     return requirements.extract(d)
 
 
+IMPORTED = {"company": "string", "title": "string", "location": "string", "workplace": "string", "salary_min": "double", "salary_max": "double", "salary_currency": "string", "job_url": "string", "source_job_id": "string", "date_posted": "string", "employment_type": "string", "description": "string", "responsibilities": "array<string>", "required": "array<string>", "preferred": "array<string>", "technologies": "array<string>", "experience": "string", "education": "string"}
+
+
+def import_jobs(inputs: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Every input (id, input: an address, a pasted text or a form) as a posting: what it is, what its address gave, and the
+    posting of that kind. fetched: url and payload (the page, or the board's JSON; null where nothing came). Gives id,
+    provider, error, message and IMPORTED.
+
+    An address of a board must give JSON, else the import has failed; a web page that can't be fetched becomes a posting
+    that says so. A posting that breaks a limit is invalid. Each kind of input is read once from a written table, so an
+    address is joined once, whatever the kinds."""
+    url = F.when(F.col("provider").isin(*BOARDS, "generic_web"), trim_blank(F.col("input")))
+    d = inputs.select("id", "input").withColumn("provider", provider_of(F.col("input"))).withColumn("url", url)
+    d = stored(inputs.sparkSession, d.join(fetched.select("url", "payload"), "url", "left"), "imports")
+    is_board, is_page = F.col("provider").isin(*BOARDS), F.col("provider") == "generic_web"
+    error = F.when(is_board & F.col("payload").isNull(), "could not reach the board").when(is_board & F.try_parse_json("payload").isNull(), "invalid payload").when(is_board & (F.length("payload") > PAYLOAD_MOST), "payload too large").when((F.col("provider") == "manual") & ~is_form(F.col("input")), "invalid form")
+    d = d.withColumn("error", error)
+    good = d.filter("error IS NULL")
+    unreached = F.concat(F.lit("Failed to fetch URL: "), F.col("url"), F.lit(". Please paste the job description directly."))
+    pages = good.filter(is_page).select("id", F.when(F.col("payload").isNull(), unreached).otherwise(html_to_text(F.col("payload"))).alias("text"), html_title(F.col("payload")).alias("page_title"))
+    kinds = [
+        from_text(good.filter(F.col("provider") == "pasted_description").select("id", F.col("input").alias("text"))),
+        from_page(pages),
+        from_form(good.filter(F.col("provider") == "manual").select("id", F.col("input").alias("text"))),
+        single(good.filter(is_board).select("id", "provider", "url", F.col("payload").alias("text"), "payload")),
+    ]
+    out = None
+    for k in kinds:
+        k = k.select("id", *(F.col(c).cast(t).alias(c) if c in k.columns else F.lit(None).cast(t).alias(c) for c, t in IMPORTED.items()))
+        out = k if out is None else out.unionByName(k)
+    out = d.select("id", "provider", "error", "url").join(with_defaults(out), "id", "left")
+    out = out.withColumn("job_url", F.coalesce("job_url", F.when(is_page, F.col("url"))))
+    broken = F.array_join(broken_limits(out), ", ")
+    out = out.withColumn("error", F.coalesce("error", F.when(broken != "", F.concat(F.lit("invalid: "), broken))))
+    return out.select("id", "provider", "error", F.when(F.col("error").isNotNull(), failure_message(F.col("error"))).alias("message"), *IMPORTED)
+
+
 def failure_message(message: Column) -> Column:
     """What to tell about a failed import."""
     low = F.lower(message)

@@ -24,14 +24,15 @@ def _tables(spark, sf_dir):
     analyses = li.groupBy(flag.alias("id")).agg(F.first("l_orderkey").alias("job_id"), F.max("l_shipdate").alias("created"), F.max("l_quantity").alias("score"))
     pos = F.col("l_linenumber").cast("long") * 10**12 + F.col("l_partkey") * 10**5 + F.col("l_suppkey")
     matches = li.select(flag.alias("analysis_id"), pos.alias("pos"), (F.col("l_orderkey") * 10 + F.col("l_partkey") % 10).alias("requirement_id"), F.col("l_suppkey").alias("evidence_id"))
-    requirements = o.join(p, F.col("o_orderkey") % 200 == F.col("p_partkey") % 200).select((F.col("o_orderkey") * 10 + F.col("p_partkey") % 10).alias("id"), F.col("o_orderkey").alias("job_id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("text"))
+    asked = li.join(p.filter("p_size > 10"), F.col("l_partkey") == F.col("p_partkey"))
+    requirements = asked.select((F.col("l_orderkey") * 10 + F.col("p_partkey") % 10).alias("id"), F.col("l_orderkey").alias("job_id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("text"))
     requirements = requirements.groupBy("id", "job_id").agg(F.min("pos").alias("pos"), F.min_by("text", "pos").alias("text"))
     evidence = s.filter("s_acctbal > 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("text"))
     return jobs, companies, requirements, analyses, matches, evidence
 
 
 @query(
-    f"""WITH r AS (SELECT o_orderkey * 10 + p_partkey % 10 AS id, o_orderkey AS job_id, min(p_partkey) AS pos, arg_min(p_name, p_partkey) AS text FROM orders JOIN part ON o_orderkey % 200 = p_partkey % 200 GROUP BY 1, 2),
+    f"""WITH r AS (SELECT l_orderkey * 10 + l_partkey % 10 AS id, l_orderkey AS job_id, min(l_partkey) AS pos, arg_min(p_name, l_partkey) AS text FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 10 GROUP BY 1, 2),
     a AS (SELECT {_ANALYSIS} AS id, any_value(l_orderkey) AS job_id, max(l_shipdate) AS created, max(l_quantity) AS score FROM lineitem GROUP BY 1),
     m AS (SELECT {_ANALYSIS} AS analysis_id, string_agg(coalesce(r.text, '-') || '/' || coalesce(s_name, '-'), ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS shown FROM lineitem LEFT JOIN r ON r.id = l_orderkey * 10 + l_partkey % 10 LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON s_suppkey = l_suppkey GROUP BY 1),
     t AS (SELECT job_id, count(*) AS n, string_agg(score::BIGINT || '[' || shown || ']', ';' ORDER BY created DESC, id DESC) AS tree FROM a JOIN m ON analysis_id = id GROUP BY 1),

@@ -22,6 +22,24 @@ def test_single_postings(spark):
     assert d.filter("id = 1").first()["required"] == ["React and TypeScript work"]
 
 
+def test_every_kind_of_input(spark):
+    form = '{"company":"Acme","title":"Dev","description":"Text","workplaceType":"remote","technologies":["a"]}'
+    inputs = [
+        (1, "https://boards.greenhouse.io/acme/jobs/5"), (2, " https://jobs.lever.co/x/1 "), (3, "https://jobs.ashbyhq.com/b/1"), (4, "https://example.com/job"), (5, "https://example.com/gone"),
+        (6, form), (7, "Title: Web Dev\nCompany: Acme\nLocation: Oslo\nWork remote with React"), (8, '{"company":"","title":"Dev","description":"x","workplaceType":"remote"}'), (9, "{broken"), (10, "https://jobs.lever.co/y/2"), (11, None),
+    ]
+    pages = [("https://boards.greenhouse.io/acme/jobs/5", '{"job":{"id":5,"title":"Web Dev","location":{"name":"Remote"},"absolute_url":"http://x","content":"Text"},"board":"acme_co"}'), ("https://jobs.lever.co/x/1", "<html>"), ("https://example.com/job", "<title>Lead</title><p>Role: Boss</p>"), ("https://jobs.lever.co/y/2", '{"id":"p","text":"<div>Lead</div>"}')]
+    d = imports.import_jobs(spark.createDataFrame(inputs, "id int, input string"), spark.createDataFrame(pages, "url string, payload string"))
+    got = {r["id"]: (r["provider"], r["company"], r["title"], r["workplace"], r["error"]) for r in d.collect()}
+    assert got[1] == ("greenhouse", "Acme Co", "Web Dev", "remote", None) and got[10] == ("lever", "Company", "Lead", "unknown", None)
+    assert got[2][::4] == ("lever", "invalid payload") and got[3][::4] == ("ashby", "could not reach the board")
+    assert got[4] == ("generic_web", "Unknown Company", "Lead", "unknown", None) and got[5][0] == "generic_web" and got[5][4] is None
+    assert got[6] == ("manual", "Acme", "Dev", "remote", None) and got[7] == ("pasted_description", "Acme", "Web Dev", "remote", None)
+    assert got[8][4] == "invalid: company" and got[9][::4] == ("manual", "invalid form") and len(got) == 11
+    assert d.filter("id = 3").first()["message"] == imports.REACH and d.filter("id = 8").first()["message"] == imports.INVALID
+    assert d.filter("id = 5").first()["description"].startswith("Failed to fetch URL: https://example.com/gone")
+
+
 def test_forms_pages_and_limits(spark):
     form = '{"company":"Acme","title":"Dev","description":"Text","workplaceType":"office","technologies":["a"],"jobUrl":"nowhere"}'
     d = imports.from_form(spark.createDataFrame([(1, form)], "id int, text string"))
