@@ -160,7 +160,7 @@ def _valid(x: Column) -> Column:
         .when(_is(x, "local_phone"), national)
         .when(_is(x, "spelled_email"), x["value"].rlike(r"[A-Za-z][A-Za-z0-9._-]*+\x20?[\[(]at"))
         .when(_is(x, "name"), ~x["value"].rlike(r"(?:^|\x20)(?:" + "|".join(NOT_NAMES) + r")(?:\x20|$)"))
-        .when(_is(x, "secret"), ~x["value"].rlike(r"^[A-Za-z]+[0-9]{1,4}$|^[0-9]{1,4}[A-Za-z]+$|[-_/+=]{2}|^[-/_+=]|-[A-Za-z]+-[A-Za-z]+"))
+        .when(_is(x, "secret"), ~x["value"].rlike(r"^[A-Za-z]+[0-9]{1,4}$|^[0-9]{1,4}[A-Za-z]+$|[-_/+=]{2}|^[-/_+=]|-[A-Za-z]+-[A-Za-z]+|/[a-z-]{3,}(?:/|$)"))
         .otherwise(F.lit(True))
     )
 
