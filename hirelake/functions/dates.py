@@ -35,3 +35,14 @@ def int_or_null(col: Column) -> Column:
     """The number in a text, cut toward zero; null where there is none."""
     d = trim_blank(col).try_cast("double")
     return F.when(d >= 0, F.floor(d)).otherwise(F.ceil(d)).cast("long")
+
+
+def month_key(col: Column) -> Column:
+    """The part of a month's name that names it: its first three letters, but sept."""
+    t = F.replace(F.lower(col), F.lit("."), F.lit(""))
+    return F.when(t.startswith("sept"), "sept").otherwise(F.substring(t, 1, 3))
+
+
+def is_new(discovered: Column, now: Column) -> Column:
+    """Found less than a day ago."""
+    return F.coalesce(discovered > now - F.make_dt_interval(days=F.lit(1)), F.lit(False))

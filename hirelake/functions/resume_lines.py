@@ -107,8 +107,8 @@ def is_tailorable(bullet: Column) -> Column:
 
 def bullet_score(bullet: Column, job: Column) -> Column:
     """A point for each word over three letters that the posting has, two for a verb, one for a number."""
-    low = F.lower(job)
-    hits = F.size(F.filter(F.split(F.lower(bullet), r"\W+"), lambda w: (F.length(w) > 3) & F.contains(low, w)))
+    hits = F.get(F.transform(F.array(F.lower(job)), lambda low: F.size(F.filter(F.split(F.lower(bullet), r"\W+"), lambda w: (F.length(w) > 3) & F.contains(low, w)))), 0)
+    hits = F.coalesce(hits, F.lit(0))
     return hits + F.when(bullet.rlike(DONE), 2).otherwise(0) + F.when(bullet.rlike(METRIC), 1).otherwise(0)
 
 

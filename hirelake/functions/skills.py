@@ -38,6 +38,6 @@ def canonical_skill(col: Column) -> Column:
 
 def technologies(col: Column, keywords: list[str] = TECH_KEYWORDS) -> Column:
     """Canonical names of the keywords that occur anywhere in the text, in keyword order."""
-    low = F.lower(col)
-    found = F.filter(constant(keywords), lambda k: F.contains(low, k))
+    # within the outer transform the text is put into lower case once, not once for each keyword
+    found = F.get(F.transform(F.array(F.lower(col)), lambda low: F.filter(constant(keywords), lambda k: F.contains(low, k))), 0)
     return F.array_distinct(F.transform(found, canonical_skill))

@@ -186,3 +186,14 @@ def suggest(scored: DataFrame, points: list[tuple[Column, int]], followed: DataF
 def by_name(entries: DataFrame) -> DataFrame:
     """Entries in the order of their names as people sort them: case and accents count last."""
     return entries.orderBy(F.collate("name", "UNICODE_CI_AI"), F.collate("name", "UNICODE"), "id")
+
+
+def verified_catalog(entries: DataFrame) -> DataFrame:
+    """The catalog of what is enabled and verified, in the order of names, one JSON object a row."""
+    kept = entries.filter(F.col("enabled") & (F.col("status") == "verified"))
+    return by_name(kept).select("id", F.to_json(F.struct(*entries.columns)).alias("entry"))
+
+
+def payload_bytes(*columns: str) -> Column:
+    """Bytes of a row's JSON."""
+    return F.octet_length(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))

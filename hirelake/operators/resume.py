@@ -60,6 +60,13 @@ def sections(lines: DataFrame) -> DataFrame:
     return d.filter("_head is null").drop("_head")
 
 
+def outlines(parts: DataFrame) -> DataFrame:
+    """Each document's sections as one text. parts: doc, section_no, section, heading and lines (an array, in order)."""
+    one = F.concat(F.lit("["), "section", F.lit("] "), F.coalesce("heading", F.lit("")), F.lit("\n"), F.array_join("lines", "\n"))
+    d = parts.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("section_no", one.alias("text")))).alias("_parts"))
+    return d.select("doc", F.array_join(F.transform("_parts", lambda x: x["text"]), "\n\n").alias("outline"))
+
+
 def paired(df: DataFrame, fits: Column, doc: str, order: str) -> DataFrame:
     """Neighbours put together two by two from the top: a row that fits its next row takes it, and the pair takes no third.
     Adds _takes and _taken. In a run of rows that fit, every other one takes, so positions in the run decide."""

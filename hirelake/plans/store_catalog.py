@@ -5,10 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hirelake.operators import coercion, parse_cache, registry, verification
-from hirelake.plans.catalog import query, table
-from hirelake.plans.derived import Pick
-from hirelake.plans.posting_catalog import made, made_sql
+from hirelake.functions import text
+from hirelake.operators import coercion, imports, parse_cache, registry, resume, tailoring, verification
+from hirelake.plans.catalog import _NAMED as _NAMED_ENTITIES
+from hirelake.plans.catalog import _PLAIN, query, table
+from hirelake.plans.derived import Pick, quoted
+from hirelake.plans.match_catalog import _techs
+from hirelake.plans.posting_catalog import _BULLET, _DONE, _JOB, _tailorable, made, made_sql
 from hirelake.sources import policies
 from hirelake.sources.shared import shared_folder
 from hirelake.sources.versions import Versions
@@ -173,3 +176,91 @@ def coerced_profiles(spark, sf_dir):
     skills = F.transform("skills", lambda s: F.concat(s["name"], F.lit("/"), F.coalesce(s["category"], F.lit(""))))
     jobs = F.transform("experience", lambda e: F.concat(e["company"], F.lit("/"), e["title"], F.lit("/"), F.coalesce(e["start"], F.lit("")), F.lit("/"), F.coalesce(e["end"], F.lit("")), F.lit("/"), F.array_join(e["achievements"], "+"), F.when(e["current"], "/now").otherwise("")))
     return r.select("id", "display_name", "location", F.array_join(skills, ",").alias("skills"), F.array_join(jobs, ",").alias("experiences"), F.array_join("target_titles", ",").alias("target_titles"), F.array_join("errors", ",").alias("errors"))
+
+
+# ---- tailoring -------------------------------------------------------------------------------------------------
+
+_NAMED, _UNNAMED = (quoted(x).replace("{}", "' || {} || '") for x in (tailoring.NAMED, tailoring.UNNAMED))
+_UUID = "substr(md5({}), 1, 8) || '-' || substr(md5({}), 9, 4) || '-' || substr(md5({}), 13, 4) || '-' || substr(md5({}), 17, 4) || '-' || substr(md5({}), 21, 12)"
+_RANKED = rf"""b AS (SELECT id % 40 AS usr, id AS pos, a || b AS text FROM ({made_sql(_BULLET, "part", "p_partkey")})), j AS (SELECT id AS job, id % 40 AS usr, d || ' for client ' || id AS d FROM ({made_sql(_JOB)})),
+    s AS (SELECT job, pos, text, len(list_filter(string_split_regex(lower(text), '\W+'), lambda w: length(w) > 3 AND contains(lower(d), w))) + CASE WHEN regexp_matches(text, '(?i)\b(?:{_DONE})\b') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(text, '[0-9]+%|[0-9]+x|\$[0-9]|#[0-9]|[0-9]+\+') THEN 1 ELSE 0 END AS points FROM j JOIN b USING (usr) WHERE {_tailorable("text")}),
+    k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY points DESC, pos) AS rank FROM s) WHERE rank <= 8)"""
+
+
+def _uuid(key):
+    h = F.md5(key)
+    return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+
+
+def _ranked(spark, sf_dir):
+    b = made(spark, sf_dir, _BULLET, "part", "p_partkey").select((F.col("id") % 40).alias("user"), F.col("id").alias("pos"), F.concat("a", "b").alias("text"))
+    j = made(spark, sf_dir, _JOB).select(F.col("id").alias("job"), (F.col("id") % 40).alias("user"), F.concat("d", F.lit(" for client "), F.col("id").cast("string")).alias("description"))
+    ranked = resume.tailoring_bullets(b, j)
+    return ranked.select("job", "rank", "pos", _uuid(F.col("pos").cast("string")).alias("id"), "text"), j
+
+
+@query(
+    rf"""WITH {_RANKED}, t AS (SELECT job, {_techs("d")}[1:6] AS asked FROM j), h AS (SELECT k.*, asked, list_filter(asked, lambda x: contains(lower(text), lower(x))) AS has FROM k JOIN t USING (job) WHERE rank <= 5)
+    SELECT job, rank, pos, text || CASE WHEN len(has) > 0 THEN {_NAMED.format("array_to_string(has, ', ')")} ELSE {_UNNAMED.format("array_to_string(asked[1:3], ', ')")} END AS suggested, CASE WHEN len(has) > 0 THEN 0.55::DOUBLE ELSE 0.4::DOUBLE END AS confidence FROM h WHERE len(asked) > 0"""
+)
+def tailoring_suggestions(spark, sf_dir):
+    ranked, jobs = _ranked(spark, sf_dir)
+    made_ = tailoring.suggestions(ranked, jobs)
+    return made_.join(ranked.select("job", "rank", "pos"), ["job", "rank"]).select("job", "rank", "pos", "suggested", F.col("confidence").cast("double").alias("confidence"))
+
+
+_RAW = {"type": Pick(["emphasize", None, "rewrite", "reorder"], 1), "shift": Pick(["0", "0", "1", "0", "0"], 1, 2), "end": Pick(["", " better", "", " with numbers", " "], 1, 1), "sure": Pick(["0.5", "0.9", "1", "0.2"], 1)}
+_BROKEN = "job % 13 = 0 AND rank = 2"
+
+
+@query(
+    rf"""WITH {_RANKED}, r AS (SELECT job, rank, text, {", ".join(f"{p.sql('(job + rank * 7)')} AS {n}" for n, p in _RAW.items())}, pos FROM k),
+    w AS (SELECT *, CASE WHEN {_BROKEN} THEN 'x' ELSE {_UUID.replace("{}", "(pos + shift::INTEGER * 100000)::VARCHAR")} END AS bullet_id, CASE WHEN (job + rank) % 6 = 0 THEN rank % 2 END AS ev FROM r),
+    ok AS (SELECT * FROM w WHERE job NOT IN (SELECT job FROM w WHERE bullet_id = 'x'))
+    SELECT job, rank, coalesce(type, 'rewrite') AS type, text AS original, text || "end" AS suggested, sure::DOUBLE AS confidence FROM ok WHERE shift = '0' AND (ev IS NULL OR ev = 0) AND NOT (coalesce(type, 'rewrite') = 'emphasize' AND trim("end") = '')"""
+)
+def tailoring_checked(spark, sf_dir):
+    """Suggestions of which some name bullets or evidence that the posting has not, change nothing, or break the form."""
+    ranked, _ = _ranked(spark, sf_dir)
+    d = ranked.withColumn("_k", F.col("job") + F.col("rank") * 7)
+    d = d.withColumns({n: p.column("_k") for n, p in _RAW.items()})
+    bullet = F.when(F.expr(_BROKEN), "x").otherwise(_uuid((F.col("pos") + F.col("shift").cast("int") * 100_000).cast("string")))
+    ev = F.when((F.col("job") + F.col("rank")) % 6 == 0, _uuid(F.concat(F.lit("e"), (F.col("rank") % 2).cast("string"))))
+    raw = d.select("job", F.col("rank").alias("pos"), "type", bullet.alias("bullet_id"), F.lit("what was said").alias("original"), F.concat("text", "end").alias("suggested"), ev.alias("evidence_id"), F.col("sure").cast("double").alias("confidence"))
+    evidence = ranked.select("job").distinct().withColumn("id", _uuid(F.lit("e0")))
+    ok = tailoring.validated(raw, ranked.select("job", "id", "text"), evidence)
+    return ok.select("job", F.col("pos").alias("rank"), "type", "original", "suggested", "confidence")
+
+
+@query(
+    rf"""WITH {_RANKED}, e AS (SELECT k.job, p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_partkey END AS source, text AS said FROM (SELECT DISTINCT job FROM k) k JOIN b ON true JOIN part ON p_partkey = b.pos WHERE b.usr = k.job % 40 AND p_partkey % 2 = 1)
+    SELECT job, id FROM e WHERE EXISTS (SELECT 1 FROM k WHERE k.job = e.job AND (k.pos = e.source OR k.text = e.said))"""
+)
+def tailoring_evidence(spark, sf_dir):
+    ranked, _ = _ranked(spark, sf_dir)
+    ranked = ranked.select("job", F.col("pos").alias("id"), "text")
+    b = made(spark, sf_dir, _BULLET, "part", "p_partkey").select((F.col("id") % 40).alias("user"), "id", F.when(F.col("id") % 3 == 0, F.col("id")).alias("source_id"), F.concat("a", "b").alias("text")).filter("id % 2 = 1")
+    jobs = ranked.select("job", (F.col("job") % 40).alias("user")).distinct()
+    evidence = jobs.join(b, "user").select("job", "id", "source_id", "text")
+    return tailoring.linked_evidence(evidence, ranked).select("job", "id")
+
+
+# ---- postings from real pages ----------------------------------------------------------------------------------
+
+
+@query(
+    rf"""WITH p AS (SELECT page_id, {_PLAIN}[1:50000] AS t, nullif(regexp_extract(html, '<title[^>]*>([\s\S]*?)</title>', 1, 'i'), '') AS raw FROM pages),
+    h AS (SELECT *, regexp_replace(string_split_regex({_NAMED_ENTITIES.format(x=r"regexp_replace(raw, '^\s+|\s+$', '', 'g')")}, '\s*[|\-–—]\s*')[1], '^\s+|\s+$', '', 'g') AS head FROM p),
+    f AS (SELECT *, trim(regexp_extract(t, '(?i)(?:title|position|role)[:\s]+([^
+]+)', 1)) AS named, trim(regexp_extract(t, '(?i)(?:company|organization)[:\s]+([^
+]+)', 1)) AS firm, trim(regexp_extract(t, '(?i)location[:\s]+([^
+]+)', 1)) AS place, trim(regexp_extract(t, '([^\s][^
+]*)', 1)) AS line FROM h),
+    c AS (SELECT *, regexp_replace(CASE WHEN length(head) BETWEEN 1 AND 120 THEN head WHEN named <> '' THEN named WHEN length(line) <= 120 THEN line ELSE '' END, '\s+', ' ', 'g') AS name FROM f)
+    SELECT page_id, CASE WHEN length(name) BETWEEN 1 AND 120 THEN name ELSE 'Untitled Role' END AS title, CASE WHEN length(firm) BETWEEN 1 AND 120 THEN regexp_replace(firm, '\s+', ' ', 'g') ELSE 'Unknown Company' END AS company, nullif(place, '') AS location, CASE WHEN regexp_matches(t, '(?i)remote') THEN 'remote' ELSE 'unknown' END AS workplace, length(t) AS n_chars FROM c"""
+)
+def page_postings(spark, sf_dir):
+    """Every stored web page as a posting."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), text.html_to_text(F.col("html")).alias("text"), text.html_title(F.col("html")).alias("page_title"))
+    d = imports.from_page(pages)
+    return d.select(F.col("id").alias("page_id"), "title", "company", "location", "workplace", F.length("description").alias("n_chars"))

@@ -88,3 +88,26 @@ def test_rows_of_a_hot_key_can_be_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_small_helpers(spark):
+    import datetime as dt
+
+    from hirelake.functions import dates
+    from hirelake.operators import resume, tailoring
+
+    d = spark.createDataFrame([("Sept. 2020",), ("June",), ("DEC.",), (None,)], "t string")
+    assert [r[0] for r in d.select(dates.month_key(F.col("t"))).collect()] == ["sept", "jun", "dec", None]
+    now = dt.datetime(2024, 1, 2, 12)
+    d = spark.createDataFrame([(now - dt.timedelta(hours=h),) for h in (1, 24, 25)] + [(None,)], "at timestamp")
+    assert [r[0] for r in d.select(dates.is_new(F.col("at"), F.lit(now))).collect()] == [True, False, False, False]
+    d = spark.createDataFrame([("é", None)], "a string, b int")
+    assert d.select(registry.payload_bytes("a", "b")).first()[0] == len('{"a":"é","b":null}'.encode())
+    parts = spark.createDataFrame([(1, 2, "skills", "Skills", ["Go"]), (1, 1, "contact", None, ["Ada", "x@y.z"])], "doc int, section_no int, section string, heading string, lines array<string>")
+    assert resume.outlines(parts).first()["outline"] == "[contact] \nAda\nx@y.z\n\n[skills] Skills\nGo"
+    entries = spark.createDataFrame([("b", "beta", True, "verified"), ("a", "Alpha", True, "verified"), ("c", "C", False, "verified"), ("d", "D", True, "empty")], "id string, name string, enabled boolean, status string")
+    assert [r["id"] for r in registry.verified_catalog(entries).collect()] == ["a", "b"]
+    jobs = spark.createDataFrame([(1, "We use React and GraphQL"), (2, None)], "job int, description string")
+    ranked = spark.createDataFrame([(1, 1, "x", "Built React apps"), (1, 2, "y", "Wrote documents"), (2, 1, "z", "Built React apps"), (1, 6, "w", "React")], "job int, rank int, id string, text string")
+    got = {r["bullet_id"]: (r["suggested"], float(r["confidence"])) for r in tailoring.suggestions(ranked, jobs).collect()}
+    assert set(got) == {"x", "y"} and got["x"][0].startswith("Built React apps (Emphasize for role: ") and got["x"][1] == 0.55 and got["y"][1] == 0.4
