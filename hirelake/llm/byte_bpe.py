@@ -42,7 +42,7 @@ CHUNK = 32_768
 OVERLAP = 1_024
 LOOKAHEAD = 3  # characters from its start that an alternative of fixed length can look at
 SLICE_ROWS = 500
-CACHED = 500_000  # pre-tokens whose ids a worker keeps
+CACHED = 300_000  # pre-tokens whose ids a worker keeps
 CACHED_CHARS = 64
 SHORT_BYTES = 48
 NONE = 1 << 31
