@@ -109,8 +109,23 @@ r(doc_id, node) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.y FROM
 SELECT w.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(node) AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY w.doc_id"""
 
 
-# crc32 of a decimal number, by the table of its 256 bytes
-_TRIE = """WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256) t(i))),
+# the table that crc32 looks its 256 bytes up in
+_CRC_TABLE = "tab AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256) t(i)))"
+_GRAMS = f"list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]), list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))"
+_LETTERS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_BYTES = "CASE WHEN strlen(f) = length(f) THEN list_transform(string_split(f, ''), lambda c: ascii(c)::BIGINT) ELSE list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda x: ('0x' || x)::BIGINT) END"
+_IMPORTANCE = f"""WITH {_CRC_TABLE}, w AS (SELECT doc_id, {_LETTERS} AS ws FROM documents), g AS (SELECT doc_id, len(ws) AS n, {_GRAMS} AS fs FROM w),
+df AS (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest(fs) AS f FROM g) GROUP BY ALL), bf AS (SELECT f, count(*) AS n FROM (SELECT unnest({_GRAMS}) AS f FROM (SELECT {_LETTERS} AS ws FROM benchmark)) GROUP BY ALL),
+c AS (SELECT f, xor(list_reduce(list_prepend(4294967295, {_BYTES}), lambda a, b: xor(a >> 8, tab[1 + (xor(a, b) & 255)])), 4294967295) % 10000 AS b FROM (SELECT f FROM df UNION SELECT f FROM bf), tab),
+s AS (SELECT b, sum(n) AS s FROM df JOIN c USING (f) GROUP BY b), t AS (SELECT b, sum(n) AS t FROM bf JOIN c USING (f) GROUP BY b),
+gain AS (SELECT s.b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE / ((s + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (b)),
+x AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM df JOIN c USING (f) JOIN gain USING (b) GROUP BY doc_id),
+y AS (SELECT g.doc_id, n, len(fs) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || g.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM g LEFT JOIN x USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM y WHERE n >= 20 QUALIFY rank <= (SELECT count(*) FROM y WHERE n >= 20) * 5 // 100)
+SELECT y.doc_id, n_features, weight, score, rank FROM y LEFT JOIN r USING (doc_id)"""
+
+# crc32 of a decimal number
+_TRIE = f"""WITH RECURSIVE {_CRC_TABLE},
 t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 n AS (SELECT conv_id AS c, count(*) AS own, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a >> 8, any_value(tab)[1 + (xor(a, b) & 255)])), 4294967295) % 4 AS h FROM t, tab GROUP BY conv_id),
 turns AS (SELECT c, pos AS d, role, text FROM n JOIN t ON t.conv_id = c - c % 20 AND pos <= h UNION ALL SELECT c, pos - h + least(h, coalesce((SELECT b.own FROM n b WHERE b.c = n.c - n.c % 20), 0)), role, text FROM n JOIN t ON t.conv_id = c AND pos > h),
@@ -151,5 +166,6 @@ ORACLES: dict[str, str] = {
     "op1_substring_dedup": _SUBSTRINGS,
     "op7_ngram_jaccard": _JACCARD,
     "op10_license_scan": _license_sql(),
+    "op12_importance": _IMPORTANCE,
     "op13_prefix_trie": _TRIE,
 }
