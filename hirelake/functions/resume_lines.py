@@ -50,6 +50,12 @@ def is_job_title(line: Column) -> Column:
     return F.coalesce((F.length(t) <= 80) & t.rlike(TITLE) & ~is_date_range(t), F.lit(False))
 
 
+def experience_issues(title: Column, company: Column) -> Column:
+    """What is in the wrong field of a job: title_has_dates, company_has_dates, company_has_title."""
+    tests = {"title_has_dates": title.rlike(RANGE), "company_has_dates": company.rlike(RANGE), "company_has_title": company.rlike(TITLE)}
+    return F.filter(F.array(*(F.when(F.coalesce(t, F.lit(False)), name) for name, t in tests.items())), lambda x: x.isNotNull())
+
+
 def is_company(line: Column) -> Column:
     t = trim_blank(line)
     return F.coalesce(F.length(t).between(2, 120) & ~is_date_range(t) & ~is_job_title(t) & ~t.endswith(".") & ~(t.rlike(ACHIEVED) & (F.length(t) > 40)), F.lit(False))

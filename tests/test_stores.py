@@ -111,3 +111,11 @@ def test_small_helpers(spark):
     ranked = spark.createDataFrame([(1, 1, "x", "Built React apps"), (1, 2, "y", "Wrote documents"), (2, 1, "z", "Built React apps"), (1, 6, "w", "React")], "job int, rank int, id string, text string")
     got = {r["bullet_id"]: (r["suggested"], float(r["confidence"])) for r in tailoring.suggestions(ranked, jobs).collect()}
     assert set(got) == {"x", "y"} and got["x"][0].startswith("Built React apps (Emphasize for role: ") and got["x"][1] == 0.55 and got["y"][1] == 0.4
+
+
+def test_fields_that_hold_what_is_not_theirs(spark):
+    from hirelake.functions.resume_lines import experience_issues
+
+    rows = [("Engineer", "Acme"), ("Engineer Jan 2020 - Present", "Acme"), ("Lead", "Acme Mar 2019 - Apr 2020"), (None, "Senior Software Engineer"), ("01/2020 - 02/2021", "Web Developer 2019"), (None, None)]
+    d = spark.createDataFrame(rows, "title string, company string").select(experience_issues(F.col("title"), F.col("company")).alias("i"))
+    assert [r["i"] for r in d.collect()] == [[], ["title_has_dates"], ["company_has_dates"], ["company_has_title"], ["title_has_dates", "company_has_title"], []]
