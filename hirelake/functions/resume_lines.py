@@ -111,11 +111,19 @@ def is_tailorable(bullet: Column) -> Column:
     return (F.length(t) >= 28) & ~any_of(t, NOT_TAILORED) & ~bare & ~header
 
 
-def bullet_score(bullet: Column, job: Column) -> Column:
-    """A point for each word over three letters that the posting has, two for a verb, one for a number."""
-    hits = F.get(F.transform(F.array(F.lower(job)), lambda low: F.size(F.filter(F.split(F.lower(bullet), r"\W+"), lambda w: (F.length(w) > 3) & F.contains(low, w)))), 0)
-    hits = F.coalesce(hits, F.lit(0))
-    return hits + F.when(bullet.rlike(DONE), 2).otherwise(0) + F.when(bullet.rlike(METRIC), 1).otherwise(0)
+def bullet_words(bullet: Column) -> Column:
+    """The words over three letters, in lower case and sorted; repeats stay."""
+    return F.array_sort(F.filter(F.split(F.lower(bullet), r"\W+"), lambda w: F.length(w) > 3))
+
+
+def bullet_marks(bullet: Column) -> Column:
+    """Two points for a verb, one for a number."""
+    return F.when(bullet.rlike(DONE), 2).otherwise(0) + F.when(bullet.rlike(METRIC), 1).otherwise(0)
+
+
+def bullet_score(words: Column, marks: Column, low: Column) -> Column:
+    """A point for each of bullet_words() that the posting has (low: its text in lower case), and bullet_marks()."""
+    return F.coalesce(F.size(F.filter(words, lambda w: F.contains(low, w))), F.lit(0)) + marks
 
 
 def unsupported_claims(answer: Column, evidence: Column, job: Column) -> Column:

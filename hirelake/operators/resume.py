@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from hirelake.functions import resume_lines as rl
 from hirelake.functions.dates import date_range
 from hirelake.functions.text import blank_to_null, round_share, trim_blank
+from hirelake.sources.shared import stored
 
 EMAIL, PHONE = r"[\w.+-]+@[\w-]+\.[\w.-]+", r"\+?\d[\d\s().-]{7,}\d"
 LINKEDIN, GITHUB, URL = r"(?i)(?:https?://)?(?:www\.)?linkedin\.com/[\w/-]+", r"(?i)(?:https?://)?(?:www\.)?github\.com/[\w/-]+", r"(?i)https?://[^\s|]+"
@@ -296,7 +297,23 @@ def confidence(contact_fields: Column, has_summary: Column, n_skills: Column, bu
 
 
 def tailoring_bullets(bullets: DataFrame, jobs: DataFrame, n: int = 8) -> DataFrame:
-    """For each job the n bullets of its candidate that fit best. bullets: user, pos, text; jobs: job, user, description."""
-    d = jobs.join(bullets.filter(rl.is_tailorable(F.col("text"))), "user").withColumn("points", rl.bullet_score(F.col("text"), F.col("description")))
+    """For each job the n bullets of its candidate that fit best. bullets: user, pos, text; jobs: job, user, description.
+    A user's bullets of the same words and marks get the same points from every job, so they are one kind, of which only the
+    first n can be among a job's n; and of the kinds only the first n can hold one. Kinds are written first, so that a user of
+    very many jobs can be split in the join."""
+    d = bullets.filter(rl.is_tailorable(F.col("text"))).select("user", "pos", "text", rl.bullet_words(F.col("text")).alias("words"), rl.bullet_marks(F.col("text")).alias("marks"))
+    nth = F.row_number().over(W.partitionBy("user", "words", "marks").orderBy("pos"))
+    d = d.withColumn("nth", nth).filter(F.col("nth") <= n)
+    kinds = d.groupBy("user", "words", "marks").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("same"))
+    kinds = stored(bullets.sparkSession, kinds.withColumn("kind", F.monotonically_increasing_id()), "bullets")
+    known = kinds.select("user", "words", "marks", "kind", F.get("same", 0)["pos"].alias("first"), F.size("same").alias("n"))
+    d = jobs.select("job", "user", F.lower("description").alias("low")).join(known, "user")
+    d = d.select("job", rl.bullet_score(F.col("words"), F.col("marks"), F.col("low")).alias("points"), "kind", "first", "n")
+    best = W.partitionBy("job").orderBy(F.col("points").desc(), "first")
+    d = d.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= n)
+    # how many bullets of more points there are
+    ahead = F.sum("n").over(W.partitionBy("job").orderBy(F.col("points").desc()).rangeBetween(W.unboundedPreceding, W.currentRow)) - F.sum("n").over(W.partitionBy("job", "points"))
+    d = d.withColumn("ahead", ahead).filter(F.col("ahead") < n).select("job", "points", "kind")
+    d = d.join(kinds.select("kind", "same"), "kind").select("job", "points", F.inline("same"))
     w = W.partitionBy("job").orderBy(F.col("points").desc(), F.col("pos"))
     return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("job", "rank", "pos", "text", "points")

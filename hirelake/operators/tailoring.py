@@ -24,14 +24,15 @@ def _worded(pattern: str, names):
 def suggestions(ranked: DataFrame, jobs: DataFrame) -> DataFrame:
     """For each posting's best bullets what to emphasise: the technologies of the posting that the bullet has, else the first
     ones of the posting. ranked: job, rank, id, text (resume.tailoring_bullets); jobs: job, description. A posting without
-    technologies changes nothing, so its bullets give none."""
+    technologies changes nothing, so its bullets give none. Other columns of ranked stay."""
+    others = [c for c in ranked.columns if c not in ("job", "rank", "id", "text")]
     asked = jobs.select("job", F.slice(technologies(F.coalesce("description", F.lit(""))), 1, TECHS).alias("_asked"))
     d = ranked.filter(F.col("rank") <= BULLETS).join(asked, "job")
     has = F.filter("_asked", lambda t: F.contains(F.lower("text"), F.lower(t)))
     d = d.withColumn("_has", has)
     more = F.when(F.size("_has") > 0, _worded(NAMED, F.array_join("_has", ", "))).when(F.size("_asked") > 0, _worded(UNNAMED, F.array_join(F.slice("_asked", 1, SHOWN), ", ")))
     d = d.withColumn("suggested", F.concat("text", more)).filter("suggested IS NOT NULL")
-    return d.select("job", "rank", F.lit("emphasize").alias("type"), F.col("id").alias("bullet_id"), F.col("text").alias("original"), "suggested", F.when(F.size("_has") > 0, SURE).otherwise(LESS_SURE).alias("confidence"))
+    return d.select("job", "rank", F.lit("emphasize").alias("type"), F.col("id").alias("bullet_id"), F.col("text").alias("original"), "suggested", F.when(F.size("_has") > 0, SURE).otherwise(LESS_SURE).alias("confidence"), *others)
 
 
 def validated(raw: DataFrame, bullets: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -52,9 +53,13 @@ def validated(raw: DataFrame, bullets: DataFrame, evidence: DataFrame) -> DataFr
     return d.select("job", "pos", "type", "bullet_id", F.col("_text").alias("original"), "suggested", "evidence_id", "confidence")
 
 
-def linked_evidence(evidence: DataFrame, bullets: DataFrame) -> DataFrame:
-    """The evidence (job, id, source_id, text) of a posting's bullets (job, id, text): that made from one of them, or that says
-    the same. Two joins on equal keys; a join on either would compare all pairs."""
-    by_id = bullets.select("job", F.col("id").alias("source_id")).distinct()
-    by_text = bullets.select("job", "text").distinct()
-    return evidence.join(by_id, ["job", "source_id"], "left_semi").select(*evidence.columns).unionByName(evidence.join(by_id, ["job", "source_id"], "left_anti").join(by_text, ["job", "text"], "left_semi").select(*evidence.columns))
+def linked_evidence(evidence: DataFrame, bullets: DataFrame, owner: str = "job") -> DataFrame:
+    """The evidence (owner, id, source_id, text) of a posting's bullets (job, owner, id, text): that made from one of them, or
+    that says the same, once for each job. owner: the job, or a column for whom its evidence is, so that a candidate's evidence
+    meets only the bullets it fits and not each of their jobs. Joins on equal keys; a join on either would compare all pairs."""
+    of = list(dict.fromkeys(["job", owner]))
+    texts = bullets.select(*of, "text").distinct()
+    by_id = bullets.select(*of, F.col("id").alias("source_id")).distinct().join(evidence, [owner, "source_id"]).join(texts, [*of, "text"], "left_anti")
+    by_text = texts.join(evidence, [owner, "text"])
+    columns = ["job", *(c for c in evidence.columns if c != "job")]
+    return by_id.select(*columns).unionByName(by_text.select(*columns))

@@ -13,7 +13,7 @@ from hirelake.plans.derived import Pick, quoted
 from hirelake.plans.match_catalog import _techs
 from hirelake.plans.posting_catalog import _BULLET, _DONE, _JOB, _tailorable, made, made_sql
 from hirelake.sources import policies
-from hirelake.sources.shared import shared_folder
+from hirelake.sources.shared import shared_folder, stored
 from hirelake.sources.versions import Versions
 
 # ---- registry --------------------------------------------------------------------------------------------------
@@ -195,7 +195,8 @@ def _uuid(key):
 def _ranked(spark, sf_dir):
     b = made(spark, sf_dir, _BULLET, "part", "p_partkey").select((F.col("id") % 40).alias("user"), F.col("id").alias("pos"), F.concat("a", "b").alias("text"))
     j = made(spark, sf_dir, _JOB).select(F.col("id").alias("job"), (F.col("id") % 40).alias("user"), F.concat("d", F.lit(" for client "), F.col("id").cast("string")).alias("description"))
-    ranked = resume.tailoring_bullets(b, j)
+    # read several times
+    ranked = stored(spark, resume.tailoring_bullets(b, j).select("job", "rank", "pos", "text"), "ranked")
     return ranked.select("job", "rank", "pos", _uuid(F.col("pos").cast("string")).alias("id"), "text"), j
 
 
@@ -205,8 +206,7 @@ def _ranked(spark, sf_dir):
 )
 def tailoring_suggestions(spark, sf_dir):
     ranked, jobs = _ranked(spark, sf_dir)
-    made_ = tailoring.suggestions(ranked, jobs)
-    return made_.join(ranked.select("job", "rank", "pos"), ["job", "rank"]).select("job", "rank", "pos", "suggested", F.col("confidence").cast("double").alias("confidence"))
+    return tailoring.suggestions(ranked, jobs).select("job", "rank", "pos", "suggested", F.col("confidence").cast("double").alias("confidence"))
 
 
 _RAW = {"type": Pick(["emphasize", None, "rewrite", "reorder"], 1), "shift": Pick(["0", "0", "1", "0", "0"], 1, 2), "end": Pick(["", " better", "", " with numbers", " "], 1, 1), "sure": Pick(["0.5", "0.9", "1", "0.2"], 1)}
@@ -238,11 +238,9 @@ def tailoring_checked(spark, sf_dir):
 )
 def tailoring_evidence(spark, sf_dir):
     ranked, _ = _ranked(spark, sf_dir)
-    ranked = ranked.select("job", F.col("pos").alias("id"), "text")
+    ranked = ranked.select("job", (F.col("job") % 40).alias("user"), F.col("pos").alias("id"), "text")
     b = made(spark, sf_dir, _BULLET, "part", "p_partkey").select((F.col("id") % 40).alias("user"), "id", F.when(F.col("id") % 3 == 0, F.col("id")).alias("source_id"), F.concat("a", "b").alias("text")).filter("id % 2 = 1")
-    jobs = ranked.select("job", (F.col("job") % 40).alias("user")).distinct()
-    evidence = jobs.join(b, "user").select("job", "id", "source_id", "text")
-    return tailoring.linked_evidence(evidence, ranked).select("job", "id")
+    return tailoring.linked_evidence(b, ranked, "user").select("job", "id")
 
 
 # ---- postings from real pages ----------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from hirelake.functions import options
 from hirelake.functions import resume_lines as rl
-from hirelake.operators import resume
+from hirelake.operators import resume, tailoring
 
 
 def col(spark, f, *values):
@@ -77,3 +77,33 @@ def test_options(spark):
     assert col(spark, options.work_authorization, "Canadian Citizen", "US work authorized", "x", None) == ["canadian_citizen", "us_authorized", "", ""]
     assert col(spark, options.seniority, "Principal", "senior dev", "mid-level") == ["staff", "senior", "mid"]
     assert col(spark, options.remote_preference, "Remote only", "Onsite") == ["remote", "on_site"]
+
+
+def test_tailoring_pairs_jobs_with_kinds_of_bullets(spark):
+    """Points of every pair, by brute force; and a job meets a kind of bullet once, however many bullets it has."""
+    texts = ["Built React dashboards used by 40% of clients", "Dashboards used by clients: built 40% with React", "Maintained build servers and release tooling", "Wrote long documents about many things and places", "x"]
+    bullets = spark.range(400).select((F.col("id") % 2).alias("user"), F.col("id").alias("pos"), F.get(F.array(*map(F.lit, texts)), (F.col("id") * 7 % 5).cast("int")).alias("text"))
+    wanted = ["React dashboards for clients", "Release tooling", "documents and places", "", None]
+    jobs = spark.createDataFrame([(i, i % 2, wanted[i % 5]) for i in range(20)], "job long, user long, description string")
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\W+"), lambda w: F.length(w) > 3))
+    pairs = jobs.join(bullets.filter(rl.is_tailorable(F.col("text"))), "user")
+    hits = F.coalesce(F.size(F.filter(words, lambda w: F.contains(F.lower("description"), w))), F.lit(0))
+    pairs = pairs.withColumn("points", hits + F.when(F.col("text").rlike("(?i)built|maintained"), 2).otherwise(0) + F.when(F.col("text").contains("%"), 1).otherwise(0))
+    want = {}
+    for r in sorted(pairs.collect(), key=lambda r: (r["job"], -r["points"], r["pos"])):
+        want.setdefault(r["job"], []).append((r["pos"], r["points"], r["text"]))
+    found = resume.tailoring_bullets(bullets, jobs)
+    got = {}
+    for r in found.orderBy("job", "rank").collect():
+        got.setdefault(r["job"], []).append((r["pos"], r["points"], r["text"]))
+    assert got == {k: v[:8] for k, v in want.items()} and len(got) == 20
+
+
+def test_evidence_of_a_candidate_meets_what_it_fits(spark):
+    bullets = spark.createDataFrame([(1, 0, 5, "a"), (1, 0, 6, "b"), (2, 0, 6, "b"), (3, 1, 6, None)], "job int, user int, id int, text string")
+    evidence = spark.createDataFrame([(0, 10, 5, "z"), (0, 11, 6, "a"), (0, 12, None, "b"), (0, 13, 7, "c"), (1, 14, None, None), (1, 15, 6, "q")], "user int, id int, source_id int, text string")
+    found = tailoring.linked_evidence(evidence, bullets, "user")
+    assert sorted((r["job"], r["id"]) for r in found.collect()) == [(1, 10), (1, 11), (1, 12), (2, 11), (2, 12), (3, 15)]
+    by_job = bullets.select("job", "user").distinct().join(evidence, "user").drop("user")
+    same = tailoring.linked_evidence(by_job, bullets.drop("user"))
+    assert sorted((r["job"], r["id"]) for r in same.collect()) == sorted((r["job"], r["id"]) for r in found.collect())
