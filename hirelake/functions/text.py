@@ -40,6 +40,11 @@ def replace_all(col: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), rules, col)
 
 
+def once(col: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(col), f), 0)
+
+
 def trim_blank(col: Column) -> Column:
     return F.regexp_replace(col, rf"^{BLANK}+|{BLANK}+\z", "")
 
@@ -70,8 +75,12 @@ def _decoded(token: Column) -> Column:
 
 def decode_entities(col: Column) -> Column:
     """Decimal, hexadecimal and six named entities, in one pass: what a decoded entity yields is not decoded again."""
-    tokens = F.regexp_extract_all(col, F.lit(r"&(?:#x?[0-9a-fA-F]+|\w+);|[^&]+|&"), F.lit(0))
-    return F.when(col.contains("&"), F.array_join(F.transform(tokens, _decoded), "")).otherwise(col)
+
+    def decoded(c: Column) -> Column:
+        tokens = F.regexp_extract_all(c, F.lit(r"&(?:#x?[0-9a-fA-F]+|\w+);|[^&]+|&"), F.lit(0))
+        return F.when(c.contains("&"), F.array_join(F.transform(tokens, _decoded), "")).otherwise(c)
+
+    return once(col, decoded)
 
 
 def html_to_text(col: Column) -> Column:
@@ -84,13 +93,13 @@ def html_title(col: Column) -> Column:
     tag = blank_to_null(F.regexp_extract(col, r"(?i)<title[^>]*>([\s\S]*?)</title>", 1))
     head = trim_blank(F.split(decode_entities(trim_blank(tag)), r"\s*[|\-–—]\s*")[0])
     h1 = html_to_text(blank_to_null(F.regexp_extract(col, r"(?i)<h1[^>]*>([\s\S]*?)</h1>", 1)))
-    short = lambda c: F.when(F.length(c) <= TITLE_MOST, c)
+    short = lambda c: once(c, lambda x: F.when(F.length(x) <= TITLE_MOST, x))
     return F.coalesce(decode_entities(trim_blank(og)), blank_to_null(short(head)), short(h1))
 
 
 def clean_title(col: Column, fallback: str = "Untitled Role") -> Column:
     t = decode_entities(trim_blank(F.regexp_replace(col, rf"{BLANK}+", " ")))
-    return F.when((F.length(t) > 0) & (F.length(t) <= TITLE_MOST), t).otherwise(F.lit(fallback))
+    return once(t, lambda x: F.when((F.length(x) > 0) & (F.length(x) <= TITLE_MOST), x).otherwise(F.lit(fallback)))
 
 
 def format_description(col: Column) -> Column:

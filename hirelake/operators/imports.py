@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.functions.text import blank_to_null, clean_title, decode_entities, html_title, html_to_text, trim_blank, word
+from hirelake.functions.text import blank_to_null, clean_title, decode_entities, html_title, html_to_text, once, trim_blank, word
 from hirelake.operators import boards, requirements
 from hirelake.sources.shared import stored
 
@@ -41,15 +41,19 @@ def provider_of(text: Column) -> Column:
 
 def raw_text(text: Column) -> Column:
     """A pasted text as plain text."""
-    t = trim_blank(text)
-    marked = t.rlike(r"<[^>]+>") | t.rlike(r"(?i)&(?:#[0-9]+|#x[0-9a-f]+|\w+);")
-    return F.when(marked, html_to_text(t)).otherwise(decode_entities(t))
+    marked = lambda t: t.rlike(r"<[^>]+>") | t.rlike(r"(?i)&(?:#[0-9]+|#x[0-9a-f]+|\w+);")
+    return once(trim_blank(text), lambda t: F.when(marked(t), html_to_text(t)).otherwise(decode_entities(t)))
 
 
 def from_text(texts: DataFrame) -> DataFrame:
     """id and text to postings: named fields of the text, else its first line as title."""
+    return from_plain(texts.select("id", raw_text(F.col("text")).alias("description")))
+
+
+def from_plain(d: DataFrame) -> DataFrame:
+    """id and description (plain text, that stays as it is) to postings. Other columns stay."""
+    others = [c for c in d.columns if c not in ("id", "description")]
     said = lambda p: blank_to_null(trim_blank(F.regexp_extract("description", rf"(?i)(?:{p})[:\s]+([^\n]+)", 1)))
-    d = texts.select("id", raw_text(F.col("text")).alias("description"))
     first = F.coalesce(F.get(F.filter(F.transform(F.split("description", "\n"), trim_blank), lambda x: x != ""), 0), F.lit(""))
     title = F.coalesce(said("title|position|role"), F.when(F.length(first) <= 120, first))
     d = d.select(
@@ -59,15 +63,17 @@ def from_text(texts: DataFrame) -> DataFrame:
         said("location").alias("location"),
         F.when(F.col("description").rlike("(?i)remote"), "remote").otherwise("unknown").alias("workplace"),
         "description",
+        *others,
     )
     return requirements.extract(d)
 
 
 def from_page(pages: DataFrame) -> DataFrame:
-    """id, text and page_title (of a web page) to postings; a page title that fits wins."""
-    d = from_text(pages.select("id", F.substring("text", 1, 50_000).alias("text"))).join(pages.select("id", "page_title"), "id")
-    given = F.coalesce("page_title", F.lit(""))
-    return d.withColumn("title", F.when((given != "") & (clean_title(given, "") != ""), clean_title(given)).otherwise(F.col("title"))).drop("page_title")
+    """id, text and page_title (of a web page) to postings; a page title that fits wins. The text is plain already; what stands
+    at the place where a long one is cut stays, blanks too."""
+    d = from_plain(pages.select("id", F.substring("text", 1, DESCRIPTION_MOST).alias("description"), "page_title"))
+    given = blank_to_null(clean_title(F.coalesce("page_title", F.lit("")), ""))
+    return d.withColumn("title", F.coalesce(given, "title")).drop("page_title")
 
 
 FORM = "struct<company:string,title:string,location:string,workplaceType:string,salaryMin:double,salaryMax:double,salaryCurrency:string,jobUrl:string,sourceJobId:string,datePosted:string,employmentType:string,description:string,responsibilities:array<string>,requiredQualifications:array<string>,preferredQualifications:array<string>,technologies:array<string>,experienceRequirements:string,educationRequirements:string>"

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hirelake.functions.skills import canonical_skill, technologies
-from hirelake.functions.text import trim_blank, word
+from hirelake.functions.text import once, trim_blank, word
 
 # Headings of sections and phrases of requirement types.
 REQUIRED_LINE = r"(?i)^(?:required|must have|minimum qualifications|qualifications|what you.?ll need|you have:?)\z"
@@ -31,26 +30,41 @@ def section_of(line: Column) -> Column:
     )
 
 
+def sectioned(text: Column) -> Column:
+    """pos, section and bullet of the lines of a text that belong to a section, an array. Lines take the last heading above them."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("pos"), trim_blank(x).alias("line"))), lambda x: x["line"] != "")
+    lines = F.transform(lines, lambda x: F.struct(x["pos"].alias("pos"), x["line"].alias("line"), section_of(x["line"]).alias("head")))
+
+    def parts(all_: Column) -> Column:
+        """Each part is a slice: from a heading to the next, and before the first one."""
+        heads = F.filter(F.transform(all_, lambda x, i: F.when(x["head"].isNotNull(), i + 1)), lambda i: i.isNotNull())
+
+        def part(at: Column, start: Column, k: Column) -> Column:
+            end, section = F.coalesce(F.get(at, k + 1), F.size(all_) + 1), F.get(all_, start - 1)["head"]
+            return F.transform(F.slice(all_, start + 1, end - start - 1), lambda x: F.struct(x["pos"].alias("pos"), section.alias("section"), trim_blank(F.regexp_replace(x["line"], r"^[-•*]\s*", "")).alias("bullet")))
+
+        return once(F.concat(F.array(F.lit(0)), heads), lambda at: F.flatten(F.transform(at, lambda start, k: part(at, start, k))))
+
+    loose = lambda b: b.rlike(r"(?i)^\d+\+?\s*years?") | b.rlike("(?i)experience with")
+    found = F.filter(once(lines, parts), lambda x: F.length(x["bullet"]) >= 10)
+    found = F.transform(found, lambda x: F.struct(x["pos"].alias("pos"), F.coalesce(x["section"], F.when(loose(x["bullet"]), "required")).alias("section"), x["bullet"].alias("bullet")))
+    return F.filter(found, lambda x: x["section"].isNotNull())
+
+
 def section_lines(posts: DataFrame, key: str = "id", text: str = "description") -> DataFrame:
-    """key, pos, section and bullet of the lines that belong to a section. Lines take the last heading above them."""
-    lines = posts.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
-    lines = lines.withColumn("line", trim_blank(F.col("line"))).filter("line <> ''")
-    lines = lines.withColumn("head", section_of(F.col("line")))
-    above = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    lines = lines.withColumn("section", F.last("head", ignorenulls=True).over(above)).filter("head is null")
-    bullet = trim_blank(F.regexp_replace("line", r"^[-•*]\s*", ""))
-    lines = lines.withColumn("bullet", bullet).filter(F.length("bullet") >= 10)
-    loose = F.col("bullet").rlike(r"(?i)^\d+\+?\s*years?") | F.col("bullet").rlike("(?i)experience with")
-    return lines.withColumn("section", F.coalesce("section", F.when(loose, "required"))).filter("section is not null").select(key, "pos", "section", "bullet")
+    """key, pos, section and bullet of the lines that belong to a section."""
+    # an outer explode works the array out once; an inner one would do so again to see whether it is empty
+    return posts.select(key, F.inline_outer(sectioned(F.col(text)))).filter("pos is not null")
 
 
 def extract(posts: DataFrame, key: str = "id", text: str = "description") -> DataFrame:
-    """Adds required, preferred, responsibilities and technologies, arrays in the order of the text."""
-    of = lambda name: F.transform(F.sort_array(F.collect_list(F.when(F.col("section") == name, F.struct("pos", "bullet")))), lambda x: x["bullet"]).alias(name)
-    found = section_lines(posts, key, text).groupBy(key).agg(of("required"), of("preferred"), of("responsibilities"))
+    """Adds required, preferred, responsibilities and technologies, arrays in the order of the text. Each posting by itself, so
+    postings of one key stay what they are, and what is not read is not worked out."""
     none = F.array().cast("array<string>")
+    of = lambda name: F.coalesce(F.transform(F.filter("_sectioned", lambda x: x["section"] == name), lambda x: x["bullet"]), none)
     phrases = F.slice(F.regexp_extract_all(F.col(text), F.lit(r"(?i)\d+\+?\s*years?[^.\n]+"), F.lit(0)), 1, 5)
-    d = posts.join(found, key, "left").withColumns({c: F.coalesce(c, none) for c in ("required", "preferred", "responsibilities")})
+    d = posts.withColumn("_sectioned", sectioned(F.col(text)))
+    d = d.withColumns({c: of(c) for c in ("required", "preferred", "responsibilities")}).drop("_sectioned")
     return d.withColumn("required", F.when(F.size("required") > 0, F.col("required")).otherwise(F.coalesce(phrases, none))).withColumn("technologies", technologies(F.col(text)))
 
 

@@ -90,3 +90,11 @@ def test_json_posting_against_json_profile(spark):
 def test_names_are_sorted_as_people_do(spark):
     d = spark.createDataFrame([(1, "zeta"), (2, "Émile"), (3, "emil"), (4, "Alpha"), (5, "alpha")], "id int, name string")
     assert [r["id"] for r in registry.by_name(d).collect()] == [5, 4, 3, 2, 1]
+
+
+def test_a_long_page_is_cut_and_no_more(spark):
+    """The cut text of a page is not trimmed or decoded anew, and pages of one id stay one posting each."""
+    texts = ["x" * 49_999 + " and more", "a &amp; <b>", "a &amp; <b>"]
+    pages = spark.createDataFrame([(i and 1, t, None) for i, t in enumerate(texts)], "id int, text string, page_title string")
+    got = sorted((r["id"], r["description"]) for r in imports.from_page(pages).collect())
+    assert got == [(0, "x" * 49_999 + " "), (1, "a &amp; <b>"), (1, "a &amp; <b>")]
