@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from hirelake.functions import dates, options, resume_lines, text, urls
 from hirelake.operators import boards, resume
 from hirelake.plans.catalog import ORACLES, query, table
-from hirelake.plans.derived import Pick, columns, columns_sql, quoted
+from hirelake.plans.derived import Pick, columns, columns_sql, quoted, spread
 from hirelake.sources import fixtures
 
 
 def made(spark, sf_dir, picks: dict[str, Pick], source: str = "customer", key: str = "c_custkey"):
     """id and a phrase of each list for every row of a table."""
-    return table(spark, sf_dir, source).select(F.col(key).alias("id")).select("id", *columns(picks, "id"))
+    return spread(table(spark, sf_dir, source).select(F.col(key).alias("id")), "id").select("id", *columns(picks, "id"))
 
 
 def made_sql(picks: dict[str, Pick], source: str = "customer", key: str = "c_custkey") -> str:

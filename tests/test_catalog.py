@@ -45,3 +45,12 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["category_scores", "pasted_postings", "resume_sections", "match_summary", "resume_blocks", "resume_skills", "resume_contact", "section_carry", "location_class"])
+def test_texts_made_of_a_small_file_are_spread(spark, name):
+    """A file of keys is one task; what is made of them is dealt to many, by an exchange of keys only."""
+    df = catalog.QUERIES[name](spark, DATA)
+    assert df.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    df.collect()
+    assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange ") == 1
