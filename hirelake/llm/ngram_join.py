@@ -215,6 +215,12 @@ def classes(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, text: str
     decide, fewer keys where low thresholds ask for many blocks, and best where chance shares few n-grams. Both are exact."""
     base = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"), text_key(F.col(text)).alias("_key"))
     kind = dict(base.dtypes)["_doc"]
+    start = len(made())
+
+    def keep(*paths: str) -> None:
+        """Of the scratch tables made here only these are read again."""
+        drop_scratch(docs.sparkSession, [p for p in made()[start:] if p not in paths])
+
     hot = None
     if columns == "prefix":
         counts = materialise(base.mapInArrow(_early(n, percent), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min(HOT)), "join-counts", BATCH)
@@ -222,6 +228,7 @@ def classes(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, text: str
     signed = materialise(base.mapInArrow(_signed(n, percent, hot), f"_doc {kind}, _key binary, n_shingles long, node binary, c long, keys array<long>"), "join-signed", BATCH)
     whole = made()[-1]
     slim = materialise(signed.drop("keys"), "join-slim")
+    needed = made()[-1]
     # Keys that one row has can go. A bitmap of bounded size tells them: where it is full they stay, to go in the next step.
     again = materialise(signed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "join-again")
     entries = signed.select("c", "n_shingles", "keys").mapInArrow(_kept(_bitmap(again)), "c long, n_shingles long, key long")
@@ -233,6 +240,8 @@ def classes(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, text: str
     for _ in range(2 if hot is not None else 0):  # what a node shares with all others together bounds what it shares with one
         enough = shared.groupBy("c", "n_shingles").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= fewest_shared(F.col("n_shingles"), percent))
         shared = materialise(_met(shared.drop("hub").join(materialise(enough.select("c"), "join-enough"), "c", "left_semi")), "join-blocks")
+    blocks = made()[-1]
+    keep(needed, blocks)
     # the incidence rows of the nodes that are left
     left = shared.select("c").distinct()
     texts = materialise(slim.join(left, "c", "left_semi").groupBy("c", "node").agg(F.min("_key").alias("_key")), "join-left")
@@ -242,6 +251,7 @@ def classes(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, text: str
         near = texts.join(base.groupBy("_key").agg(F.first("_text").alias("_text")), "_key").select("c", "node", "_text")
     near = materialise(near, "join-near")
     rows = materialise(near.mapInArrow(_grams(n), "c long, node binary, grams array<long>"), "join-rows", BATCH)
+    keep(needed, blocks, made()[-1])
     names = rows.select("c", "node")
     # first the hub that a node meets most often, then its other hubs, then what is left between components
     met = materialise(shared.filter("c <> hub").groupBy("c", "hub").agg(F.count(F.lit(1)).alias("times")), "join-met")
@@ -299,6 +309,7 @@ def _within(shared: DataFrame, comp: DataFrame, groups: DataFrame, rows: DataFra
     (100 - percent) |x|, x and y link if and only if w(x) + w(y) <= 2 (100 + percent) |apart(x) & apart(y)|. So who links
     with anybody without a common difference links with the member of least w; other links share differences, and rare
     ones among them."""
+    since = len(made())
     nodes = _mixed(shared, comp).select("c", "component").distinct().join(groups, "c")
     sets = materialise(nodes.join(rows, "c").select("group", "node", "component", "grams"), "join-sets")
     sizes = sets.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
@@ -307,7 +318,7 @@ def _within(shared: DataFrame, comp: DataFrame, groups: DataFrame, rows: DataFra
     d = sets.join(centre, "group", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<bigint>")))
     apart = F.concat(F.array_except("grams", "centre"), F.array_except("centre", "grams"))
     d = d.select("group", "node", "component", F.size("grams").alias("size"), apart.alias("apart"))
-    d = materialise(d.withColumn("w", (100 + percent) * F.size("apart") - (100 - percent) * F.col("size")), "join-differences")
+    d = settle(d.withColumn("w", (100 + percent) * F.size("apart") - (100 - percent) * F.col("size")), "join-differences", since)
     least = materialise(d.groupBy("group").agg(F.min(F.struct("w", "node")).alias("m"), F.max("size").alias("largest")), "join-least")
     star = d.join(least, "group").filter((F.col("node") != F.col("m.node")) & (F.col("w") + F.col("m.w") <= 0)).select(F.col("node").alias("a"), F.col("m.node").alias("b"))
     star = materialise(star, "join-star")
