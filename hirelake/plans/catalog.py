@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from hirelake.functions import signals, skills, text, urls
 from hirelake.operators import dashboard, feed, incremental, registry
-from hirelake.sources.shared import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,13 +99,8 @@ def change_detect(spark, sf_dir):
     SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (many.line IS NULL) AS n_kept FROM k LEFT JOIN many USING (source, line) GROUP BY k.doc_id"""
 )
 def skip_repeated_lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.filter(F.transform(F.split("text", "\n"), text.trim_blank), lambda x: x != "").alias("lines"))
-    # lines travel as 128 bits; of a document each once, to be counted
-    docs = docs.select("doc_id", "source", F.transform("lines", lambda x: F.unhex(F.md5(x))).alias("keys"))
-    many = docs.select("source", F.explode(F.array_distinct("keys")).alias("key")).groupBy("source", "key").agg(F.count(F.lit(1)).alias("docs")).filter("docs >= 2")
-    # written first, so that a line that very many documents have can be split in the join
-    d = docs.select("doc_id", "source", F.explode("keys").alias("key")).join(stored(spark, many, "lines"), ["source", "key"], "left")
-    return d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("docs").isNull()).alias("n_kept"))
+    docs = table(spark, sf_dir, "documents")
+    return incremental.kept_lines(docs)
 
 
 @query(

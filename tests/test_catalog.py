@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from hirelake.operators import incremental
 from hirelake.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -54,3 +55,11 @@ def test_texts_made_of_a_small_file_are_spread(spark, name):
     assert df.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
     df.collect()
     assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange ") == 1
+
+
+def test_repeated_lines_without_a_join(spark):
+    """A document of several rows is one document; documents and sources may be null. No join, so no line that all have is one task."""
+    docs = [(1, "a", "x\n x\n\ny"), (1, "a", "y\nz"), (2, "a", "z\n\n"), (None, "a", "z\nq"), (3, None, "x\nx"), (4, None, "x"), (5, "b", " \n"), (6, "b", None), (7, "b", "x")]
+    found = incremental.kept_lines(spark.createDataFrame(docs, "doc_id long, source string, text string"))
+    assert {r["doc_id"]: (r["n_lines"], r["n_kept"]) for r in found.collect()} == {1: (5, 4), 2: (1, 0), None: (2, 1), 3: (2, 2), 4: (1, 1), 7: (1, 1)}
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
