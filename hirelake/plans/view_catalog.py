@@ -21,12 +21,13 @@ def _tables(spark, sf_dir):
     flag = F.col("l_orderkey") * 3 + F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     jobs = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("company_id"), (F.col("o_orderkey") % 50).alias("user_id"), F.col("o_orderdate").alias("seen"))
     companies = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    analyses = li.groupBy(flag.alias("id")).agg(F.first("l_orderkey").alias("job_id"), F.max("l_shipdate").alias("created"), F.max("l_quantity").alias("score"))
+    # analyses and requirements are dealt by posting before they are counted, so that they lie where their posting is put together
+    dated = li.select(F.col("l_orderkey").alias("job_id"), flag.alias("id"), "l_shipdate", "l_quantity").repartition("job_id")
+    analyses = dated.groupBy("id", "job_id").agg(F.max("l_shipdate").alias("created"), F.max("l_quantity").alias("score"))
     pos = F.col("l_linenumber").cast("long") * 10**12 + F.col("l_partkey") * 10**5 + F.col("l_suppkey")
-    matches = li.select(flag.alias("analysis_id"), pos.alias("pos"), (F.col("l_orderkey") * 10 + F.col("l_partkey") % 10).alias("requirement_id"), F.col("l_suppkey").alias("evidence_id"))
-    asked = li.join(p.filter("p_size > 10"), F.col("l_partkey") == F.col("p_partkey"))
-    requirements = asked.select((F.col("l_orderkey") * 10 + F.col("p_partkey") % 10).alias("id"), F.col("l_orderkey").alias("job_id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("text"))
-    requirements = requirements.groupBy("id", "job_id").agg(F.min("pos").alias("pos"), F.min_by("text", "pos").alias("text"))
+    matches = li.select(F.col("l_orderkey").alias("job_id"), flag.alias("analysis_id"), pos.alias("pos"), (F.col("l_orderkey") * 10 + F.col("l_partkey") % 10).alias("requirement_id"), F.col("l_suppkey").alias("evidence_id"))
+    asked = li.join(p.filter("p_size > 10"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("job_id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("text")).repartition("job_id")
+    requirements = asked.groupBy((F.col("job_id") * 10 + F.col("pos") % 10).alias("id"), "job_id").agg(F.min("pos").alias("pos"), F.min_by("text", "pos").alias("text"))
     evidence = s.filter("s_acctbal > 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("text"))
     return jobs, companies, requirements, analyses, matches, evidence
 
