@@ -83,10 +83,15 @@ PROFILE = {
 }
 
 
+KEYS_A_TASK = 50_000
+
+
 def spread(keys: DataFrame, key: str) -> DataFrame:
-    """Keys dealt to several tasks a core. A column of keys is small, so it is read in few tasks, or in one where the file has one
-    row group; but the texts made of each key are work. What is then put together by key needs no other exchange."""
-    return keys.repartition(4 * keys.sparkSession.sparkContext.defaultParallelism, key)
+    """Keys dealt to several tasks a core, and to more where a task would get over KEYS_A_TASK on average, so that its memory doesn't
+    grow with the table. A column of keys is small, so it is read in few tasks, or in one where the file has one row group; but the
+    texts made of each key are work. What is then put together by key needs no other exchange. Rows are counted from the file's footers."""
+    tasks = -(-keys.count() // KEYS_A_TASK)
+    return keys.repartition(max(4 * keys.sparkSession.sparkContext.defaultParallelism, tasks), key)
 
 
 def _customers(spark, sf_dir: str) -> DataFrame:
