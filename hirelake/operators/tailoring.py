@@ -27,7 +27,8 @@ def suggestions(ranked: DataFrame, jobs: DataFrame) -> DataFrame:
     technologies changes nothing, so its bullets give none. Other columns of ranked stay."""
     others = [c for c in ranked.columns if c not in ("job", "rank", "id", "text")]
     asked = jobs.select("job", F.slice(technologies(F.coalesce("description", F.lit(""))), 1, TECHS).alias("_asked"))
-    d = ranked.filter(F.col("rank") <= BULLETS).join(asked, "job")
+    # jobs and ranked both grow with the table; what is made of a narrow column is taken for small and would be broadcast
+    d = ranked.filter(F.col("rank") <= BULLETS).join(asked.hint("merge"), "job")
     has = F.filter("_asked", lambda t: F.contains(F.lower("text"), F.lower(t)))
     d = d.withColumn("_has", has)
     more = F.when(F.size("_has") > 0, _worded(NAMED, F.array_join("_has", ", "))).when(F.size("_asked") > 0, _worded(UNNAMED, F.array_join(F.slice("_asked", 1, SHOWN), ", ")))

@@ -107,3 +107,13 @@ def test_evidence_of_a_candidate_meets_what_it_fits(spark):
     by_job = bullets.select("job", "user").distinct().join(evidence, "user").drop("user")
     same = tailoring.linked_evidence(by_job, bullets.drop("user"))
     assert sorted((r["job"], r["id"]) for r in same.collect()) == sorted((r["job"], r["id"]) for r in found.collect())
+
+
+def test_jobs_are_not_broadcast(spark):
+    """Jobs grow with the table, however small a frame made of their keys is taken to be."""
+    jobs = spark.range(1000).select(F.col("id").alias("job"), F.lit("React and GraphQL").alias("description"))
+    ranked = jobs.select("job", F.lit(1).alias("rank"), F.lit("b").alias("id"), F.lit("Built React apps").alias("text"))
+    found = tailoring.suggestions(ranked, jobs)
+    assert {(r["suggested"], float(r["confidence"])) for r in found.collect()} == {("Built React apps (Emphasize for role: react)", 0.55)} and found.count() == 1000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
