@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hirelake.functions.skills import technologies
@@ -13,6 +14,8 @@ NAMED, UNNAMED = " (Emphasize for role: {})", " — highlight overlap with {} wh
 SURE, LESS_SURE = 0.55, 0.4
 BULLETS, TECHS, SHOWN = 5, 6, 3
 TYPES = ["rewrite", "emphasize", "reorder"]
+# Jobs and evidence in a block, and jobs (with a text) that a task gets: a file's dictionary of a million bytes holds them.
+JOBS, EVIDENCE, JOBS_A_TASK = 4096, 1024, 50_000
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
@@ -54,13 +57,42 @@ def validated(raw: DataFrame, bullets: DataFrame, evidence: DataFrame) -> DataFr
     return d.select("job", "pos", "type", "bullet_id", F.col("_text").alias("original"), "suggested", "evidence_id", "confidence")
 
 
+def _blocks(d: DataFrame, keys: list[str], columns: list[str], order: str, n: int, name: str) -> DataFrame:
+    """The rows of each key in arrays of n at most, numbered by _<name>."""
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1
+    for k in keys:  # null is equal to nothing
+        d = d.filter(F.col(k).isNotNull())
+    d = d.withColumn(f"_{name}", F.floor(nth / n))
+    return d.groupBy(*keys, f"_{name}").agg(F.collect_list(F.struct(*columns)).alias(name))
+
+
+def _crossed(texts: DataFrame, evidence: DataFrame, keys: list[str], tasks: int) -> DataFrame:
+    """texts (keys, job) joined with evidence on its keys. All jobs of a key meet all its evidence, so the result grows with their
+    product: blocks of both are paired, and dealt as pairs, which are a hundredth of the rows' bytes. The rows of a pair are
+    then made in the order of its jobs, each with the same run of evidence, and a task has few jobs and keys: so in a columnar
+    file a run of a job is one entry, and each run of evidence after the first of a page is a reference to it."""
+    others = [c for c in evidence.columns if c not in (*keys, "job")]
+    jobs = _blocks(texts, keys, ["job"], "job", JOBS, "jobs")
+    said = _blocks(evidence, keys, others, "id", EVIDENCE, "said")
+    d = jobs.join(said.hint("merge"), keys).repartition(tasks, *keys, "_jobs").sortWithinPartitions(*keys, "_jobs", "_said")
+    # transform() keeps the jobs out of the generated code, which would hold all rows of a pair at once; so it holds those of one job
+    d = d.select(*keys, "said", F.explode(F.transform("jobs", lambda j: j["job"])).alias("job"))
+    return d.select(*keys, "job", F.inline("said"))
+
+
 def linked_evidence(evidence: DataFrame, bullets: DataFrame, owner: str = "job") -> DataFrame:
     """The evidence (owner, id, source_id, text) of a posting's bullets (job, owner, id, text): that made from one of them, or
     that says the same, once for each job. owner: the job, or a column for whom its evidence is, so that a candidate's evidence
-    meets only the bullets it fits and not each of their jobs. Joins on equal keys; a join on either would compare all pairs."""
+    meets only the bullets it fits and not each of their jobs. Joins on equal keys; a join on either would compare all pairs.
+    bullets are read several times and counted."""
     of = list(dict.fromkeys(["job", owner]))
     texts = bullets.select(*of, "text").distinct()
-    by_id = bullets.select(*of, F.col("id").alias("source_id")).distinct().join(evidence, [owner, "source_id"]).join(texts, [*of, "text"], "left_anti")
-    by_text = texts.join(evidence, [owner, "text"])
+    # bullets, texts and evidence all grow with the tables, so none is broadcast
+    by_id = bullets.select(*of, F.col("id").alias("source_id")).distinct().join(evidence.hint("merge"), [owner, "source_id"]).join(texts.hint("merge"), [*of, "text"], "left_anti")
+    if owner == "job":
+        by_text = texts.join(evidence.hint("merge"), [owner, "text"])
+    else:
+        tasks = max(4 * bullets.sparkSession.sparkContext.defaultParallelism, -(-bullets.count() // JOBS_A_TASK))
+        by_text = _crossed(texts, evidence, [owner, "text"], tasks)
     columns = ["job", *(c for c in evidence.columns if c != "job")]
     return by_id.select(*columns).unionByName(by_text.select(*columns))

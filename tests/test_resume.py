@@ -117,3 +117,20 @@ def test_jobs_are_not_broadcast(spark):
     assert {(r["suggested"], float(r["confidence"])) for r in found.collect()} == {("Built React apps (Emphasize for role: react)", 0.55)} and found.count() == 1000
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_all_evidence_of_all_jobs_takes_little_disk(spark, tmp_path):
+    """A product of jobs and evidence, larger than a block both ways, is whole and is written as runs."""
+    n_jobs, n_said = 4200, 1100
+    one = lambda x: F.when(F.col("id") >= 0, x)  # noqa: E731  not known as a constant
+    bullets = spark.range(n_jobs).select((F.col("id") * 7919 % 100_003).alias("job"), one(1).alias("user"), one(-1).alias("id"), one("a").alias("text"))
+    said = spark.range(n_said).select(one(1).alias("user"), (F.col("id") * 104_729 % 1_000_003).alias("id"), F.lit(None).cast("int").alias("source_id"), one("a").alias("text"))
+    odd = spark.createDataFrame([(1, 5, None, None), (None, 6, None, "a"), (2, 7, None, "a"), (1, 8, None, "b"), (1, 9, -1, None)], "user int, id long, source_id int, text string")
+    found = tailoring.linked_evidence(said.unionByName(odd), bullets, "user").select("job", "id")
+    found.write.parquet(str(tmp_path / "found"))
+    d = spark.read.parquet(str(tmp_path / "found"))
+    total = said.agg(F.sum("id")).first()[0]
+    of_a_job = d.groupBy("job").agg(F.count("id").alias("n"), F.count_distinct("id").alias("different"), F.sum("id").alias("total")).groupBy("n", "different", "total").count().collect()
+    assert [tuple(r) for r in of_a_job] == [(n_said + 1, n_said + 1, total + 9, n_jobs)]
+    assert sum(p.stat().st_size for p in (tmp_path / "found").glob("*.parquet")) < 0.3 * n_jobs * n_said
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
