@@ -68,7 +68,7 @@ def _blocks(d: DataFrame, keys: list[str], columns: list[str], order: str, n: in
 
 def _crossed(texts: DataFrame, evidence: DataFrame, keys: list[str], tasks: int) -> DataFrame:
     """texts (keys, job) joined with evidence on its keys. All jobs of a key meet all its evidence, so the result grows with their
-    product: blocks of both are paired, and dealt as pairs, which are a hundredth of the rows' bytes. The rows of a pair are
+    product: blocks of both are paired, and dealt as pairs, of far fewer bytes than their rows. The rows of a pair are
     then made in the order of its jobs, each with the same run of evidence, and a task has few jobs and keys: so in a columnar
     file a run of a job is one entry, and each run of evidence after the first of a page is a reference to it."""
     others = [c for c in evidence.columns if c not in (*keys, "job")]
